@@ -7,23 +7,118 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vecgrove.llm import quality_fertility, simhash_vptree
+from vecgrove.llm import decontaminate_fm, line_templates, lm_backoff, mix_poisson, quality_fertility, simhash_vptree, token_output, toxicity_segments, url_filter, warc_revisit
 from vecgrove.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_lm_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_backoff.score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", "n_oov", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op2_quality_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fertility.quality(table(spark, sf_dir, "documents"))
 
 
+def op3_mix_poisson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    copies = mix_poisson.replicate(table(spark, sf_dir, "documents"))
+    return copies.select("row.doc_id", "row.source", F.col("mix_copies").alias("copies"), F.col("mix_copy").alias("copy"), F.md5(F.coalesce("row.text", F.lit(""))).alias("text_md5"))
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+def op5_decontaminate_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate_fm.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op6_token_sstable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output.token_output(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_vptree.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = line_templates.dedup(table(spark, sf_dir, "documents"))
+    return lines.select("row.doc_id", "n_lines", "n_dropped", F.md5("kept_text").alias("kept_md5"))
+
+
+def op9_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_revisit.archive(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_toxicity_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity_segments.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity_segments.predicted(scored)
+
+
+_QUERIES = (
+    op1_lm_backoff, op2_quality_fertility, op3_mix_poisson, op4_url_filter, op5_decontaminate_fm,
+    op6_token_sstable, op7_simhash_vptree, op8_line_templates, op9_warc_revisit, op10_toxicity_segments,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {name: f for name, f in sorted(globals().items()) if name.startswith("op") and callable(f)}
+    return {f.__name__: f for f in _QUERIES}
+
+
+WARC_SQL = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, ''))::bigint AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+), d AS (
+  SELECT page_id, payload_bytes, h,
+    array_to_string(list_transform(range(0, 32), lambda k:
+      substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, 1 + 5 * (k // 4), 5))::bigint >> (15 - 5 * (k % 4))) & 31)::bigint, 1)), '') AS payload_digest,
+    max(page_id) OVER (PARTITION BY h) AS original
+  FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN original = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN original = page_id THEN NULL ELSE original END AS refers_to
+FROM d
+"""
+
+LINES_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)
+), m AS (
+  SELECT doc_id, pos, line, regexp_replace(trim(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM l
+), t AS (
+  SELECT doc_id, pos, line, m, CASE WHEN m <> '' THEN len(string_split(m, ' ')) END AS size,
+         CASE WHEN m <> '' THEN array_to_string(string_split(m, ' ')[1:3], ' ') END AS lead FROM m
+), leaf AS (
+  SELECT size, lead FROM t WHERE m <> '' GROUP BY size, lead HAVING count(DISTINCT doc_id) >= 10
+), kind AS (
+  SELECT t.size, t.lead, m, count(DISTINCT doc_id) AS n FROM t JOIN leaf USING (size, lead) GROUP BY t.size, t.lead, m
+), several AS (
+  SELECT size, lead FROM kind GROUP BY size, lead HAVING count(*) > 1
+), spot AS (
+  SELECT size, lead, unnest(string_split(m, ' ')) AS token, generate_subscripts(string_split(m, ' '), 1) AS pos FROM kind JOIN several USING (size, lead)
+), agree AS (
+  SELECT size, lead, pos, (min(token) = max(token) AND min(token) <> '<*>')::int AS fixed FROM spot GROUP BY size, lead, pos
+), general AS (
+  SELECT size, lead FROM agree GROUP BY size, lead HAVING sum(fixed) >= 0.6 * size
+), single AS (
+  SELECT m FROM kind k WHERE n >= 10 AND NOT EXISTS (SELECT 1 FROM general g WHERE g.size = k.size AND g.lead = k.lead)
+), gone AS (
+  SELECT doc_id, pos, line, coalesce(m <> '' AND (EXISTS (SELECT 1 FROM general g WHERE g.size = t.size AND g.lead = t.lead) OR m IN (SELECT m FROM single)), false) AS gone FROM t
+), kept AS (
+  SELECT doc_id, count(*)::bigint AS n_lines, sum(gone::int)::bigint AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM gone GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, md5(CASE WHEN d.text IS NOT NULL THEN kept END) AS kept_md5
+FROM documents d LEFT JOIN kept USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_lm_backoff": lm_backoff.ORACLE_SQL,
+        "op3_mix_poisson": mix_poisson.ORACLE_SQL,
+        "op8_line_templates": LINES_SQL,
+        "op9_warc_revisit": WARC_SQL,
+    }

@@ -1,10 +1,12 @@
 """SimHash near-duplicates through vantage-point trees.
 
 The fingerprint of a text has a bit set where over half of its word shingles' XXH64 values have it.  Distinct
-fingerprints are partitioned by a vantage-point tree: at each node those within a radius of the vantage point
-go left.  The tree is fitted on a bounded sample (``sample``), and every fingerprint is then placed in its own
-leaf.  A fingerprint also visits, as a query, each earlier leaf that the triangle inequality cannot rule out,
-so each pair within the distance meets exactly once.  Leaves over ``leaf`` fingerprints are split into blocks
+fingerprints are partitioned by vantage-point trees: at each node those within a radius of the vantage point
+go left.  The bits are cut into ``groups`` groups with a tree each, under the Hamming distance of its bits: a pair
+within ``distance`` is within ``distance // groups`` in one group at least, and for so small a distance the
+triangle inequality rules out far more branches.  A tree is fitted on a bounded sample (``sample``), and every
+fingerprint is then placed in its own leaf.  It also visits, as a query, each earlier leaf that the triangle
+inequality cannot rule out, so a pair within a group's distance meets once in its tree.  Leaves over ``leaf`` fingerprints are split into blocks
 that all their visitors meet; queries stream past, so a task holds one block only.  Within a task the links of
 a block become stars, and connected components of these run as DataFrames.
 
@@ -33,6 +35,7 @@ class Settings:
     width: int = 4
     distance: int = 4
     seed: int = 42
+    groups: int = 3
     sample: int = 65536
     leaf: int = 4096
 
@@ -87,14 +90,15 @@ class Tree:
     """Inner node k has children 2k+1 and 2k+2; leaves are numbered from left to right."""
 
     depth: int
+    mask: np.uint64
     point: np.ndarray
     radius: np.ndarray
 
     @staticmethod
-    def fit(sample: np.ndarray, depth: int) -> Tree:
+    def fit(sample: np.ndarray, depth: int, mask: np.uint64) -> Tree:
         inner = 2**depth - 1
         point, radius = np.zeros(inner, np.uint64), np.full(inner, 64, np.int64)
-        groups = {0: sample}
+        groups = {0: sample & mask}
         for k in range(inner):
             own = groups.pop(k)
             if len(own) > 1:
@@ -109,10 +113,11 @@ class Tree:
                 left = np.ones(len(own), bool)
             if 2 * k + 2 < inner:
                 groups[2 * k + 1], groups[2 * k + 2] = own[left], own[~left]
-        return Tree(depth, point, radius)
+        return Tree(depth, mask, point, radius)
 
     def visits(self, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, leaf, is home) of each fingerprint's own leaf and of the earlier leaves that it has to visit."""
+        fp = fp & self.mask
         row, node, home = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.ones(len(fp), bool)
         for _ in range(self.depth):
             far = np.bitwise_count(fp[row] ^ self.point[node]).astype(np.int64)
@@ -127,6 +132,12 @@ class Tree:
         return row, node - (2**self.depth - 1), home
 
 
+def masks(groups: int) -> list[np.uint64]:
+    """Disjoint groups of bits that make up all 64."""
+    cuts = [64 * k // groups for k in range(groups + 1)]
+    return [np.uint64((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
 def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least member of each node's component."""
     label = np.arange(n)
@@ -216,14 +227,16 @@ def links(distinct: DataFrame, settings: Settings = Settings()) -> DataFrame:
     points = np.sort(np.array([r[0] for r in sample.collect()], np.int64)).view(np.uint64)
     depth = max(0, int(np.ceil(np.log2(max(1, n / settings.leaf)))))
     depth = min(depth, max(0, int(np.log2(max(1, len(points) / 8)))))
-    tree, distance = Tree.fit(points, depth), settings.distance
+    trees, distance = [Tree.fit(points, depth, mask) for mask in masks(settings.groups)], settings.distance
+    near = distance // settings.groups
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)
             for i in range(0, len(fp), 8192):
-                row, leaf, home = tree.visits(fp[i : i + 8192], distance)
-                yield pa.RecordBatch.from_arrays([pa.array(fp[i : i + 8192][row].view(np.int64)), pa.array(leaf), pa.array(home)], ["fp", "leaf", "home"])
+                for k, tree in enumerate(trees):
+                    row, leaf, home = tree.visits(fp[i : i + 8192], near)
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[i : i + 8192][row].view(np.int64)), pa.array(leaf + k * 2**depth), pa.array(home)], ["fp", "leaf", "home"])
 
     placed = distinct.select("fp").mapInArrow(place, "fp long, leaf long, home boolean")
     sizes = placed.filter("home").groupBy("leaf").agg(F.ceil(F.count("*") / settings.leaf).cast("int").alias("blocks"))

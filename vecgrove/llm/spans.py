@@ -77,12 +77,17 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
 
 
 def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span; spans are in order and don't overlap.
+    """A 64-bit hash of each span; spans are in order and don't overlap."""
+    return prefix_hashes(data, starts, ends, [ends])[0]
+
+
+def prefix_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, stops: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of the parts of each span that end at each of ``stops``.
 
     The sum of byte values times powers of an odd base, taken as the difference of prefix sums; the work is done
     in pieces that end between spans.
     """
-    out = np.zeros(len(starts), np.uint64)
+    out = [np.zeros(len(starts), np.uint64) for _ in stops]
     i = 0
     while i < len(starts):
         j = max(i + 1, int(np.searchsorted(ends, starts[i] + _PIECE, "right")))
@@ -90,8 +95,11 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
         powers, inverse = _powers(b - a)
         prefix = np.zeros(b - a + 1, np.uint64)
         np.cumsum(_TABLE[data[a:b]] * powers[: b - a], out=prefix[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = mix((prefix[e] - prefix[s]) * inverse[s] + (e - s).astype(np.uint64))
+        s = starts[i:j] - a
+        back = inverse[s]
+        for one, stop in zip(out, stops, strict=True):
+            e = stop[i:j] - a
+            one[i:j] = mix((prefix[e] - prefix[s]) * back + (e - s).astype(np.uint64))
         i = j
     return out
 
