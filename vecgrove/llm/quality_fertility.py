@@ -38,10 +38,10 @@ MEASURES = (
 class Bands:
     """A measure outside ``median +- max(spread * sigma, least)`` is rejected; sigma is the quartile range / 1.349."""
 
-    spread: float = 6.0
-    least_ratio: float = 0.10
+    spread: float = 4.0
+    least_ratio: float = 0.04
     """Of the median, for characters per token."""
-    least_bits: float = 0.8
+    least_bits: float = 0.4
     """For the entropy, in bits."""
     most_bytes: float = 0.10
     """Byte-fallback share that any language may have above its median."""
