@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vecgrove.llm import spans
 from vecgrove.llm.common import materialise
-from vecgrove.llm.wordtokens import WordTokens
+from vecgrove.llm.wordtokens import WordTokens, listed
 
 VOCABULARY = "piece_bpe_32k.model"
 
@@ -62,7 +62,7 @@ def _encoder(vocabulary: str) -> tuple[WordTokens, np.ndarray]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary))
         is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
-        _encoders[vocabulary] = WordTokens(lambda words: model.encode(words, num_threads=1)), is_byte
+        _encoders[vocabulary] = WordTokens(lambda words: listed(model.encode(words, num_threads=1))), is_byte
     return _encoders[vocabulary]
 
 

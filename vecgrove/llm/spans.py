@@ -62,11 +62,17 @@ def lower(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words in ``data``, and each text's first word as offsets into them."""
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, classes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words in ``data``, and each text's first word as offsets into them.
+
+    With ``classes`` a word also ends between two bytes of different classes, neither of them zero.
+    """
     inside = kind[data]
     cut = np.zeros(len(data) + 1, bool)
     cut[offsets] = True
+    if classes is not None:
+        of = classes[data]
+        cut[1:-1] |= (of[1:] != of[:-1]) & (of[1:] != 0) & (of[:-1] != 0)
     before = np.zeros(len(data), bool)
     before[1:] = inside[:-1]
     starts = np.flatnonzero(inside & (~before | cut[:-1]))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from vecgrove.llm import shared_files, spans, sstable
 from vecgrove.llm.common import materialise, new_folder, total_bytes
-from vecgrove.llm.wordtokens import WordTokens
+from vecgrove.llm.wordtokens import WordTokens, listed
 
 
 @dataclass(frozen=True)
@@ -33,28 +33,79 @@ class Settings:
     """Bytes of text per shard."""
 
 
-_encoders: dict[str, tuple[WordTokens, int]] = {}
+class Encoder:
+    """Ids of whole texts, from parts that the tokeniser provably treats apart.
 
+    It lowers case, drops white space, and takes runs of letters, single digits and runs of other characters as
+    words.  So a text may be cut at white space and between ASCII letters, digits and punctuation, but for
+    apostrophes (which contractions join) and within the vocabulary's special strings; A-Z may be lowered first.
+    Runs of letters are encoded many at a time and told apart by the vocabulary's word-end mark.
+    """
 
-def _encoder(vocabulary: str) -> tuple[WordTokens, int]:
-    if vocabulary not in _encoders:
+    def __init__(self, vocabulary: str):
         import os
 
         import public_tokenizers
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        _encoders[vocabulary] = WordTokens(lambda words: [e.ids for e in model.encode_batch(words, add_special_tokens=False)]), model.get_vocab_size(with_added_tokens=True)
+        self.model = Tokenizer.from_file(public_tokenizers.path(vocabulary))
+        known = self.model.get_vocab(with_added_tokens=True)
+        self.size = max(known.values()) + 1
+        self.special = [t.content.encode() for t in self.model.get_added_tokens_decoder().values()]
+        self.last = np.zeros(self.size, bool)
+        self.last[[i for t, i in known.items() if t.endswith("</w>")]] = True
+        self.parts, self.whole = WordTokens(self.encode), WordTokens(self.alone)
+        self.classes = np.zeros(256, np.uint8)
+        for c in range(33, 127):
+            ch = chr(c)
+            self.classes[c] = 1 if ch.isalpha() else 2 if ch.isdigit() else 0 if ch == "'" else 3
+
+    def alone(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return listed([e.ids for e in self.model.encode_batch(words, add_special_tokens=False)])
+
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        letters = np.fromiter((w.lower().isalpha() for w in words), bool, len(words))
+        plain = [w for w, ok in zip(words, letters.tolist(), strict=True) if ok]
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in range(0, len(plain), 4096):
+            own = plain[i : i + 4096]
+            ids = np.array(self.model.encode(" ".join(own), add_special_tokens=False).ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            found.append((ids, np.diff(ends, prepend=0)) if len(ends) == len(own) else self.alone(own))
+        found.append(self.alone([w for w, ok in zip(words, letters.tolist(), strict=True) if not ok]))
+        flat, sizes = (np.concatenate(x) for x in zip(*found, strict=True))
+        # Runs of letters come first in ``flat``; back to the order of the words.
+        place = np.empty(len(words), np.int64)
+        place[np.concatenate([np.flatnonzero(letters), np.flatnonzero(~letters)])] = np.arange(len(words))
+        first, size = (np.cumsum(sizes) - sizes)[place], sizes[place]
+        stop = np.cumsum(size)
+        return flat[np.repeat(first - (stop - size), size) + np.arange(len(flat))], size
+
+    def texts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and the offsets of each."""
+        raw = data.tobytes()
+        if any(s in raw for s in self.special):
+            words, (starts, ends, first) = self.whole, spans.words(data, offsets, spans.SPACE)
+        else:
+            words, data = self.parts, spans.lower(data)
+            starts, ends, first = spans.words(data, offsets, spans.SPACE, self.classes)
+        ids, sizes = words(data, starts, ends, spans.hashes(data, starts, ends))
+        return ids, np.concatenate([[0], np.cumsum(sizes)])[first]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def _encoder(vocabulary: str) -> Encoder:
+    if vocabulary not in _encoders:
+        _encoders[vocabulary] = Encoder(vocabulary)
     return _encoders[vocabulary]
 
 
 def encode_piece(data: np.ndarray, offsets: np.ndarray, settings: Settings) -> Iterator[np.ndarray]:
     """The ids of each text, the end id included."""
-    words, _ = _encoder(settings.vocabulary)
-    starts, ends, first = spans.words(data, offsets, spans.SPACE)
-    ids, sizes = words(data, starts, ends, spans.hashes(data, starts, ends))
-    at = np.concatenate([[0], np.cumsum(sizes)])[first]
+    ids, at = _encoder(settings.vocabulary).texts(data, offsets)
     end = np.array([settings.end_id], np.uint32)
     for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
         yield np.concatenate([ids[a:b], end])
@@ -68,7 +119,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, path, first, docs_n, tokens = None, "", None, 0, 0
-        kind = np.dtype("<u2" if _encoder(settings.vocabulary)[1] <= 1 << 16 and settings.end_id < 1 << 16 else "<u4")
+        kind = np.dtype("<u2" if _encoder(settings.vocabulary).size <= 1 << 16 and settings.end_id < 1 << 16 else "<u4")
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for i, data, offsets in spans.pieces(batch.column("text")):

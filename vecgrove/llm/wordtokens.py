@@ -1,7 +1,8 @@
 """Sub-word ids of words, each distinct word encoded once per worker.
 
-Both vocabularies in use never join characters across ASCII white space, so the ids of a text are those of its
-white-space separated chunks in order.  The memory of a worker is bounded by ``most`` cached chunks.
+The vocabularies in use never join characters across ASCII white space, so the ids of a text are those of its parts
+in order.  Known words are kept as sorted hashes with their ids, at most ``most`` of them, so a worker's memory is
+bounded.
 """
 
 from __future__ import annotations
@@ -14,13 +15,14 @@ from vecgrove.llm import spans
 
 
 class WordTokens:
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], most: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 2_000_000):
+        """``encode`` gives the ids of all the words, one after the other, and how many each has."""
         self.encode, self.most = encode, most
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.flat, self.at = np.zeros(1 << 16, np.uint32), np.zeros(1, np.int64)
+        self.known, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.flat, self.used = np.zeros(1 << 16, np.uint16), 0
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all the words in order, and how many each has."""
@@ -29,28 +31,39 @@ class WordTokens:
         ordered = np.sort(hashes)
         distinct = ordered[spans.runs(ordered)[0]]
         which = np.searchsorted(distinct, hashes)
-        if len(self.slot) + len(distinct) > self.most and self.slot:
-            self.clear()
-        keys = distinct.tolist()
-        new = [i for i, k in enumerate(keys) if k not in self.slot]
-        if new:
+        at, found = self._find(distinct)
+        if not found.all():
+            if len(self.known) + int((~found).sum()) > self.most:
+                self.clear()
+                found = np.zeros(len(distinct), bool)
             seen = np.zeros(len(distinct), np.int64)
             seen[which] = np.arange(len(hashes))
-            raw = data.tobytes()
-            at = seen[new]
-            ids = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            n = len(self.at) - 1
-            self.slot.update((keys[i], n + k) for k, i in enumerate(new))
-            more = np.fromiter((x for one in ids for x in one), np.uint32)
-            self._append(more, np.fromiter(map(len, ids), np.int64, len(ids)))
-        slots = np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))[which]
-        first, sizes = self.at[slots], self.at[slots + 1] - self.at[slots]
+            self._learn(distinct[~found], data.tobytes(), starts[seen[~found]].tolist(), ends[seen[~found]].tolist())
+            at, _ = self._find(distinct)
+        first, sizes = self.first[at][which], self.size[at][which].astype(np.int64)
         stop = np.cumsum(sizes)
-        return self.flat[np.repeat(first - (stop - sizes), sizes) + np.arange(stop[-1])], sizes
-
-    def _append(self, more: np.ndarray, sizes: np.ndarray) -> None:
-        used = int(self.at[-1])
-        if used + len(more) > len(self.flat):
-            self.flat = np.concatenate([self.flat[:used], np.zeros(max(used, len(more) * 2, 1 << 16), np.uint32)])
-        self.flat[used : used + len(more)] = more
-        self.at = np.concatenate([self.at, used + np.cumsum(sizes)])
+        return self.flat[np.repeat(first - (stop - sizes), sizes) + np.arange(stop[-1])].astype(np.uint32), sizes
+
+    def _find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.known):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+        at = np.minimum(np.searchsorted(self.known, wanted), len(self.known) - 1)
+        return at, self.known[at] == wanted
+
+    def _learn(self, new: np.ndarray, raw: bytes, starts: list[int], ends: list[int]) -> None:
+        ids, sizes = self.encode([raw[a:b].decode("utf-8", "replace") for a, b in zip(starts, ends, strict=True)])
+        if len(ids) and ids.max() >= 1 << 16 and self.flat.dtype == np.uint16:
+            self.flat = self.flat.astype(np.uint32)
+        if self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat[: self.used], np.zeros(max(self.used // 2, len(ids), 1 << 16), self.flat.dtype)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        place = np.searchsorted(self.known, new)
+        self.known = np.insert(self.known, place, new)
+        self.first = np.insert(self.first, place, self.used + np.cumsum(sizes) - sizes)
+        self.size = np.insert(self.size, place, sizes)
+        self.used += len(ids)
+
+
+def listed(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((x for one in ids for x in one), np.uint32, int(sizes.sum())), sizes
