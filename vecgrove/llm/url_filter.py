@@ -26,7 +26,7 @@ class Settings:
     buckets: int = 4096
     most_labels: int = 4096
     rounds: int = 30
-    rate: float = 2.0
+    rate: float = 6.0
     ridge: float = 1e-3
     threshold: float = 0.5
 
