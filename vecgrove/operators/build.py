@@ -219,7 +219,7 @@ def _large_tree(rows: DataFrame, tree: int, config: IndexConfig, kernel: Kernel,
     def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
         points = kernel.prepare(np.stack(pdf["vector"].to_numpy()))
-        base = (int(pdf["part"].iloc[0]) << 40) + (int(pdf["piece"].iloc[0]) << 20) + 2
+        base = (int(pdf["part"].iloc[0]) << 34) + (int(pdf["piece"].iloc[0]) << 17) + 2
         out, parts = np.zeros(len(pdf), np.int64), []
         for k, own in enumerate(training.groups(points, pdf["key"].to_numpy(), config.leaf_max, config.leaf_min, config.sample_items, kernel)):
             mean = _mean(points[own])
@@ -236,10 +236,10 @@ def _large_tree(rows: DataFrame, tree: int, config: IndexConfig, kernel: Kernel,
         up = config.with_(leaf_min=min(config.internal_min, config.internal_max // 2), leaf_max=config.internal_max)
         points = np.stack(pdf["centroid"].to_numpy()).astype(np.float32)
         parent_of, parts = construct_tree(points, np.arange(len(points)), up, kernel)
-        high = 1 << 60
-        lifted = lambda p: 1 if p == 1 else high + p
-        parts["part_id"] = parts["part_id"].map(lifted)
-        parts["parent_id"] = parts["parent_id"].map(lambda p: p if pd.isna(p) else lifted(p))
+        # Above all leaves' ids, and below what a double holds exactly, as pandas may pass through doubles.
+        lifted = lambda p: None if pd.isna(p) else 1 if p == 1 else (1 << 52) + int(p)
+        parts["parent_id"] = pd.array([lifted(p) for p in parts["parent_id"]], "Int64")
+        parts["part_id"] = [lifted(p) for p in parts["part_id"]]
         parts = parts.assign(level=parts["level"] + 1, tree_id=tree, epoch=1, state="Ready", dispersion=0.0)
         own = pdf.assign(parent_id=[lifted(p) for p in parent_of])
         return _aligned(pd.concat([own, parts], ignore_index=True))

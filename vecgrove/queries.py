@@ -274,7 +274,7 @@ def _(spark, d):
     return s.select("leaf_id", *[classify(validate(p, c), c, F.col("entries")).alias(f"by_{n}") for n, p in _CLASS_PREDICATES.items()])
 
 
-_SOUND = {n: p for n, p in PREDICATES.items()}
+_SOUND = {n: p for n, (p, _) in PREDICATES.items()}
 
 
 @add("synopsis_is_sound", " UNION ALL ".join(f"SELECT '{n}' AS name, 0::bigint AS missed" for n in _SOUND))
@@ -284,7 +284,7 @@ def _(spark, d):
     rows, s = leaf_rows(spark, d), build.synopses(leaf_rows(spark, d), c)
     counts = []
     joined = rows
-    for i, (_, p) in enumerate(_SOUND.items()):
+    for i, p in enumerate(_SOUND.values()):
         t, f, u = truths(validate(p, c), c)
         s = s.withColumn(f"t{i}", t).withColumn(f"f{i}", f).withColumn(f"u{i}", u)
     flags = s.select("leaf_id", *[f"{k}{i}" for i in range(len(_SOUND)) for k in "tfu"])
