@@ -2,7 +2,7 @@
 
 The n-grams of host and path (each with its own hash seed and with end marks) fall into ``buckets`` buckets; a
 url's logit is the mean weight of its n-grams times the root of their number.  Weights are learned from a small
-labelled url table, of at most ``most_labels`` rows, by gradient descent: each round is one aggregation over the
+labelled url table, of at most ``most_labels`` rows, by gradient descent with momentum: each round is one aggregation over the
 exploded n-grams of that table, in a single partition as the table is bounded, and hands back ``buckets`` numbers.
 Scoring is a fold over a url's n-gram array: no shuffle and no join.
 
@@ -25,8 +25,9 @@ class Settings:
     sizes: tuple[int, ...] = (3, 4, 5)
     buckets: int = 4096
     most_labels: int = 4096
-    rounds: int = 30
-    rate: float = 6.0
+    rounds: int = 40
+    rate: float = 1.0
+    momentum: float = 0.9
     ridge: float = 1e-3
     threshold: float = 0.5
 
@@ -101,18 +102,16 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> tuple[list[fl
         if n > settings.most_labels:
             raise ValueError(f"more than {settings.most_labels} labelled urls")
         weights, intercept = [0.0] * settings.buckets, 0.0
+        pace = [0.0] * (settings.buckets + 1)
         for _ in range(settings.rounds if n else 0):
             # In the plan once for all n-grams of a row: error times that row's scale.
             error = (F.lit(1.0) / (F.lit(1.0) + F.exp(-_logit(F.col("g"), weights, intercept))) - F.col("y")).alias("e")
             steps = rows.select("g", error).select(F.explode(F.concat("g", F.array(F.lit(settings.buckets)))).alias("i"), F.col("e"), F.sqrt(F.size("g")).alias("scale"))
             slope = steps.groupBy("i").agg(F.sum(F.when(F.col("i") == settings.buckets, F.col("e")).otherwise(F.col("e") / F.col("scale"))).alias("d"))
-            new = list(weights)
-            for i, d in slope.collect():
-                if i == settings.buckets:
-                    intercept -= settings.rate * d / n
-                else:
-                    new[i] = weights[i] - settings.rate * (d / n + settings.ridge * weights[i])
-            weights = new
+            found = {r["i"]: r["d"] / n for r in slope.collect()}
+            pace = [settings.momentum * p - settings.rate * (found.get(i, 0.0) + (settings.ridge * weights[i] if i < settings.buckets else 0.0)) for i, p in enumerate(pace)]
+            weights = [w + p for w, p in zip(weights, pace, strict=False)]
+            intercept += pace[-1]
         return weights, intercept
     finally:
         rows.unpersist()
