@@ -89,3 +89,42 @@ def clustered(n: int, clusters: int, dimension: int, separation: float = 1.0, se
     r = Random(seed)
     centres = [[(2 * r.unit() - 1) * 2 * separation for _ in range(dimension)] for _ in range(clusters)]
     return np.array([[c + 0.15 * r.gauss() for c in centres[r.next() % clusters]] for _ in range(n)], np.float32)
+
+
+def skewed(n: int, dimension: int, seed: int = 42) -> np.ndarray:
+    """Eight hot spots on the diagonal, each half as likely as the one before, with a spread of 0.1."""
+    r, out = Random(seed), []
+    for _ in range(n):
+        u, spot = r.unit(), 0
+        while spot < 7 and u >= 1 - 0.5 ** (spot + 1):
+            spot += 1
+        out.append([spot + 0.1 * r.gauss() for _ in range(dimension)])
+    return np.array(out, np.float32)
+
+
+def duplicates(n: int, bases: int, dimension: int, seed: int = 42) -> np.ndarray:
+    """Copies of a few vectors, half of them exact and half moved by a thousandth."""
+    r = Random(seed)
+    base = [[2 * r.unit() - 1 for _ in range(dimension)] for _ in range(bases)]
+    out = []
+    for i in range(n):
+        own = base[i % bases]
+        out.append([x + 1e-3 * r.gauss() for x in own] if r.unit() < 0.5 else own)
+    return np.array(out, np.float32)
+
+
+def generate(spec: str, dimension: int, seed: int = 42) -> np.ndarray:
+    """uniform:N, clustered:N:C[:sep], skewed:N or dups:N:M."""
+    kind, *rest = spec.split(":")
+    if kind == "uniform":
+        return uniform(int(rest[0]), dimension, seed)
+    if kind == "clustered":
+        return clustered(int(rest[0]), int(rest[1]), dimension, float(rest[2]) if len(rest) > 2 else 1.0, seed)
+    if kind == "skewed":
+        return skewed(int(rest[0]), dimension, seed)
+    require(kind == "dups", "dataset")
+    return duplicates(int(rest[0]), int(rest[1]), dimension, seed)
+
+
+def frame(spark: SparkSession, vectors: np.ndarray) -> DataFrame:
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, vector array<float>")
