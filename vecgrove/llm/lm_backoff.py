@@ -86,14 +86,11 @@ def _unpack_counts(packed: bytes) -> np.ndarray:
 
 def _ask(table: pa.Table, order: int, ranges: int) -> Iterator[dict]:
     levels, _ = _grams(table.column("text"), order)
-    edge = [(k << 64) // ranges for k in range(1, ranges)]
     for n, h in enumerate(levels, 1):
         keys, counts = _distinct(h)
-        cuts = np.concatenate([[0], np.searchsorted(keys, np.array(edge, np.uint64)), [len(keys)]]).astype(int)
-        for r in range(ranges):
-            a, b = cuts[r], cuts[r + 1]
-            if a < b:
-                yield {"range": r, "n": n, "keys": _pack_keys(keys[a:b]), "counts": _pack_counts(counts[a:b])}
+        of = ((keys >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)
+        for a, size in zip(*(x.tolist() for x in spans.runs(of)), strict=True):
+            yield {"range": int(of[a]), "n": n, "keys": _pack_keys(keys[a : a + size]), "counts": _pack_counts(counts[a : a + size])}
 
 
 def _answer(table: pa.Table) -> pa.Table:
