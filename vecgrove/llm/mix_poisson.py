@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import unit_hash
+from vecgrove.llm.common import materialise, unit_hash
 
 
 @dataclass(frozen=True)
@@ -63,7 +63,8 @@ def poisson(u: Column, rate: Column, most: int) -> Column:
 def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """A struct ``row`` of the document, mix_copies, mix_copy (from 0) and mix_order (the shuffle's key), shuffled."""
     most = int(settings.most_rate + 12 * max(1.0, settings.most_rate) ** 0.5 + 12)
-    per = rates(docs, source_col, text_col, settings)
+    # Written first, so that Spark knows its size when it chooses how to join it to the texts.
+    per = materialise(rates(docs, source_col, text_col, settings), "rates")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     seeded = unit_hash(F.lit(settings.seed), F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))))
     joined = packed.join(per, F.col(f"row.`{source_col}`").cast("string").eqNullSafe(F.col("mix_source")))
