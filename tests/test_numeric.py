@@ -4,6 +4,7 @@ import pytest
 from vecgrove.functions.distance import Kernel, half_away
 from vecgrove.functions.rabitq import LEVELS, Query, encode
 from vecgrove.operators import recall, training
+from vecgrove.plans.local_graph import LocalGraph
 from vecgrove.plans.traverse import Topology, traverse
 from vecgrove.sources import datasets
 
@@ -104,3 +105,26 @@ def test_regressions():
     before = {"p95_ms": 10.0, "throughput": 100.0, "recall": 0.95}
     assert recall.regressions({"p95_ms": 13.0, "throughput": 90.0, "recall": 0.94}, before) == ["p95_ms"]
     assert recall.regressions({"p95_ms": 0.9, "throughput": 70.0, "recall": 0.92}, {"p95_ms": 0.5} | before | {"p95_ms": 0.5}) == ["throughput", "recall"]
+
+
+def test_local_graph_finds_neighbours():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(600, 8)).astype(np.float32)
+    kernel = Plain("l2", 8, 1)
+    graph = LocalGraph(x, kernel, 8, 60, 3)
+    found = 0
+    for q in x[:50] + 0.05:
+        exact = np.argsort(kernel.routing(q[None], x)[0], kind="stable")[:10]
+        got = graph.search(q, 10, 64)
+        assert [d for d, _ in got] == sorted(d for d, _ in got) and len(got) == 10
+        found += len({i for _, i in got} & set(exact.tolist()))
+    assert found >= 480
+    assert len(graph.search(x[0], 600, 64)) == 600 and graph.search(x[0], 1, 1)[0][1] == 0
+    assert LocalGraph(x, kernel, 8, 60, 3).links == graph.links
+
+
+def test_traversal_by_graph():
+    topology, kernel = two_trees(), Plain("l2", 1, 1)
+    topology.build_graphs(kernel, 2, 8, 7, least=2)
+    q = np.zeros(1, np.float32)
+    assert traverse(topology, kernel, q, [0, 1], 2, 100, ef=4).leaves == traverse(topology, kernel, q, [0, 1], 2, 100).leaves

@@ -64,7 +64,7 @@ class IndexConfig:
     sample_items: int = 1024
     seed: int = 7
     hnsw: tuple[int, int, int] | None = (16, 200, 7)
-    """M, efConstruction and seed of partition-local graphs; accepted and validated, exact scoring stands in for them."""
+    """M, efConstruction and seed of partition-local graphs, which the ``hnsw`` routing uses."""
 
     def __post_init__(self):
         require(1 <= self.dimension <= MAX_DIMENSION, "dimension")

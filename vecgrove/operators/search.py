@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecgrove.config import IndexConfig, SearchOptions
+from vecgrove.errors import require
 from vecgrove.functions import distance
 from vecgrove.functions.predicate import Predicate, classify, to_column, validate
 from vecgrove.functions.rabitq import Codes, Query
@@ -55,6 +56,11 @@ def search(snapshot: Snapshot, config: IndexConfig, queries: DataFrame, predicat
     trees, scanned = treekeys.enumerate_trees(snapshot.table("trees"), predicate, config, options.tree_keys)
     order = {r["tree_id"]: r["tree_rank"] for r in trees.select("tree_id", "tree_rank").collect()}
     topology = Topology.load(snapshot.table("partitions").filter(F.col("tree_id").isin(list(order))) if len(order) <= 256 else snapshot.table("partitions"), config.dimension, options.working_bytes)
+    ef = 0
+    if options.routing == "hnsw":
+        require(config.hnsw is not None, "no graph")
+        topology.build_graphs(kernel, *config.hnsw)
+        ef = options.ef
     classes = leaf_classes(snapshot, config, predicate)
     entries = snapshot.table("leaf_entries")
     matches = None
@@ -72,7 +78,7 @@ def search(snapshot: Snapshot, config: IndexConfig, queries: DataFrame, predicat
             rows = []
             vectors = kernel.prepare(np.stack(pdf["vector"].to_numpy())) if len(pdf) else []
             for qid, q in zip(pdf["qid"], vectors, strict=True):
-                v = traverse(topology, kernel, q, trees, options.leaf_beam, options.partitions, matches, order)
+                v = traverse(topology, kernel, q, trees, options.leaf_beam, options.partitions, matches, order, ef)
                 rows.append((qid, q.tolist(), [x[0] for x in v.leaves], [x[1] for x in v.leaves], v.partitions, v.exhausted))
             yield pd.DataFrame(rows, columns=["qid", "prepared", "trees", "leaves", "visited_partitions", "partitions_exhausted"])
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 
 from vecgrove.errors import require
 from vecgrove.functions.distance import DISPERSION_WEIGHT, Kernel
+from vecgrove.plans.local_graph import LocalGraph, seed_of
 
 ROOT = 1
 
@@ -23,6 +24,7 @@ class Topology:
     def __init__(self, tree: np.ndarray, part: np.ndarray, parent: np.ndarray, level: np.ndarray, centroid: np.ndarray, dispersion: np.ndarray):
         self.level_of = dict(zip(zip(tree.tolist(), part.tolist(), strict=True), level.tolist(), strict=True))
         self.children: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray, int]] = {}
+        self.graphs: dict[tuple[int, int], LocalGraph] = {}
         has = np.flatnonzero(parent > 0)
         order = has[np.lexsort((part[has], parent[has], tree[has]))]
         if len(order):
@@ -32,6 +34,12 @@ class Topology:
                 own = order[a:b]
                 self.children[int(tree[own[0]]), int(parent[own[0]])] = (part[own], centroid[own], dispersion[own], int(level[own[0]]))
 
+    def build_graphs(self, kernel: Kernel, m: int, ef_construction: int, seed: int, least: int = 64) -> None:
+        """For partitions of at least ``least`` children; fewer are scored one by one in any case."""
+        for (tree, part), (_, centroid, _, _) in self.children.items():
+            if len(centroid) >= least:
+                self.graphs[tree, part] = LocalGraph(centroid, kernel, m, ef_construction, seed_of(seed, tree, part))
+
     @staticmethod
     def load(partitions: DataFrame, dimension: int, ceiling: int) -> Topology:
         require(partitions.count() * (4 * dimension + 64) <= ceiling, "routing tables", "LimitExceeded")
@@ -48,8 +56,8 @@ class Visits:
     distances: int = 0
 
 
-def traverse(topology: Topology, kernel: Kernel, query: np.ndarray, trees: list[int], beam: int, budget: int, matches: dict[tuple[int, int], int] | None = None, trees_order: dict[int, int] | None = None) -> Visits:
-    """``query`` is prepared.  With ``matches`` (entries per leaf that pass the filter) the search goes on past leaves
+def traverse(topology: Topology, kernel: Kernel, query: np.ndarray, trees: list[int], beam: int, budget: int, matches: dict[tuple[int, int], int] | None = None, trees_order: dict[int, int] | None = None, ef: int = 0) -> Visits:
+    """``query`` is prepared.  With ``ef``, children of partitions that have a graph are found by it.  With ``matches`` (entries per leaf that pass the filter) the search goes on past leaves
     without a match, tree by tree, until ``beam`` leaves with one are seen or nothing is left."""
     out = Visits()
     rank = trees_order or {t: i for i, t in enumerate(trees)}
@@ -59,7 +67,13 @@ def traverse(topology: Topology, kernel: Kernel, query: np.ndarray, trees: list[
         if found is None:
             return []
         parts, centroid, dispersion, level = found
-        score = kernel.routing(query[None], centroid)[0]
+        graph = topology.graphs.get((tree, part)) if ef else None
+        if graph is not None and beam_width(beam, level) < len(parts):
+            near = graph.search(query, beam_width(beam, level), ef)
+            rows = np.array([i for _, i in near])
+            score, parts, dispersion = np.array([d for d, _ in near]), parts[rows], dispersion[rows]
+        else:
+            score = kernel.routing(query[None], centroid)[0]
         if kernel.metric == "cosine" and level == 1:
             score = score + DISPERSION_WEIGHT * dispersion
         out.distances += len(parts)

@@ -543,6 +543,12 @@ def _(spark, d):
     return index(spark, d).search(stated(records(spark, d)), None, SearchOptions(k=10, leaf_beam=1)).hits
 
 
+@add("ann_search_graph_routing", sql_knn("cosine", 10))
+def _(spark, d):
+    """Routing by local graphs with a beam over all leaves, which is exhaustive."""
+    return index(spark, d, "cosine").search(stated(records(spark, d)), None, SearchOptions(k=10, leaf_beam=16384, partitions=16384, routing="hnsw")).hits
+
+
 @add("ann_usage_report")
 def _(spark, d):
     return index(spark, d).search(stated(records(spark, d)), PREDICATES["gt"][0], SearchOptions(k=10, leaf_beam=2, partitions=24)).usage
