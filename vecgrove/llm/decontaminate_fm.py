@@ -148,24 +148,23 @@ def _blocks(benchmark: DataFrame, id_col: str, text_col: str, settings: Settings
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """A struct ``row`` of the document's columns, its text's words, the merged hit spans and the items found."""
     out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    field = f"row.`{text_col}`"
     for k, block in enumerate(_blocks(benchmark, item_id_col, item_text_col, settings)):
-        found = _pass(out, field, Passages(block, settings.window), settings)
+        found = _pass(out, text_col, Passages(block, settings.window), settings)
         out = found if k == 0 else found.select("row", "n_words", _merged("spans", "old_spans").alias("spans"), F.array_union("items", "old_items").alias("items"))
     return out
 
 
-def _pass(df: DataFrame, field: str, passages: Passages, settings: Settings) -> DataFrame:
+def _pass(df: DataFrame, text_col: str, passages: Passages, settings: Settings) -> DataFrame:
     """Scans the texts for one block; columns of an earlier pass stay as old_*."""
     earlier = [F.col(c).alias(f"old_{c}") for c in df.columns if c != "row"]
-    packed = df.select("row", *earlier, F.expr(field).cast("string").alias("text"))
-    kept = packed.columns[:-1]
+    packed = df.select("row", *earlier)
+    kept = packed.columns
     shared = df.sparkSession.sparkContext.broadcast(passages)
     most = settings.shard_bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data, offsets in spans.pieces(batch.column("text"), most):
+            for i, data, offsets in spans.pieces(spans.field(batch.column("row"), text_col), most):
                 own = [batch.column(c).slice(i, len(offsets) - 1) for c in kept]
                 yield pa.RecordBatch.from_arrays(own + find_in_piece(data, offsets, shared.value), [*kept, "n_words", "spans", "items"])
 

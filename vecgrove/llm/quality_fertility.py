@@ -62,7 +62,7 @@ def _encoder(vocabulary: str) -> tuple[WordTokens, np.ndarray]:
 
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary))
         is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
-        _encoders[vocabulary] = WordTokens(lambda words: listed(model.encode(words, num_threads=1))), is_byte
+        _encoders[vocabulary] = WordTokens(lambda words: listed(model.encode(words, num_threads=1)), most=1_000_000), is_byte
     return _encoders[vocabulary]
 
 
@@ -140,12 +140,13 @@ def measure_piece(data: np.ndarray, offsets: np.ndarray, vocabulary: str, width:
 def measures(docs: DataFrame, text_col: str = "text", keep: list[str] | None = None, vocabulary: str = VOCABULARY, bands: Bands = Bands()) -> DataFrame:
     """A struct ``row`` of the columns ``keep`` (default: all), and the measures."""
     keep = docs.columns if keep is None else keep
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    whole = text_col in keep
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), *[] if whole else [F.col(f"`{text_col}`").alias("text")])
     width = bands.window
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data, offsets in spans.pieces(batch.column("text")):
+            for i, data, offsets in spans.pieces(spans.field(batch.column("row"), text_col) if whole else batch.column("text")):
                 columns = measure_piece(data, offsets, vocabulary, width)
                 arrays = [batch.column("row").slice(i, len(offsets) - 1)]
                 arrays += [pa.array(c.astype(np.int64 if k < 6 else np.float64)) for k, c in enumerate(columns)]

@@ -6,10 +6,12 @@ itself whether it belongs to a word and no text has to become a Python string.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SPACE = np.ones(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = False
@@ -33,6 +35,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def field(rows: pa.Array, name: str) -> pa.Array:
+    """One column of packed rows."""
+    return pc.struct_field(rows, [rows.type.get_field_index(name)])
+
+
 def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and the offsets of each (null: empty)."""
     if isinstance(texts, pa.ChunkedArray):
@@ -47,8 +54,24 @@ def buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(texts: pa.Array, most: int = 2 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def pieces(texts: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, offsets) of runs of whole texts of about ``most`` bytes, so that memory stays bounded."""
+    try:
+        yield from _pieces(texts, most)
+    finally:
+        release()
+
+
+def release() -> None:
+    """Hands freed memory back: workers live on between tasks and share a machine with the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def _pieces(texts: pa.Array, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     data, offsets = buffers(texts)
     n, i = len(offsets) - 1, 0
     while i < n:
