@@ -173,8 +173,9 @@ def judge(measured: DataFrame, lang: str, bands: Bands = Bands()) -> DataFrame:
             *[((F.col(c)[2] - F.col(c)[0]) / 1.349).alias(f"s_{short}{suffix}") for c, short in (("chars_per_token", "cpt"), ("entropy", "ent"))],
         )
 
-    own = centre(["band_lang", "size_class"], "_own")
-    every = centre(["size_class"], "_all")
+    # Written first, so that Spark knows their size when it chooses how to join them: small ones leave the texts in place.
+    own = materialise(centre(["band_lang", "size_class"], "_own"), "bands")
+    every = materialise(centre(["size_class"], "_all"), "bands")
     joined = has.join(own, F.col("band_lang").eqNullSafe(F.col("band_lang_own")) & (F.col("size_class") == F.col("size_class_own")), "left")
     joined = joined.join(every, F.col("size_class") == F.col("size_class_all"), "left")
     enough = F.coalesce(F.col("n_own") >= bands.few, F.lit(False))
