@@ -10,7 +10,7 @@ The benchmark is the query set: it is taken in blocks of at most ``block_bytes``
 only such a block ever travels to all executors.  Documents aren't shuffled.
 
 Defined results: null and empty texts have no words and are clean; null or empty items have no passage;
-a null item id is reported as null; rows are judged one by one, so repeated ids stay apart; other columns
+a null item id is reported as null and repeated ones once; rows are judged one by one, so repeated ids stay apart; other columns
 are kept by ``remove_spans`` and ignored by ``find``; an empty table or benchmark gives no hit.
 """
 
@@ -188,6 +188,7 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
     narrow = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     found = find(narrow, benchmark, settings=settings)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["first"])
+    found = found.withColumn("items", F.array_distinct("items"))
     names = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return found.select(
         F.col("row.doc_id").alias("doc_id"), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
