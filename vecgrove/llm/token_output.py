@@ -151,7 +151,8 @@ def starts(manifest: DataFrame, group: int = 1024) -> DataFrame:
 
 def read(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """One row per entry, read back from the shards: doc_id, start, n_tokens, ids_crc32, and the ids if asked for."""
-    shards = starts(manifest).select("path", "start", "width").repartition("path")
+    # As many tasks as shards: rows of the manifest are tiny, and would else be taken together into one task.
+    shards = starts(manifest).select("path", "start", "width").repartition(max(1, manifest.count()), "path")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -147,7 +147,9 @@ def read(manifest: DataFrame) -> DataFrame:
                 if rows:
                     yield _batch(rows)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    # As many tasks as archives: rows of the manifest are tiny, and would else be taken together into one task.
+    archives = manifest.select("path").repartition(max(1, manifest.count()), "path")
+    return archives.mapInArrow(run, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
