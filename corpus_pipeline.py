@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecgrove.llm import decontaminate_fm, mix_poisson, quality_fertility, simhash_vptree, token_output
+from vecgrove.llm import decontaminate_fm, mix_poisson, quality_fertility, shingle_copies, token_output
 from vecgrove.llm.common import materialise, table
 
 
@@ -14,8 +14,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    return simhash_vptree.keep_one(docs)
+    """Of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, one stays."""
+    return shingle_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecgrove.llm import decontaminate_fm, line_templates, lm_backoff, mix_poisson, quality_fertility, simhash_vptree, sstable, token_output, toxicity_segments, url_filter, warc_revisit
+from vecgrove.llm import decontaminate_fm, line_templates, lm_backoff, mix_poisson, quality_fertility, shingle_copies, simhash_vptree, sstable, token_output, toxicity_segments, url_filter, warc_revisit
 from vecgrove.llm.fm_index import FMIndex, suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, kept boolean"
@@ -341,6 +341,36 @@ def test_warc(spark, tmp_path):
     rows = [(0, "http://a", "same"), (5, "http://b\r\nX: y", "same"), (3, None, "same"), (7, "u", None), (8, "u", ""), (9, "ü", "é" * 3000), (-4, "u", "same"), (9, "ü", "é" * 3000), (None, "u", "same")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, refers_to string")
     manifest = warc_revisit.write(pages, f"file://{tmp_path}/w")
+def jaccard_by_hand(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_duplicates_stage(spark):
+    import corpus_pipeline
+
+    rng, texts, want = np.random.default_rng(4), [], {}
+    for i in range(60):
+        ws = words(300, i, 5000).split()
+        texts.append((2 * i, " ".join(ws)))
+        for at in rng.choice(300, 2 + i % 12, replace=False):
+            ws[at] = f"new{at}"
+        texts.append((2 * i + 1, " ".join(ws)))
+        want[i] = jaccard_by_hand(texts[-2][1], texts[-1][1])
+    assert sum(0.8 <= s < 0.9 for s in want.values()) >= 10 and sum(s < 0.8 for s in want.values()) >= 10
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = stage(spark, docs_of(spark, texts), "")
+    assert {r["doc_id"] for r in kept.collect()} == {2 * i for i in want} | {2 * i + 1 for i, s in want.items() if s < 0.8}
+    # A chain in which the two ends are not similar, and rows with repeated, null and clashing ids.
+    base = words(300, 900, 5000).split()
+    step = [" ".join(["a", "b", "c", "d"] * k + base[30 * k :]) for k in range(3)]
+    assert jaccard_by_hand(step[0], step[1]) >= 0.8 and jaccard_by_hand(step[1], step[2]) >= 0.8 > jaccard_by_hand(step[0], step[2])
+    odd = [(i, t) for i, t in enumerate(step)] + [(9, words(50, 901)), (9, words(50, 901)), (None, words(50, 902)), (None, words(50, 902)), (8, words(50, 903)), (8, words(50, 901))]
+    got = Counter((r["doc_id"], r["text"]) for r in stage(spark, docs_of(spark, odd), "").collect())
+    assert got == Counter([(0, step[0]), (8, words(50, 901)), (None, words(50, 902)), (8, words(50, 903))])
+    assert stage(spark, docs_of(spark, []), "").count() == 0
+
+
     got = by_row(warc_revisit.read(manifest), ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
     expected, last = Counter(), defaultdict(int)
     for i, _, h in rows:

@@ -1,0 +1,173 @@
+"""Near copies by exact Jaccard similarity of word shingles; candidates come from MinHash bands.
+
+A text is the set of its runs of ``width`` words (ASCII white space apart, A-Z in lower case; a shorter text is one
+run).  Equal sets are one node.  Nodes that share one of ``bands`` bands of ``rows`` minima are candidates: a pair of
+similarity s shares a band with probability 1 - (1 - s ** rows) ** bands, 0.9996 at 0.8.  Candidates count only if
+the similarity of their whole sets, as sorted 64-bit hashes, is at least ``similarity``.
+
+Each member of a band is first held against the least node of it, so a large group of copies needs one pair a
+member.  Where members are left in different components after that, all their pairs across components are held
+against each other: none is left out, and only groups that collide without being similar cost more than a pair each.
+
+Defined results: rows are told apart by id and text, not by id alone.  Of each component the row of least id stays
+(nulls last, then by a hash of id and text); of rows equal in id and text one stays; null and empty texts are copies
+of each other; extra columns are kept; an empty table gives an empty table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from vecgrove.llm import spans
+from vecgrove.llm.common import materialise
+from vecgrove.llm.components import components
+
+
+@dataclass(frozen=True)
+class Settings:
+    width: int = 5
+    similarity: float = 0.8
+    bands: int = 20
+    rows: int = 5
+    seed: int = 42
+
+
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of each text's distinct shingles, sorted, and each text's first one as offsets into them."""
+    data = spans.lower(data)
+    starts, ends, first = spans.words(data, offsets, spans.SPACE)
+    word, counts = spans.hashes(data, starts, ends), np.diff(first)
+    out, owner = [], []
+    for n in range(1, width + 1):
+        fits = counts == n if n < width else counts >= width
+        if not fits.any():
+            continue
+        of = spans.owner(first)[: max(0, len(word) - n + 1)]
+        at = np.flatnonzero(fits[of] & (np.arange(len(of)) + n <= first[1:][of]))
+        out.append(spans.mix(spans.windows(word, n)[at] + np.uint64(n)))
+        owner.append(of[at])
+    h = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    o = np.concatenate(owner) if owner else np.zeros(0, np.int64)
+    order = np.lexsort((h, o))
+    h, o = h[order], o[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (o[1:] != o[:-1])
+    h, o = h[new], o[new]
+    return h, np.searchsorted(o, np.arange(len(offsets)))
+
+
+def signatures(h: np.ndarray, first: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each set, and its bands."""
+    n, k = len(first) - 1, settings.bands * settings.rows
+    node, bands = np.zeros(n, np.uint64), np.zeros((n, settings.bands), np.uint64)
+    has = np.flatnonzero(np.diff(first))
+    if not len(has):
+        return node, bands
+    at = first[:-1][has]
+    node[has] = spans.mix(np.add.reduceat(spans.mix(h), at) + np.diff(first)[has].astype(np.uint64))
+    salts = np.random.default_rng(settings.seed).integers(1, 2**64, (2, k), dtype=np.uint64)
+    for b in range(settings.bands):
+        band = np.full(len(has), b + 1, np.uint64)
+        for i in range(b * settings.rows, (b + 1) * settings.rows):
+            band = spans.mix(band ^ np.minimum.reduceat((h ^ salts[0, i]) * (salts[1, i] | np.uint64(1)), at))
+        bands[has, b] = band
+    return node, bands
+
+
+def _key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(f"`{id_col}`").isNull(), F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string"))
+
+
+def _signed(docs: DataFrame, id_col: str, text_col: str, settings: Settings) -> DataFrame:
+    """key, id, node and bands, one row per document."""
+    narrow = docs.select(_key(id_col, text_col).alias("key"), F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data, offsets in spans.pieces(batch.column("text")):
+                node, bands = signatures(*shingle_sets(data, offsets, settings.width), settings)
+                n = len(node)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * settings.bands), pa.array(bands.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column("key").slice(i, n), batch.column("id").slice(i, n), pa.array(node.view(np.int64)), lists], ["key", "id", "node", "bands"])
+
+    return narrow.mapInArrow(run, "key long, id long, node long, bands array<long>")
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, settings: Settings) -> DataFrame:
+    """node and its sorted set as bytes, of the nodes of ``wanted`` (key, node), each read from one row of that key."""
+    narrow = docs.select(_key(id_col, text_col).alias("key"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    own = narrow.join(wanted, "key").select("node", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data, offsets in spans.pieces(batch.column("text")):
+                h, first = shingle_sets(data, offsets, settings.width)
+                packed = pa.array([h[a:b].tobytes() for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("node").slice(i, len(packed)), packed], ["node", "shingles"])
+
+    # Rows equal in id and text have one key: their sets are equal too.
+    return own.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs (a, b) whose sets' Jaccard similarity is at least ``similarity``."""
+    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
+    both = left.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = np.zeros(batch.num_rows, bool)
+            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
+                if min(len(x), len(y)) < settings.similarity * max(len(x), len(y)):
+                    continue
+                same = len(np.intersect1d(x, y, assume_unique=True))
+                good[i] = same >= settings.similarity * (len(x) + len(y) - same)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """key (of id and text), id and root, a number of the row's component; one row per document."""
+    signed = materialise(_signed(docs, id_col, text_col, settings), "signed")
+    nodes = signed.groupBy("node").agg(F.min("key").alias("key"), F.first("bands").alias("bands"))
+    members = nodes.select("node", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("band", "least")
+    met = materialise(members.join(shared, "band"), "bands")
+    stars = met.filter("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b")).distinct()
+    wanted = signed.select("key", "node").join(met.select("node").distinct(), "node").groupBy("node").agg(F.min("key").alias("key"))
+    sets = materialise(_sets(docs, id_col, text_col, wanted, settings), "sets")
+    edges = materialise(verified(stars, sets, settings), "similar")
+    roots = components(edges)
+    of = met.join(roots, "node", "left").select("band", "node", "least", F.coalesce("root", "node").alias("root"))
+    mixed = of.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("band")
+    apart = materialise(of.join(mixed, "band"), "apart")
+    x = apart.select("band", F.col("node").alias("a"), F.col("root").alias("of_a"))
+    y = apart.filter("node <> least").select("band", F.col("node").alias("b"), F.col("root").alias("of_b"), "least")
+    # Pairs with the least node have been held against each other.
+    across = x.join(y, "band").filter("of_a <> of_b and a < b and a <> least").select("a", "b").distinct()
+    more = materialise(verified(across, sets, settings), "similar")
+    if not more.isEmpty():
+        roots = components(edges.unionByName(more))
+    return signed.select("key", "id", "node").join(roots, "node", "left").select("key", "id", F.coalesce("root", "node").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
+    """Of each component one row stays, with all its columns."""
+    found = materialise(near_copies(docs, id_col, text_col, settings), "copies")
+    per_key = found.groupBy("root", "key").agg(F.min(F.struct(F.col("id").isNull(), "id", "key")).alias("place"), F.count("*").alias("n"))
+    best = per_key.groupBy("root").agg(F.min("place").alias("best"))
+    judged = per_key.join(best, "root").select("key", F.when(F.col("key") == F.col("best.key"), "again").otherwise("gone").alias("why"), "n")
+    out = materialise(judged.filter("why = 'gone' or n > 1").select(F.col("key").alias("other_key"), "why"), "gone")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _key(id_col, text_col).alias("row_key"))
+    on = F.col("row_key") == F.col("other_key")
+    single = keyed.join(out, on, "left_anti").select("row")
+    again = keyed.join(out.filter("why = 'again'"), on, "left_semi").groupBy("row_key").agg(F.first("row").alias("row")).select("row")
+    return single.unionByName(again).select("row.*")
