@@ -24,8 +24,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in equal shares, by repetition."""
-    return mix_poisson.mixture(docs)
+    """Sources in equal shares, by repetition as often as that takes."""
+    return mix_poisson.mixture(docs, settings=mix_poisson.Settings(most_rate=None))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -150,6 +150,20 @@ def url_by_hand(url):
         host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
     fits = [(h, p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
+def test_mixing_stage_reaches_targets(spark):
+    import corpus_pipeline
+
+    # Sources of 1, 10 and 2000 texts of equal length: the small ones need rates far beyond 4.
+    texts = [(i, f"{i:04d}" * 5, "tiny" if i < 1 else "small" if i < 11 else "large") for i in range(2011)]
+    df = spark.createDataFrame([(i, t, "en", s, 20, "clash", True) for i, t, s in texts], DOCS)
+    n = Counter(r["source"] for r in dict(corpus_pipeline.STAGES)["mixing"](spark, df, "").select("source").collect())
+    for s in ("tiny", "small", "large"):
+        assert abs(n[s] - 2011 / 3) < 5 * (2011 / 3) ** 0.5
+    per = {r["mix_source"]: r for r in mix_poisson.rates(df).collect()}
+    assert abs(per["small"]["asked"] - 1 / 3) < 1e-9 and abs(per["small"]["reached"] - 40 / 2011) < 1e-9
+    assert all(abs(r["reached"] - r["asked"]) < 1e-9 for r in mix_poisson.rates(df, settings=mix_poisson.Settings(most_rate=None)).collect())
+
+
     return host, path, None if best is None else best[0] + best[1], None if best is None else best[2]
 
 

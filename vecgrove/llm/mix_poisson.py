@@ -2,7 +2,9 @@
 
 A source's mean repetition rate is its target share of the budget over what it has.  A uniform number hashed from
 the seed, the id and the text goes through the inverse of the Poisson distribution with that mean: the number of
-probabilities, summed up, that it exceeds.  Each document is exploded by its count and all copies are shuffled
+probabilities, summed up, that it exceeds; a large mean is the sum of several such.  With ``most_rate`` a source
+whose rate is cut misses its target, and the mixture its budget: ``rates`` gives what was asked for and what is
+reached.  Each document is exploded by its count and all copies are shuffled
 by a hash of document and copy, so that any partition, and any run of rows within one, is a fair mixture.
 
 Per-source sums combine before the shuffle and come back by a join that Spark broadcasts if they are small; a hot
@@ -29,13 +31,13 @@ class Settings:
     default_weight: float = 1.0
     budget: float = 1.0
     """Characters of the mixture, as a multiple of the input's."""
-    most_rate: float = 4.0
-    """No source is repeated more often than this in the mean."""
+    most_rate: float | None = 4.0
+    """No source is repeated more often than this in the mean (the registered query's SQL has it); None: as often as its target takes."""
     seed: int = 17
 
 
 def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """mix_source, its characters, and the mean repetition rate."""
+    """mix_source, its characters, the mean repetition rate, and its shares of the budget: asked for and reached in the mean."""
     chars = F.greatest(F.coalesce(F.length(F.col(f"`{text_col}`")), F.lit(0)), F.lit(1))
     per = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("mix_source")).agg(F.sum(chars).cast("long").alias("chars"))
     weight = F.lit(float(settings.default_weight))
@@ -45,11 +47,18 @@ def rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", s
     total = per.agg(F.sum("chars").alias("all_chars"), F.sum("weight").alias("all_weight"))
     # One row joined to the sources: a sum over them, not a product of tables.
     both = per.withColumn("one", F.lit(1)).join(total.withColumn("one", F.lit(1)), "one")
-    rate = F.least(F.lit(settings.most_rate), F.lit(settings.budget) * F.col("all_chars") * (F.col("weight") / F.col("all_weight")) / F.col("chars"))
-    return both.select("mix_source", "chars", rate.alias("rate"))
+    rate = F.lit(settings.budget) * F.col("all_chars") * (F.col("weight") / F.col("all_weight")) / F.col("chars")
+    if settings.most_rate is not None:
+        rate = F.least(F.lit(settings.most_rate), rate)
+    reached = rate * F.col("chars") / (F.lit(settings.budget) * F.col("all_chars"))
+    return both.select("mix_source", "chars", rate.alias("rate"), (F.col("weight") / F.col("all_weight")).alias("asked"), reached.alias("reached"))
 
 
-def poisson(u: Column, rate: Column, most: int) -> Column:
+PART = 64.0
+"""A larger mean is cut into parts of at most this, as exp(-rate) would vanish."""
+
+
+def poisson(u: Column, rate: Column, most: int | Column) -> Column:
     """The least k with P(X <= k) > u; ``most`` bounds it far in the tail."""
     start = F.struct(F.exp(-rate).alias("p"), F.exp(-rate).alias("cdf"), F.lit(0).alias("k"))
 
@@ -57,18 +66,28 @@ def poisson(u: Column, rate: Column, most: int) -> Column:
         p = acc["p"] * rate / i
         return F.struct(p.alias("p"), (acc["cdf"] + p).alias("cdf"), (acc["k"] + F.when(u >= acc["cdf"], 1).otherwise(0)).alias("k"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(most)), start, step, lambda acc: acc["k"])
+    return F.aggregate(F.sequence(F.lit(1), most if isinstance(most, Column) else F.lit(most)), start, step, lambda acc: acc["k"])
 
 
 def replicate(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
     """A struct ``row`` of the document, mix_copies, mix_copy (from 0) and mix_order (the shuffle's key), shuffled."""
-    most = int(settings.most_rate + 12 * max(1.0, settings.most_rate) ** 0.5 + 12)
     # Written first, so that Spark knows its size when it chooses how to join it to the texts.
     per = materialise(rates(docs, source_col, text_col, settings), "rates")
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     seeded = unit_hash(F.lit(settings.seed), F.coalesce(F.col(f"row.`{id_col}`").cast("string"), F.lit("")), F.md5(F.coalesce(F.col(f"row.`{text_col}`").cast("string"), F.lit(""))))
+    rate = F.col("rate")
+
+    def tail(of: Column) -> Column:
+        return F.ceil(of + 12 * F.sqrt(F.greatest(F.lit(1.0), of)) + 12).cast("int")
+
+    if settings.most_rate is None or settings.most_rate > PART:
+        parts = F.ceil(rate / PART).cast("int")
+        several = F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda n, i: n + poisson(unit_hash(F.format_string("%.17g", "u"), i), rate / parts, tail(rate / parts)))
+        number = F.when(rate <= PART, poisson(F.col("u"), rate, tail(rate))).otherwise(several)
+    else:
+        number = poisson(F.col("u"), rate, int(settings.most_rate + 12 * max(1.0, settings.most_rate) ** 0.5 + 12))
     joined = packed.join(per, F.col(f"row.`{source_col}`").cast("string").eqNullSafe(F.col("mix_source")))
-    counted = joined.select("row", "rate", seeded.alias("u")).select("row", "u", poisson(F.col("u"), F.col("rate"), most).alias("mix_copies")).filter("mix_copies > 0")
+    counted = joined.select("row", "rate", seeded.alias("u")).select("row", "u", number.alias("mix_copies")).filter("mix_copies > 0")
     copies = counted.withColumn("mix_copy", F.explode(F.sequence(F.lit(0), F.col("mix_copies") - 1)))
     keyed = copies.select("row", "mix_copies", "mix_copy", F.md5(F.concat_ws(":", F.format_string("%.17g", "u"), F.col("mix_copy").cast("string"))).alias("mix_order"))
     return keyed.repartition("mix_order").sortWithinPartitions("mix_order")
