@@ -115,6 +115,18 @@ def test_quality_measures_and_bands(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_quality_of_rare_languages(spark):
+    main = [(i, words(80, i), "en") for i in range(120)]
+    # Rare languages of another fertility, and a language's only very short and very long texts.
+    rare = [(200 + i, " ".join(f"übermäßigkeit{x}ß" for x in np.random.default_rng(i).integers(0, 400, 80)), "de") for i in range(9)]
+    rare += [(300 + i, " ".join(chr(0x1200 + x) + chr(0x1210 + x) for x in np.random.default_rng(i).integers(0, 90, 80)), None) for i in range(3)]
+    sizes = [(400, words(22, 7), "en"), (401, words(6000, 8, 4000), "en")]
+    junk = [(500, " ".join("abcd"[(i * i) % 4] for i in range(40)) + " x", "fr"), (501, "".join(f"{w}*** $$$ " for w in words(300, 99).split()), "en")]
+    df = spark.createDataFrame([(i, t, lang, "s", len(t), "clash", True) for i, t, lang in main + rare + sizes + junk], DOCS)
+    kept = {r["doc_id"] for r in quality_fertility.keep_good(df).collect()}
+    assert kept == {i for i, _, _ in main + rare + sizes}
+
+
 # 3
 
 
@@ -138,18 +150,6 @@ def test_poisson(spark):
     assert list(u) == [int((cdf <= x).sum()) for x in (0.0, 0.2, 0.3, 0.6, 0.999)]
 
 
-# 4
-
-
-def url_by_hand(url):
-    host = path = ""
-    if url and "://" in url:
-        rest = url.split("://", 1)[1]
-        host = re.split(r"[/?#]", rest)[0]
-        path = re.split(r"[?#]", rest[len(host) :])[0]
-        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
-    fits = [(h, p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
-    best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
 def test_mixing_stage_reaches_targets(spark):
     import corpus_pipeline
 
@@ -164,6 +164,18 @@ def test_mixing_stage_reaches_targets(spark):
     assert all(abs(r["reached"] - r["asked"]) < 1e-9 for r in mix_poisson.rates(df, settings=mix_poisson.Settings(most_rate=None)).collect())
 
 
+# 4
+
+
+def url_by_hand(url):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest)[0]
+        path = re.split(r"[?#]", rest[len(host) :])[0]
+        host = re.sub("[A-Z]", lambda m: m[0].lower(), host)
+    fits = [(h, p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    best = max(fits, key=lambda r: len(r[0] + r[1]), default=None)
     return host, path, None if best is None else best[0] + best[1], None if best is None else best[2]
 
 
@@ -329,32 +341,6 @@ def test_links_against_all_pairs(spark):
     assert np.array_equal(simhash_vptree._least_labels(len(fps), a, b), simhash_vptree._least_labels(len(fps), i, j))
 
 
-# 8
-
-
-def test_line_templates(spark):
-    many = [(i, f"Copyright {2000 + i} all rights reserved\nunique {chr(97 + i) * 3} tail\n\nPage {i} of 90") for i in range(12)] + [(50, None), (51, ""), (52, "Page 3 of"), (53, "  \n"), (54, "a single line")]
-    many += [(60 + i, f"user item{chr(97 + i)} logged in from home today") for i in range(12)]
-    df = docs_of(spark, many)
-    got = {r["doc_id"]: r for r in line_templates.dedup(df).select("row.doc_id", "n_lines", "n_dropped", "kept_text").collect()}
-    assert all(got[i]["kept_text"].startswith("unique") and got[i]["n_dropped"] == 2 and got[i]["n_lines"] == 4 for i in range(12))
-    assert got[50]["kept_text"] is None and got[50]["n_lines"] == 0 and got[51]["kept_text"] == "" and got[54]["n_dropped"] == 0 and got[53]["kept_text"] == "  \n"
-    assert all(got[60 + i]["n_dropped"] == 0 for i in range(12))
-    deep = line_templates.dedup(df, settings=line_templates.Settings(depth=1)).select("row.doc_id", "n_dropped").collect()
-    assert all(r["n_dropped"] == 1 for r in deep if r["doc_id"] >= 60)
-    assert line_templates.dedup(df.limit(0)).count() == 0
-
-
-# 9
-
-
-def test_warc(spark, tmp_path):
-    import base64
-    import hashlib
-
-    rows = [(0, "http://a", "same"), (5, "http://b\r\nX: y", "same"), (3, None, "same"), (7, "u", None), (8, "u", ""), (9, "ü", "é" * 3000), (-4, "u", "same"), (9, "ü", "é" * 3000), (None, "u", "same")]
-    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, refers_to string")
-    manifest = warc_revisit.write(pages, f"file://{tmp_path}/w")
 def jaccard_by_hand(a, b):
     a, b = ({tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} for t in (a, b))
     return len(a & b) / len(a | b)
@@ -385,6 +371,32 @@ def test_near_duplicates_stage(spark):
     assert stage(spark, docs_of(spark, []), "").count() == 0
 
 
+# 8
+
+
+def test_line_templates(spark):
+    many = [(i, f"Copyright {2000 + i} all rights reserved\nunique {chr(97 + i) * 3} tail\n\nPage {i} of 90") for i in range(12)] + [(50, None), (51, ""), (52, "Page 3 of"), (53, "  \n"), (54, "a single line")]
+    many += [(60 + i, f"user item{chr(97 + i)} logged in from home today") for i in range(12)]
+    df = docs_of(spark, many)
+    got = {r["doc_id"]: r for r in line_templates.dedup(df).select("row.doc_id", "n_lines", "n_dropped", "kept_text").collect()}
+    assert all(got[i]["kept_text"].startswith("unique") and got[i]["n_dropped"] == 2 and got[i]["n_lines"] == 4 for i in range(12))
+    assert got[50]["kept_text"] is None and got[50]["n_lines"] == 0 and got[51]["kept_text"] == "" and got[54]["n_dropped"] == 0 and got[53]["kept_text"] == "  \n"
+    assert all(got[60 + i]["n_dropped"] == 0 for i in range(12))
+    deep = line_templates.dedup(df, settings=line_templates.Settings(depth=1)).select("row.doc_id", "n_dropped").collect()
+    assert all(r["n_dropped"] == 1 for r in deep if r["doc_id"] >= 60)
+    assert line_templates.dedup(df.limit(0)).count() == 0
+
+
+# 9
+
+
+def test_warc(spark, tmp_path):
+    import base64
+    import hashlib
+
+    rows = [(0, "http://a", "same"), (5, "http://b\r\nX: y", "same"), (3, None, "same"), (7, "u", None), (8, "u", ""), (9, "ü", "é" * 3000), (-4, "u", "same"), (9, "ü", "é" * 3000), (None, "u", "same")]
+    pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, refers_to string")
+    manifest = warc_revisit.write(pages, f"file://{tmp_path}/w")
     got = by_row(warc_revisit.read(manifest), ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
     expected, last = Counter(), defaultdict(int)
     for i, _, h in rows:

@@ -5,7 +5,9 @@ byte-fallback vocabulary.  Three measures judge a text: characters per token, th
 tokens, and the entropy of its tokens.  Bands for them come from all the documents of a language (and, as
 entropy grows with length, of a power of two of tokens): the median, plus or minus a multiple of the spread
 between the quartiles, never narrower than a share of the median.  A language and size class with few documents
-takes the bands of all languages together.
+takes the bands of its language over all sizes; there the entropy has to be low both in bits and as a share of
+the most that so many tokens can have, as the one grows and the other falls with length.  A language with few
+documents is held to absolute limits only, never to another language's bands.
 
 Defined results: a null or empty text has no words and fails the base rules; a null language is a language of
 its own; rows are judged one by one, so repeated rows and ids get the same answer each; other columns of the
@@ -46,7 +48,9 @@ class Bands:
     most_bytes: float = 0.10
     """Byte-fallback share that any language may have above its median."""
     few: int = 50
-    """A language and size class with fewer documents takes the bands of the size class in all languages."""
+    """A language and size class with fewer documents takes the bands of its language, a language with fewer none."""
+    floor_bits: float = 3.0
+    """The least entropy of a text whose language has no bands."""
     window: int = 8
     few_words: int = 20
     most_repeat_percent: int = 30
@@ -160,33 +164,41 @@ def judge(measured: DataFrame, lang: str, bands: Bands = Bands()) -> DataFrame:
     """Adds ``base_failed`` and ``kept``; ``lang`` is an expression over ``measured``, which is read twice."""
     has = measured.withColumn("band_lang", F.expr(lang)).withColumn("size_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     base = (F.col("n_words") < bands.few_words) | (100 * F.col("n_repeat_words") > bands.most_repeat_percent * F.col("n_words"))
-    has = has.withColumn("base_failed", base)
+    has = has.withColumn("base_failed", base).withColumn("evenness", F.col("entropy") / F.log2(F.greatest("n_tokens", F.lit(2))))
     sound = has.filter(~F.col("base_failed"))
 
     def centre(by: list[str], suffix: str) -> DataFrame:
         quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(c)
-        found = sound.groupBy(*[F.col(c).alias(f"{c}{suffix}") for c in by]).agg(*[quartiles(c) for c in ("chars_per_token", "entropy", "byte_share")], F.count("*").alias(f"n{suffix}"))
+        found = sound.groupBy(*[F.col(c).alias(f"{c}{suffix}") for c in by]).agg(*[quartiles(c) for c in ("chars_per_token", "entropy", "byte_share", "evenness", "n_tokens")], F.count("*").alias(f"n{suffix}"))
         return found.select(
             *[f"{c}{suffix}" for c in by],
             f"n{suffix}",
-            *[F.col(c)[1].alias(f"m_{short}{suffix}") for c, short in (("chars_per_token", "cpt"), ("entropy", "ent"), ("byte_share", "byte"))],
-            *[((F.col(c)[2] - F.col(c)[0]) / 1.349).alias(f"s_{short}{suffix}") for c, short in (("chars_per_token", "cpt"), ("entropy", "ent"))],
+            *[F.col(c)[1].alias(f"m_{short}{suffix}") for c, short in (("chars_per_token", "cpt"), ("entropy", "ent"), ("byte_share", "byte"), ("evenness", "even"), ("n_tokens", "size"))],
+            *[((F.col(c)[2] - F.col(c)[0]) / 1.349).alias(f"s_{short}{suffix}") for c, short in (("chars_per_token", "cpt"), ("entropy", "ent"), ("evenness", "even"))],
         )
 
     # Written first, so that Spark knows their size when it chooses how to join them: small ones leave the texts in place.
     own = materialise(centre(["band_lang", "size_class"], "_own"), "bands")
-    every = materialise(centre(["size_class"], "_all"), "bands")
+    whole = materialise(centre(["band_lang"], "_lang"), "bands")
     joined = has.join(own, F.col("band_lang").eqNullSafe(F.col("band_lang_own")) & (F.col("size_class") == F.col("size_class_own")), "left")
-    joined = joined.join(every, F.col("size_class") == F.col("size_class_all"), "left")
+    joined = joined.join(whole, F.col("band_lang").eqNullSafe(F.col("band_lang_lang")), "left")
     enough = F.coalesce(F.col("n_own") >= bands.few, F.lit(False))
-    pick = lambda c: F.when(enough, F.col(f"{c}_own")).otherwise(F.col(f"{c}_all"))
+    known = F.coalesce(F.col("n_lang") >= bands.few, F.lit(False))
+    pick = lambda c: F.when(enough, F.col(f"{c}_own")).otherwise(F.col(f"{c}_lang"))
     mad = bands.spread
+    # The least share is to the median share as the least bits are to the median bits.
+    least_even = F.col("m_even_lang") * bands.least_bits / F.col("m_ent_lang")
+    even = ~enough & (F.col("m_even_lang") - F.col("evenness") <= F.greatest(mad * F.col("s_even_lang"), least_even))
+    # The shorter a text, the more its mean strays from the language's.
+    stray = F.when(enough, 1.0).otherwise(F.greatest(F.lit(1.0), F.sqrt(F.col("m_size_lang") / F.greatest("n_tokens", F.lit(1)))))
+    # Bits may fall by the same again for each doubling between its size and the language's median size.
+    away = F.when(enough, 1.0).otherwise(1 + F.abs(F.log2(F.greatest("n_tokens", F.lit(1)) / F.col("m_size_lang"))))
     fits = (
-        (F.abs(F.col("chars_per_token") - pick("m_cpt")) <= F.greatest(mad * pick("s_cpt"), bands.least_ratio * pick("m_cpt")))
-        & (pick("m_ent") - F.col("entropy") <= F.greatest(mad * pick("s_ent"), F.lit(bands.least_bits)))
+        (F.abs(F.col("chars_per_token") - pick("m_cpt")) <= stray * F.greatest(mad * pick("s_cpt"), bands.least_ratio * pick("m_cpt")))
+        & (even | (pick("m_ent") - F.col("entropy") <= away * F.greatest(mad * pick("s_ent"), F.lit(bands.least_bits))))
         & (F.col("byte_share") <= pick("m_byte") + bands.most_bytes)
     )
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(True))).select(*measured.columns, "base_failed", "kept")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.when(enough | known, fits).otherwise(F.col("entropy") >= bands.floor_bits)).select(*measured.columns, "base_failed", "kept")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, bands: Bands = Bands()) -> DataFrame:
