@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (a local session, tests) a temporary folder is made.
+    Only a local session without that setting (tests) gets a temporary folder; on a cluster its absence is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = "file://" + tempfile.mkdtemp(prefix="vecgrove-")
         sc.setCheckpointDir(path)
     elif sc.getCheckpointDir() is None:
@@ -36,6 +38,28 @@ def materialise(df: DataFrame, kind: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes what was written to the shared folder, once nothing reads it any more."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+HOT = 10_000
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``lookup``, which has one row per key at most, so that no hot key lands in one task.
+
+    A key is hot if it holds more than one in HOT of the rows.  There are fewer than HOT of them, which bounds what is
+    broadcast at any size; the rows of all other keys are shuffled.  Both frames should be cheap to read again.
+    """
+    counts = materialise(rows.groupBy(key).agg(F.count("*").alias("n")), "counts")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(materialise(counts.filter(F.col("n") * HOT > total).select(key), "hot"))
+    few = F.broadcast(lookup.join(hot, key, "left_semi"))
+    return rows.join(hot, key, "left_semi").join(few, key, how).unionByName(rows.join(hot, key, "left_anti").join(lookup, key, how))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
