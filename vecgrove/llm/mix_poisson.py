@@ -2,9 +2,9 @@
 
 A source's mean repetition rate is its target share of the budget over what it has.  A uniform number hashed from
 the seed, the id and the text goes through the inverse of the Poisson distribution with that mean: the number of
-probabilities, summed up, that it exceeds; a large mean is the sum of several such.  With ``most_rate`` a source
-whose rate is cut misses its target, and the mixture its budget: ``rates`` gives what was asked for and what is
-reached.  Each document is exploded by its count and all copies are shuffled
+probabilities, summed up, that it exceeds; a large mean is the sum of several such.  A rate is as high as its target
+takes.  Only with ``most_rate``, an option, is it cut; the source then misses its target and the mixture its budget,
+and ``rates`` gives what was asked for and what is reached.  Each document is exploded by its count and all copies are shuffled
 by a hash of document and copy, so that any partition, and any run of rows within one, is a fair mixture.
 
 Per-source sums combine before the shuffle and come back by a join that Spark broadcasts if they are small; a hot
@@ -31,8 +31,8 @@ class Settings:
     default_weight: float = 1.0
     budget: float = 1.0
     """Characters of the mixture, as a multiple of the input's."""
-    most_rate: float | None = 4.0
-    """No source is repeated more often than this in the mean (the registered query's SQL has it); None: as often as its target takes."""
+    most_rate: float | None = None
+    """None: a source is repeated as often as its target takes; else no more often than this in the mean."""
     seed: int = 17
 
 
@@ -108,12 +108,13 @@ WITH d AS (
 ), t AS (
   SELECT sum(chars)::double AS all_chars, count(*)::double AS all_weight FROM s
 ), r AS (
-  SELECT source, least(4.0::double, all_chars * (1.0::double / all_weight) / chars) AS rate FROM s, t
+  SELECT source, all_chars * (1.0::double / all_weight) / chars AS rate FROM s, t
+), k AS (
+  SELECT source, i, sum(exp(-rate + j * ln(rate) - lgamma(j + 1))) AS cdf
+  FROM r, range(0, 120) a(i), range(0, 120) b(j) WHERE j <= i GROUP BY source, i
 ), p AS (
-  SELECT d.doc_id, d.source, d.text, r.rate, d.u,
-         (SELECT count(*) FROM range(0, 40) k(i)
-          WHERE u >= (SELECT sum(exp(-rate) * pow(rate, j) / gamma(j + 1)) FROM range(0, 40) m(j) WHERE j <= i)) AS copies
-  FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source
+  SELECT d.doc_id, d.source, d.text, count(k.i) AS copies
+  FROM d LEFT JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.u >= k.cdf GROUP BY ALL
 )
 SELECT doc_id, source, copies::int AS copies, copy::int AS copy, md5(coalesce(text, '')) AS text_md5
 FROM p, LATERAL (SELECT unnest(range(0, copies)) AS copy)
