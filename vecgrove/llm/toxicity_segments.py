@@ -9,7 +9,8 @@ clean texts, and each segment's score is restated in its units.  A logistic curv
 texts that the word scores have not seen, turns it into a probability.
 
 Labels are learned from a bounded sample of labelled rows outside the held-out fold: at most about ``sample`` rows,
-a third of them for the calibration, and at most ``most_units`` words and prefixes.  Every text is scored whole.
+a third of them for the calibration; all their words and prefixes seen ``least_count`` times are kept.  Every text is scored
+whole.
 
 Defined results: null and empty texts have no evidence and get the curve's value for none; a null or unknown label
 teaches nothing; of repeated labels of an id the largest counts; a null id is in no fold and is scored too; without
@@ -33,7 +34,6 @@ from vecgrove.llm.common import materialise
 @dataclass(frozen=True)
 class Settings:
     sample: int = 20000
-    most_units: int = 400_000
     least_count: int = 4
     prior: float = 4.0
     prefixes: tuple[int, ...] = (3, 5, 8)
@@ -219,8 +219,8 @@ def fit(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) ->
     learned = materialise(learned, "labelled")
     counted = learned.filter("not tune").mapInArrow(lambda b: _counts(b, settings), "unit long, parent long, level int, bad long, good long")
     kept = counted.groupBy("unit").agg(F.min("parent").alias("parent"), F.min("level").alias("level"), F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    kept = kept.filter(F.col("bad") + F.col("good") >= settings.least_count).orderBy(F.desc(F.col("bad") + F.col("good")), "unit").limit(settings.most_units)
-    rows = kept.toPandas()
+    # Bounded by the sample of rows: so many texts have so many words.
+    rows = kept.filter(F.col("bad") + F.col("good") >= settings.least_count).toPandas()
     bad, good = rows["bad"].to_numpy(np.int64), rows["good"].to_numpy(np.int64)
     if not bad.sum() or not good.sum():
         return None
