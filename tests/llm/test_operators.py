@@ -136,7 +136,7 @@ def test_poisson(spark):
     settings = mix_poisson.Settings(weights={"hot": 1.0, "cold": 2.0}, default_weight=0.5)
     per = {r["mix_source"]: r for r in mix_poisson.rates(df, settings=settings).collect()}
     total = sum(r["chars"] for r in per.values())
-    assert abs(per["cold"]["rate"] - min(4, total * 2 / 3.5 / per["cold"]["chars"])) < 1e-12
+    assert abs(per["cold"]["rate"] - total * 2 / 3.5 / per["cold"]["chars"]) < 1e-12
     copies = mix_poisson.replicate(df, settings=settings)
     n = Counter(r["source"] for r in copies.select("row.source").collect())
     for s, size in (("hot", 2000), ("cold", 1000)):
@@ -159,9 +159,9 @@ def test_mixing_stage_reaches_targets(spark):
     n = Counter(r["source"] for r in dict(corpus_pipeline.STAGES)["mixing"](spark, df, "").select("source").collect())
     for s in ("tiny", "small", "large"):
         assert abs(n[s] - 2011 / 3) < 5 * (2011 / 3) ** 0.5
-    per = {r["mix_source"]: r for r in mix_poisson.rates(df).collect()}
+    per = {r["mix_source"]: r for r in mix_poisson.rates(df, settings=mix_poisson.Settings(most_rate=4.0)).collect()}
     assert abs(per["small"]["asked"] - 1 / 3) < 1e-9 and abs(per["small"]["reached"] - 40 / 2011) < 1e-9
-    assert all(abs(r["reached"] - r["asked"]) < 1e-9 for r in mix_poisson.rates(df, settings=mix_poisson.Settings(most_rate=None)).collect())
+    assert all(abs(r["reached"] - r["asked"]) < 1e-9 for r in mix_poisson.rates(df).collect())
 
 
 # 4
@@ -195,11 +195,62 @@ def test_urls(spark):
         assert r["verdict"] == (verdict or ("block" if r["score"] >= 0.5 else "allow"))
     scores = {r["page_id"]: r["score"] for r in got.collect()}
     assert scores[13] > 0.5 > scores[14] and got.count() == len(URLS) + 2
-    weights, base = url_filter.train(url_filter.labelled_urls(spark))
-    known = url_filter.labelled_urls(spark)
+    assert url_filter.judge(pages.limit(0)).count() == 0
+
+
+def grams_by_hand(text):
+    marked = "^" + re.sub("[0-9]+", "0", text) + "$"
+    return [marked[i : i + n] for n in (3, 4, 5) for i in range(len(marked) - n + 1)]
+
+
+def test_url_grams_and_training(spark):
+    import xxhash
+
+    settings = url_filter.Settings(rounds=3)
+    urls = [("http://m.casino9.example.com/en/1", 1), ("http://library.org/x12y", 0), ("https://poker.net/", 1), (None, 0), ("no", 0), ("http://library.org/x12y", 0), ("http://odd", None)]
+    known = spark.createDataFrame(urls, "url string, label int")
+    host, path = url_filter.parts(F.col("url"))
+    # The hash of a seed and a string: the seed's hash is the string's.
+    bucket = lambda g, seed: xxhash.xxh64_intdigest(g.encode(), xxhash.xxh64_intdigest(seed.to_bytes(4, "little"), 42)) % 2**64
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    wanted = []
+    for u, _ in urls:
+        h, p, *_ = url_by_hand(u)
+        wanted.append([[signed(bucket(g, seed)) % settings.buckets for g in grams_by_hand(t)] for t, seed in ((h, 1), (p, 2))])
+    got = known.select(*url_filter.both_grams(host, path, settings)).collect()
+    assert [[list(r["of_host"]), list(r["of_path"])] for r in got] == wanted
+    # Training, restated with arrays.
+    order = sorted((r["k"], i) for i, r in enumerate(known.select(F.xxhash64("url", "label").alias("k")).collect()) if urls[i][1] is not None)
+    w, g2, b = np.zeros(settings.buckets), np.full(settings.buckets, 1e-6), 0.0
+    for _ in range(3):
+        for _, i in order:
+            x = [(np.array(g), len(g) ** -0.5) for g in wanted[i] if g]
+            z = b + sum(s * w[g].sum() for g, s in x)
+            e = (1 / (1 + exp(-z)) - urls[i][1]) * {1: 6 / 4, 0: 6 / 8}[urls[i][1]]
+            b -= settings.rate * 0.1 * e
+            for g, s in x:
+                for k in g:
+                    d = e * s + settings.ridge * w[k]
+                    g2[k] += d * d
+                    w[k] -= settings.rate * d / np.sqrt(g2[k])
+    weights, base = url_filter.train(known, settings)
+    assert np.allclose(weights, w) and abs(base - b) < 1e-9
+    with pytest.raises(ValueError):
+        url_filter.train(known, url_filter.Settings(most_labels=2))
+
+
+def test_url_names_held_out(spark):
+    names = url_filter.names()
+    model = url_filter.train(url_filter.labelled_urls(spark, [x for i, x in enumerate(names) if i % 5 != 2]))
     host, path = url_filter.parts(F.col("url"))
-    logit = url_filter._logit(url_filter.grams(host, path, url_filter.Settings()), weights, base)
-    assert known.select((logit > 0).cast("int").alias("p"), "label").filter("p <> label").count() <= 6
+    held = url_filter.labelled_urls(spark, [x for i, x in enumerate(names) if i % 5 == 2]).select("label", *url_filter.both_grams(host, path, url_filter.Settings()))
+    n = Counter((r["label"], r["b"]) for r in held.select("label", (url_filter._logit(*model) >= 0).cast("int").alias("b")).collect())
+    assert n[1, 1] >= 0.97 * (n[1, 1] + n[1, 0]) and n[1, 1] >= 0.97 * (n[1, 1] + n[0, 1])
+
+
+def test_url_page_numbers_say_nothing(spark):
+    pages = spark.createDataFrame([(i, f"http://m.quiet-river.example.com/en/{i * 37}.html", "h") for i in range(20)], "page_id long, url string, html string")
+    assert len({(r["verdict"], r["score"]) for r in url_filter.judge(pages).collect()}) == 1
 
 
 # 5
@@ -394,22 +445,29 @@ def test_warc(spark, tmp_path):
     import base64
     import hashlib
 
-    rows = [(0, "http://a", "same"), (5, "http://b\r\nX: y", "same"), (3, None, "same"), (7, "u", None), (8, "u", ""), (9, "ü", "é" * 3000), (-4, "u", "same"), (9, "ü", "é" * 3000), (None, "u", "same")]
+    rows = [(0, "http://a", "same"), (5, "http://b\r\nX: y", "same"), (3, None, "same"), (7, "u", None), (8, "u", ""), (9, "ü", "é" * 3000), (-4, "u", "same"), (9, "ü", "é" * 3000), (None, "u", "same"), (None, "u", "no id"), (None, "v", "no id")]
     pages = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, refers_to string")
     manifest = warc_revisit.write(pages, f"file://{tmp_path}/w")
     got = by_row(warc_revisit.read(manifest), ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-    expected, last = Counter(), defaultdict(int)
-    for i, _, h in rows:
-        if i is not None:
-            last[h or ""] = max(last.get(h or "", -(10**9)), i)
-    for i, _, h in rows:
-        if i is not None:
-            raw = (h or "").encode()
-            first = last[h or ""] == i
-            expected[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first else "revisit", None if first else last[h or ""]] += 1
+    expected, seen = Counter(), set()
+    for i, _, h in sorted(rows, key=lambda r: -(10**9) if r[0] is None else r[0], reverse=True):
+        raw = (h or "").encode()
+        last = max((j for j, _, k in rows if (k or "") == (h or "") and j is not None), default=None)
+        first = raw not in seen
+        seen.add(raw)
+        expected[i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first else "revisit", None if first else last] += 1
     assert got == expected
-    bodies = [b for r in manifest.collect() for head, b in warc_revisit.records(r["path"]) if head["warc-type"] == "response"]
+    every = [(head, b) for r in manifest.collect() for head, b in warc_revisit.records(r["path"])]
+    bodies = [b for head, b in every if head["warc-type"] == "response"]
     assert any(b.endswith(b"same") for b in bodies) and sum(b.endswith(b"same") for b in bodies) == 1
+    urns = {head["warc-record-id"]: head for head, _ in every}
+    assert len(urns) == len(rows) and all(urns[head["warc-refers-to"]]["warc-payload-digest"] == head["warc-payload-digest"] for head, _ in every if head["warc-type"] == "revisit")
+    # Short payloads stay responses if asked for, and a changed payload is found out.
+    long_only = warc_revisit.archive(pages, settings=warc_revisit.Settings(least_bytes=5))
+    assert long_only.filter("record_type = 'revisit'").count() == 2
+    head, block = next(x for x in every if x[1].endswith(b"same"))
+    with pytest.raises(ValueError):
+        warc_revisit._row(head, block[:-1] + b"f")
     assert warc_revisit.archive(pages.limit(0)).count() == 0
 
 
