@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vecgrove.llm import decontaminate_fm, line_templates, lm_backoff, mix_poisson, quality_fertility, shingle_copies, simhash_vptree, sstable, token_output, toxicity_segments, url_filter, warc_revisit
+from vecgrove.llm import decontaminate_fm, line_templates, lm_backoff, mix_poisson, near_copies, quality_fertility, simhash_vptree, sstable, token_output, toxicity_segments, url_filter, warc_revisit
+from vecgrove.llm.components import components
 from vecgrove.llm.fm_index import FMIndex, suffix_array
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, row string, kept boolean"
@@ -374,22 +375,51 @@ def test_simhash(spark, corpus):
     ids = {r["doc_id"]: r["component_id"] for r in got.collect()}
     assert ids[112] == ids[113] == 100 and ids[0] == ids[1] == ids[2] == 0
     assert simhash_vptree.near_duplicates(corpus.limit(0)).count() == 0
-    kept = simhash_vptree.keep_one(corpus)
-    assert kept.columns == corpus.columns and {100, 112} & {r["doc_id"] for r in kept.collect()} == {100}
 
 
 def test_links_against_all_pairs(spark):
     rng = np.random.default_rng(2)
     centres = rng.integers(0, 2**64, 60, dtype=np.uint64)
     fps = np.unique(np.concatenate([centres] + [c ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (40, 3), dtype=np.uint64), axis=1) for c in centres[:20]] + [rng.integers(0, 2**64, 500, dtype=np.uint64)]))
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
-    settings = simhash_vptree.Settings(leaf=32, sample=300)
-    edges = [(r["a"], r["b"]) for r in simhash_vptree.links(df, settings).collect()]
+    df = spark.createDataFrame([(int(x), int(x)) for x in fps.view(np.int64)], "node long, w0 long")
     place = {int(x): i for i, x in enumerate(fps.view(np.int64))}
-    a, b = np.array([[place[x], place[y]] for x, y in edges]).T
     i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4)
-    assert (np.bitwise_count(fps[a] ^ fps[b]) <= 64).all()
-    assert np.array_equal(simhash_vptree._least_labels(len(fps), a, b), simhash_vptree._least_labels(len(fps), i, j))
+    # With a shallow first tree, large leaves get trees of their own.
+    for settings in (simhash_vptree.Settings(leaf=32, sample=300), simhash_vptree.Settings(leaf=16, sample=16)):
+        edges = [(r["a"], r["b"]) for r in simhash_vptree.links(df, settings).collect()]
+        a, b = np.array([[place[x], place[y]] for x, y in edges]).T
+        assert np.array_equal(simhash_vptree._least_labels(len(fps), a, b), simhash_vptree._least_labels(len(fps), i, j))
+    rooted = df.withColumn("root", F.pmod(F.xxhash64("node"), F.lit(3)))
+    root = {r["node"]: r["root"] for r in rooted.collect()}
+    pairs = {frozenset((r["a"], r["b"])) for r in simhash_vptree.links(rooted, settings, cross=True).collect()}
+    signed = fps.view(np.int64).tolist()
+    assert pairs == {frozenset((signed[x], signed[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if root[signed[x]] != root[signed[y]]}
+
+
+def test_classes_against_all_pairs(spark, corpus):
+    rng = np.random.default_rng(8)
+    texts = []
+    for i in range(40):
+        ws = words(200, i, 3000).split()
+        for k in range(4):
+            texts.append((1000 + 4 * i + k, " ".join(ws)))
+            ws[int(rng.integers(0, 200))] = f"x{k}"
+    df = docs_of(spark, texts + [(r["doc_id"], r["text"]) for r in corpus.collect()])
+    got = {(r["doc_id"], r["fingerprint"]): r["component_id"] for r in simhash_vptree.near_duplicates(df, settings=simhash_vptree.Settings(leaf=16, sample=64)).collect()}
+    fps = np.array([int(f, 16) for _, f in got], np.uint64)
+    label = simhash_vptree._least_labels(len(fps), *np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4))
+    ids = [i for i, _ in got]
+    least = {x: min((i for i, y in zip(ids, label.tolist(), strict=True) if y == x and i is not None), default=None) for x in set(label.tolist())}
+    assert list(got.values()) == [least[x] for x in label.tolist()] and 40 < len(set(label.tolist())) < len(fps)
+
+
+def test_components(spark):
+    rng = np.random.default_rng(3)
+    chain = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 400)] + [(2500 - i, 2999) for i in range(300)]
+    for edges in (chain, rng.integers(0, 3000, (1500, 2)).tolist(), []):
+        label = simhash_vptree._least_labels(3000, *np.array(edges, np.int64).reshape(-1, 2).T)
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame([tuple(e) for e in edges], "a long, b long")).collect()}
+        assert [got.get(x, x) for x in range(3000)] == label.tolist()
 
 
 def jaccard_by_hand(a, b):
@@ -545,7 +575,7 @@ def test_pipeline(spark, tmp_path):
     ids = {r["doc_id"] for r in good.collect()}
     assert good.columns == docs.columns and ids >= set(range(62)) and not ids & {62, 63, 64}
     single = stages["near_duplicates"](spark, good, d)
-    assert {r["doc_id"] for r in single.collect()} == {r["component_id"] for r in simhash_vptree.near_duplicates(good).collect()}
+    assert {r["doc_id"] for r in single.collect()} == {r["doc_id"] for r in good.collect()} - {60, 61}
     clean = stages["decontamination"](spark, single, d)
     left = {r["doc_id"]: r["text"] for r in clean.collect()}
     assert 65 not in left and leak not in left[66] and left[5] == words(80, 5)

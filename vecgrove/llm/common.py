@@ -47,15 +47,15 @@ def remove(spark: SparkSession, path: str) -> None:
 HOT = 10_000
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, lookup: DataFrame, key: str, how: str = "inner", total: int | None = None) -> DataFrame:
     """``rows`` joined to ``lookup``, which has one row per key at most, so that no hot key lands in one task.
 
-    A key is hot if it holds more than one in HOT of the rows.  There are fewer than HOT of them, which bounds what is
-    broadcast at any size; the rows of all other keys are shuffled.  Both frames should be cheap to read again.
+    A key is hot if it holds more than one in HOT of the rows (``total``, counted if not given).  There are fewer than HOT
+    of them, which bounds what is broadcast at any size; the rows of all other keys are shuffled.  Both frames should
+    be cheap to read again.
     """
-    counts = materialise(rows.groupBy(key).agg(F.count("*").alias("n")), "counts")
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    hot = F.broadcast(materialise(counts.filter(F.col("n") * HOT > total).select(key), "hot"))
+    total = rows.count() if total is None else total
+    hot = F.broadcast(rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") * HOT > total).select(key))
     few = F.broadcast(lookup.join(hot, key, "left_semi"))
     return rows.join(hot, key, "left_semi").join(few, key, how).unionByName(rows.join(hot, key, "left_anti").join(lookup, key, how))
 

@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
 Every node is linked to the least node it knows of; the rounds needed grow with the logarithm of the component
-size.  Each round is written to the shared folder, so lineage stays short and a lost executor costs one round.
+size.  Each round is written to the shared folder, so lineage stays short and a lost executor costs one round.  Joins
+on a node that holds many edges (the centre of a star) don't meet in one task (``spread_join``).
 """
 
 from __future__ import annotations
@@ -9,35 +10,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import materialise
+from vecgrove.llm.common import materialise, spread_join
 
 
-def _both_ways(edges: DataFrame) -> DataFrame:
-    return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+def _large_star(edges: DataFrame, n: int) -> DataFrame:
+    """Each child (a) of a parent (b) goes to the least node that the parent knows of; edges go down from a to b."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "b")
+    # A parent that is no child knows none less than itself.
+    return spread_join(edges, least, "b", "left", n).select("a", F.coalesce("m", "b").alias("b"))
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    ways = _both_ways(edges)
-    least = ways.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return ways.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+def _small_star(edges: DataFrame, n: int) -> DataFrame:
+    """All parents of a child, and the child, go to its least parent."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    joined = spread_join(edges, least, "a", total=n)
+    return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b")
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    return down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of ``edges`` (columns a, b; undirected) but the roots themselves."""
     now = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a > b").distinct(), "edges")
     state = _state(now)
-    for _ in range(most_rounds):
-        now = materialise(_small_star(_large_star(now)), "edges")
+    while True:
+        now = materialise(_small_star(materialise(_large_star(now, state[0]), "edges"), state[0]), "edges")
         before, state = state, _state(now)
         if before == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    raise RuntimeError("components did not settle")
 
 
 def _state(edges: DataFrame) -> tuple:
