@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vecgrove.llm import decontaminate_fm, mix_poisson, quality_fertility, shingle_copies, token_output
+from vecgrove.llm import decontaminate_fm, mix_poisson, near_copies, quality_fertility, token_output
 from vecgrove.llm.common import materialise, table
 
 
@@ -15,7 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, one stays."""
-    return shingle_copies.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources in equal shares, by repetition as often as that takes."""
-    return mix_poisson.mixture(docs, settings=mix_poisson.Settings(most_rate=None))
+    return mix_poisson.mixture(docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
