@@ -1,12 +1,15 @@
 """Token-id output as sorted-string table shards, keyed by document id.
 
 Documents are dealt out by ranges of their id, so shards follow each other in ascending order, and a task
-encodes its documents and writes one shard as a stream.  Values are the ids as little-endian unsigned integers
+encodes its documents and writes one shard as a stream.  Or they stay where they are (``ordered=False``), as after a
+global shuffle: each shard then holds a run of the input, sorted by id, and shards follow each other as the input's
+partitions do, so that a mixture stays one and nothing is shuffled.  Values are the ids as little-endian unsigned integers
 of two bytes where the vocabulary allows, else four.  Shards live in the shared folder under names of their own; a
 manifest row per shard, committed by Spark, says which count, so repeated or lost tasks do no harm.
 
-Defined results: null and empty texts have the end id alone; a null id sorts first; repeated ids are kept, as
-entries of one key, in the order of their texts; other columns are ignored; an empty table has no shard.
+Defined results: null and empty texts have the end id alone; a null id sorts first; repeated ids (ties, and copies of
+rows) are kept, as entries of one key, in the order of their texts; a very long text is encoded whole, by one task; other
+columns are ignored, whatever their names; an empty table has no shard.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +35,8 @@ class Settings:
     end_id: int = 1
     shard_bytes: int = 32 << 20
     """Bytes of text per shard."""
+    ordered: bool = True
+    """Ranges of ids over all shards; False: only within each."""
 
 
 class Encoder:
@@ -112,13 +118,15 @@ def encode_piece(data: np.ndarray, offsets: np.ndarray, settings: Settings) -> I
 
 
 def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """Writes the shards and returns the manifest: path, first_id, n_docs, n_tokens, width."""
+    """Writes the shards and returns the manifest: path, shard (their order), first_id, last_id, n_docs, n_tokens, width."""
     narrow = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    shards = max(1, -(-total_bytes(narrow) // settings.shard_bytes))
-    dealt = narrow.repartitionByRange(shards, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    if settings.ordered:
+        narrow = narrow.repartitionByRange(max(1, -(-total_bytes(narrow) // settings.shard_bytes)), F.col("doc_id").asc_nulls_first())
+    dealt = narrow.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    layout = "path string, shard long, first_id long, last_id long, n_docs long, n_tokens long, width int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        writer, path, first, docs_n, tokens = None, "", None, 0, 0
+        writer, path, first, last, docs_n, tokens = None, "", None, None, 0, 0
         kind = np.dtype("<u2" if _encoder(settings.vocabulary).size <= 1 << 16 and settings.end_id < 1 << 16 else "<u4")
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
@@ -128,24 +136,22 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                         file, path = shared_files.open_new(folder, ".sst")
                         writer, first = sstable.Writer(file), ids[k]
                     writer.add(sstable.key_of(ids[k]), own.astype(kind).tobytes())
-                    docs_n, tokens = docs_n + 1, tokens + len(own)
+                    docs_n, tokens, last = docs_n + 1, tokens + len(own), ids[k]
         if writer is not None:
             writer.close()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path]), pa.array([first], pa.int64()), pa.array([docs_n], pa.int64()), pa.array([tokens], pa.int64()), pa.array([kind.itemsize], pa.int32())],
-                ["path", "first_id", "n_docs", "n_tokens", "width"],
-            )
+            made = (path, TaskContext.get().partitionId(), first, last, docs_n, tokens)
+            yield pa.RecordBatch.from_arrays([*(pa.array([x], pa.string() if x is path else pa.int64()) for x in made), pa.array([kind.itemsize], pa.int32())], [c.split()[0] for c in layout.split(", ")])
 
-    return materialise(dealt.mapInArrow(run, "path string, first_id long, n_docs long, n_tokens long, width int"), "manifest")
+    return materialise(dealt.mapInArrow(run, layout), "manifest")
 
 
-def starts(manifest: DataFrame, group: int = 1024) -> DataFrame:
+def starts(manifest: DataFrame) -> DataFrame:
     """Adds ``start``, the tokens of all shards before: by ranges of shards first, so no task sorts all of them."""
-    ranged = manifest.repartitionByRange(F.col("first_id").asc_nulls_first()).sortWithinPartitions(F.col("first_id").asc_nulls_first()).withColumn("part", F.spark_partition_id())
+    ranged = manifest.repartitionByRange("shard").sortWithinPartitions("shard").withColumn("part", F.spark_partition_id())
     ranged = materialise(ranged, "manifest")
     sums = ranged.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = sums.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("before"))
-    own = Window.partitionBy("part").orderBy(F.col("first_id").asc_nulls_first())
+    own = Window.partitionBy("part").orderBy("shard")
     return ranged.join(before, "part").withColumn("start", F.col("before") + F.sum("n_tokens").over(own) - F.col("n_tokens")).drop("part", "before")
 
 
@@ -183,15 +189,12 @@ def _rows(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
 
 
 def lookup(manifest: DataFrame, doc_id: int | None) -> list[list[int]]:
-    """The ids of all the entries of one document: the shards whose range may hold it, then a binary search in each."""
+    """The ids of all the entries of one document: of the shards whose range may hold it, a Bloom filter, then a binary search."""
     out = []
-    below = manifest.filter(F.lit(doc_id is None) | (F.col("first_id") <= F.lit(doc_id)) | F.col("first_id").isNull())
-    for path, width in below.orderBy(F.col("first_id").desc_nulls_last()).select("path", "width").toLocalIterator():
+    known = F.col("first_id").isNull() if doc_id is None else (F.col("first_id").isNull() | (F.col("first_id") <= F.lit(doc_id))) & (F.col("last_id") >= F.lit(doc_id))
+    for path, width in manifest.filter(known).orderBy("shard").select("path", "width").toLocalIterator():
         with shared_files.open_old(path) as file:
-            reader = sstable.Reader(file)
-            out += [np.frombuffer(v, "<u2" if width == 2 else "<u4").tolist() for v in reader.get(sstable.key_of(doc_id))]
-        if doc_id is not None or out:
-            break
+            out += [np.frombuffer(v, "<u2" if width == 2 else "<u4").tolist() for v in sstable.Reader(file).get(sstable.key_of(doc_id))]
     return out
 
 
