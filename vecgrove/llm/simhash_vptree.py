@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from vecgrove.llm import spans
 from vecgrove.llm.common import materialise, spread_join
-from vecgrove.llm.components import components
+from vecgrove.llm.components import components, least_labels
 
 
 @dataclass(frozen=True)
@@ -168,21 +168,6 @@ def masks(groups: int, splits: int = 1) -> list[np.uint64]:
     return out
 
 
-def _least_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The least member of each node's component."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        while not np.array_equal(label, label[label]):
-            label = label[label]
-        if np.array_equal(before, label):
-            break
-    return label
-
-
 def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Joins the components of a[i] and b[i]; labels stay the least member."""
     a, b = label[a], label[b]
@@ -190,7 +175,7 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     if not differ.any():
         return label
     pair = np.unique(np.stack([a[differ], b[differ]]), axis=1)
-    return _least_labels(len(label), pair[0], pair[1])[label]
+    return least_labels(len(label), pair[0], pair[1])[label]
 
 
 def _near(a: list[np.ndarray], b: list[np.ndarray], mask: np.uint64, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
