@@ -89,24 +89,29 @@ WITH l AS (
 ), m AS (
   SELECT doc_id, pos, line, regexp_replace(trim(regexp_replace(line, '[\x09-\x0D\x20]+', ' ', 'g'), ' '), '[^ ]*[0-9][^ ]*', '<*>', 'g') AS m FROM l
 ), t AS (
-  SELECT doc_id, pos, line, m, CASE WHEN m <> '' THEN len(string_split(m, ' ')) END AS size,
-         CASE WHEN m <> '' THEN array_to_string(string_split(m, ' ')[1:3], ' ') END AS lead FROM m
+  SELECT doc_id, pos, line, m, len(string_split(m, ' ')) AS size, array_to_string(string_split(m, ' ')[1:3], ' ') AS lead FROM m WHERE m <> ''
+), need AS (
+  SELECT size, greatest(least(10, greatest(2, ceil(100 / size::double)::int)), CASE WHEN size < 20 THEN ceil(0.000001::double * (SELECT count(*) FROM documents))::int ELSE 0 END) AS needed
+  FROM (SELECT DISTINCT size FROM t)
 ), leaf AS (
-  SELECT size, lead FROM t WHERE m <> '' GROUP BY size, lead HAVING count(DISTINCT doc_id) >= 10
+  SELECT size, lead FROM t JOIN need USING (size) GROUP BY size, lead, needed HAVING count(DISTINCT doc_id) >= needed
 ), kind AS (
-  SELECT t.size, t.lead, m, count(DISTINCT doc_id) AS n FROM t JOIN leaf USING (size, lead) GROUP BY t.size, t.lead, m
-), several AS (
-  SELECT size, lead FROM kind GROUP BY size, lead HAVING count(*) > 1
-), spot AS (
-  SELECT size, lead, unnest(string_split(m, ' ')) AS token, generate_subscripts(string_split(m, ' '), 1) AS pos FROM kind JOIN several USING (size, lead)
-), agree AS (
-  SELECT size, lead, pos, (min(token) = max(token) AND min(token) <> '<*>')::int AS fixed FROM spot GROUP BY size, lead, pos
-), general AS (
-  SELECT size, lead FROM agree GROUP BY size, lead HAVING sum(fixed) >= 0.6 * size
-), single AS (
-  SELECT m FROM kind k WHERE n >= 10 AND NOT EXISTS (SELECT 1 FROM general g WHERE g.size = k.size AND g.lead = k.lead)
+  SELECT t.size, t.lead, m, count(DISTINCT doc_id) >= needed AS again FROM t JOIN leaf USING (size, lead) JOIN need USING (size) GROUP BY t.size, t.lead, m, needed
+), stands AS (
+  SELECT size, lead, m, count(*) AS weight FROM (SELECT size, lead, doc_id, arg_min(m, pos) AS m FROM t JOIN leaf USING (size, lead) GROUP BY size, lead, doc_id) GROUP BY size, lead, m
+), pair AS (
+  SELECT size, lead, m, unnest(range(3, size)) AS i, string_split(m, ' ') AS w FROM kind
+), weighed AS (
+  SELECT p.size, p.lead, p.m, i, w[i] AS a, w[i + 1] AS b, coalesce(weight, 0) AS weight FROM pair p LEFT JOIN stands s ON s.size = p.size AND s.lead = p.lead AND s.m = p.m
+), constant AS (
+  SELECT size, lead, i, a, b FROM weighed JOIN need USING (size) GROUP BY size, lead, i, a, b, needed HAVING sum(weight) >= needed
+), follows AS (
+  SELECT size, lead, m FROM weighed JOIN constant USING (size, lead, i, a, b) GROUP BY size, lead, m HAVING count(*) >= 0.6 * (size - 3)
+), template AS (
+  SELECT size, lead, m FROM kind WHERE again UNION SELECT size, lead, m FROM follows
 ), gone AS (
-  SELECT doc_id, pos, line, coalesce(m <> '' AND (EXISTS (SELECT 1 FROM general g WHERE g.size = t.size AND g.lead = t.lead) OR m IN (SELECT m FROM single)), false) AS gone FROM t
+  SELECT m.doc_id, m.pos, m.line, template.m IS NOT NULL AS gone FROM m LEFT JOIN t ON t.doc_id = m.doc_id AND t.pos = m.pos
+  LEFT JOIN template ON template.size = t.size AND template.lead = t.lead AND template.m = t.m
 ), kept AS (
   SELECT doc_id, count(*)::bigint AS n_lines, sum(gone::int)::bigint AS n_dropped, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS kept FROM gone GROUP BY doc_id
 )
