@@ -299,7 +299,7 @@ def test_decontamination(spark, block):
         (7, " ".join(a.split()[2:13])), (8, "é" + a), (9, "ÉÉ " + b + " ñ end"),
     ]
     df, bench = docs_of(spark, texts), spark.createDataFrame(items, "item_id long, text string")
-    settings = decontaminate_fm.Settings(block_bytes=block, shard_bytes=200)
+    settings = decontaminate_fm.Settings(block_bytes=block, shard_bytes=200, segment_words=20 if block == 60 else 1 << 20)
     expected = Counter()
     for i, t in texts:
         ws, hit, found = contaminated_by_hand(t, items)

@@ -1,22 +1,25 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
-A task cuts its documents into shards of a few megabytes.  A shard's words become numbers of the benchmark's
-vocabulary; words outside it end runs, as no passage can cross them, and runs shorter than the shortest passage
-are left out of the index, as none fits in.  Every passage (a window of ``window`` consecutive words of an item;
-a shorter item is one passage) is searched backwards through the wavelet-tree ranks of the shard's index, found
-suffixes are located by sampled positions, and the spans are merged.
-
-The benchmark is the query set: it is taken in blocks of at most ``block_bytes`` of text, each its own pass, and
-only such a block ever travels to all executors.  Documents aren't shuffled.
-
-Defined results: null and empty texts have no words and are clean; null or empty items have no passage;
-a null item id is reported as null and repeated ones once; rows are judged one by one, so repeated ids stay apart; other columns
-are kept by ``remove_spans`` and ignored by ``find``; an empty table or benchmark gives no hit.
+A task cuts its documents into shards of a few megabytes.  A shard's distinct texts, word by word, are indexed whole: the
+alphabet is the shard's own vocabulary, and a text that the shard holds several times is indexed once.  Every passage
+(a window of ``window`` consecutive words of an item; a shorter item is one passage) is searched backwards through the
+wavelet-tree ranks of the shard's index, found suffixes are located by sampled positions, and the spans are merged.  A very
+long text is indexed in segments that overlap by a passage.
+
+The benchmark is the query set: its passages are written to the shared folder in blocks of about ``block_bytes`` of text, and a
+worker holds one or two blocks at a time.  A shard's index is built once and all blocks are searched in it.  Neither
+documents nor items are shuffled to one place or collected.
+
+Defined results: null and empty texts have no words and are clean; null or empty items have no passage; a null item id is
+reported as null, repeated ids once and items of equal text each; rows are judged one by one, so repeated rows and ids get
+the same answer each; other columns, whatever their names, are kept by ``remove_spans`` and ignored by ``find``; an empty
+table or benchmark gives no hit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,163 +27,176 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecgrove.llm import spans
+from vecgrove.llm import shared_files, spans
+from vecgrove.llm.common import materialise, new_folder, total_bytes
 from vecgrove.llm.fm_index import FMIndex
 
-FOUND = "n_words long, spans array<struct<first:long,stop:long,byte_first:long,byte_stop:long>>, items array<long>"
+FOUND = "n_words long, spans array<struct<first:long,stop:long,byte_first:long,byte_stop:long>>, items array<long>, cut string"
 
 
 @dataclass(frozen=True)
 class Settings:
     window: int = 10
     shard_bytes: int = 4 << 20
-    block_bytes: int = 4 << 20
+    segment_words: int = 1 << 20
+    block_bytes: int = 1 << 20
 
 
 class Passages:
-    """The distinct passages of a block of items, by length, and the items that have each."""
+    """The distinct passages of a block of items, as word hashes by length, and the items that have each."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], window: int):
-        texts = pa.array([t or "" for _, t in items], pa.large_string())
+    def __init__(self, ids: list[int | None], texts: pa.Array, window: int):
         data, offsets = spans.buffers(texts)
         data = spans.lower(data)
         starts, ends, first = spans.words(data, offsets, spans.ALNUM)
-        h = spans.hashes(data, starts, ends)
-        self.vocabulary = np.unique(h)
-        self.ids = [i for i, _ in items]
-        symbol = np.searchsorted(self.vocabulary, h) + 1
-        found: dict[tuple[int, ...], set[int]] = {}
-        for k in range(len(items)):
-            own = symbol[first[k] : first[k + 1]].tolist()
-            size = min(window, len(own))
-            for i in range(len(own) - size + 1 if own else 0):
-                found.setdefault(tuple(own[i : i + size]), set()).add(k)
+        h, count = spans.hashes(data, starts, ends), np.diff(first)
+        self.ids = ids
         self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        for size in sorted({len(p) for p in found}):
-            own_passages = [(p, sorted(v)) for p, v in found.items() if len(p) == size]
-            at = np.concatenate([[0], np.cumsum([len(v) for _, v in own_passages])])
-            self.by_length[size] = (np.array([p for p, _ in own_passages], np.int64), at, np.array([x for _, v in own_passages for x in v], np.int64))
-        self.shortest = min(self.by_length, default=0)
+        for size in np.unique(np.minimum(count[count > 0], window)).tolist():
+            fits = count == size if size < window else count >= window
+            windows = np.where(fits, count - size + 1, 0)
+            at = np.repeat(first[:-1] - (np.cumsum(windows) - windows), windows) + np.arange(int(windows.sum()))
+            item = np.repeat(np.arange(len(ids)), windows)
+            rows, which = np.unique(h[at[:, None] + np.arange(size)], axis=0, return_inverse=True)
+            both = np.unique(np.stack([which.reshape(-1), item]), axis=1)
+            self.by_length[size] = rows, np.searchsorted(both[0], np.arange(len(rows) + 1)), both[1]
+
+
+def write_blocks(benchmark: DataFrame, id_col: str, text_col: str, settings: Settings) -> list[str]:
+    """Writes all items' passages; returns the blocks' paths."""
+    items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    dealt = items.repartition(max(1, -(-total_bytes(items) // settings.block_bytes)), F.xxhash64("id", "text"))
+    folder = new_folder(benchmark.sparkSession, "passages")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id").to_pylist()
+            for i, data, offsets in spans.pieces(batch.column("text"), settings.block_bytes):
+                n = len(offsets) - 1
+                file, path = shared_files.open_new(folder, ".passages")
+                file.write(pickle.dumps(Passages(ids[i : i + n], batch.column("text").slice(i, n), settings.window)))
+                file.close()
+                yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
+
+    # A short list of names: one per block_bytes of the benchmark.
+    return [r["path"] for r in materialise(dealt.mapInArrow(run, "path string"), "blocks").collect()]
+
+
+_held: dict[str, Passages] = {}
 
 
-def _search(passages: Passages, symbol: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per word: whether it is hit; and (document, item) pairs found.  Symbols are 0 outside the vocabulary."""
+def _block(path: str) -> Passages:
+    if path not in _held:
+        if len(_held) > 1:
+            _held.clear()
+        with shared_files.open_old(path) as file:
+            _held[path] = pickle.loads(file.read())
+    return _held[path]
+
+
+def _segments(symbol: np.ndarray, first: np.ndarray, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(symbols with a zero after each text, the word at each place) of runs of words that overlap by a passage."""
     n = len(symbol)
-    hit, pairs = np.zeros(n, bool), []
-    edge = np.flatnonzero(np.concatenate([[True], (owner[1:] != owner[:-1]) | ((symbol[1:] == 0) != (symbol[:-1] == 0))])) if n else np.zeros(0, np.int64)
-    length = np.diff(np.append(edge, n))
-    use = (symbol[edge] > 0) & (length >= passages.shortest)
-    edge, length = edge[use], length[use]
-    if not len(edge):
-        return hit, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    at = np.cumsum(length + 1) - (length + 1)
-    text = np.zeros(int((length + 1).sum()), np.int64)
-    inner = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-    place, source = np.repeat(at, length) + inner, np.repeat(edge, length) + inner
-    text[place] = symbol[source]
-    word_of = np.full(len(text), -1, np.int64)
-    word_of[place] = source
-    index = FMIndex(text, len(passages.vocabulary))
-    change = np.zeros(n + 1, np.int64)
-    for size, (patterns, first_item, item_list) in passages.by_length.items():
-        low, high = index.search(patterns)
-        count = high - low
-        some = np.flatnonzero(count)
-        if not len(some):
-            continue
-        count = count[some]
-        rows = np.repeat(low[some] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        word = word_of[index.locate(rows)]
-        np.add.at(change, word, 1)
-        np.add.at(change, word + size, -1)
-        which = np.repeat(some, count)
-        items = first_item[which + 1] - first_item[which]
-        pick = np.repeat(first_item[which] - (np.cumsum(items) - items), items) + np.arange(int(items.sum()))
-        pairs.append(np.unique(np.stack([np.repeat(owner[word], items), item_list[pick]]), axis=1))
-    hit = np.cumsum(change[:-1]) > 0
-    both = np.unique(np.concatenate(pairs, axis=1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-    return hit, both[0], both[1]
-
-
-def find_in_piece(data: np.ndarray, offsets: np.ndarray, passages: Passages) -> list[pa.Array]:
+    for low in range(0, n, settings.segment_words):
+        high = min(n, low + settings.segment_words + settings.window - 1)
+        stops = np.unique(np.append(first[(first > low) & (first < high)], high)) - low
+        place = np.arange(high - low) + np.searchsorted(stops, np.arange(high - low), "right")
+        text, word = np.zeros(high - low + len(stops), np.int64), np.full(high - low + len(stops), -1, np.int64)
+        text[place], word[place] = symbol[low:high], np.arange(low, high)
+        yield text, word
+
+
+def search(h: np.ndarray, first: np.ndarray, blocks: Iterable[Passages], settings: Settings) -> tuple[np.ndarray, list[list[int | None]]]:
+    """Whether each word is hit, and the ids of the items found in each text, of a shard's word hashes."""
+    n, change = len(first) - 1, np.zeros(len(h) + 1, np.int64)
+    found: list[list[int | None]] = [[] for _ in range(n)]
+    vocabulary = np.unique(h)
+    if not len(vocabulary):
+        return np.zeros(0, bool), found
+    symbol, owner = np.searchsorted(vocabulary, h) + 1, spans.owner(first)
+    indexes = [(FMIndex(text, len(vocabulary)), word) for text, word in _segments(symbol, first, settings)]
+    for block in blocks:
+        pairs = []
+        for size, (passages, first_item, item_list) in block.by_length.items():
+            near = np.minimum(np.searchsorted(vocabulary, passages), len(vocabulary) - 1)
+            # A passage with a word that the shard doesn't have has an empty range from there on.
+            can = np.flatnonzero((vocabulary[near] == passages).all(axis=1))
+            for index, word_at in indexes if len(can) else []:
+                low, high = index.search(near[can] + 1)
+                count = high - low
+                some = np.flatnonzero(count)
+                if not len(some):
+                    continue
+                count = count[some]
+                rows = np.repeat(low[some] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
+                word = word_at[index.locate(rows)]
+                # Segments overlap: a place may be found twice.
+                np.maximum.at(change_at := np.zeros(len(h) + 1, np.int64), word, 1)
+                at = np.flatnonzero(change_at)
+                change[at] += 1
+                np.add.at(change, at + size, -1)
+                which = can[np.repeat(some, count)]
+                items = first_item[which + 1] - first_item[which]
+                pick = np.repeat(first_item[which] - (np.cumsum(items) - items), items) + np.arange(int(items.sum()))
+                pairs.append(np.unique(np.stack([np.repeat(owner[word], items), item_list[pick]]), axis=1))
+        for doc, item in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist() if pairs else []:
+            found[doc].append(block.ids[item])
+    return np.cumsum(change[:-1]) > 0, found
+
+
+def find_in_piece(data: np.ndarray, offsets: np.ndarray, blocks: Iterable[Passages], settings: Settings) -> list[pa.Array]:
     """The columns of FOUND for one piece of whole texts."""
     n = len(offsets) - 1
-    data = spans.lower(data)
-    starts, ends, first = spans.words(data, offsets, spans.ALNUM)
-    h = spans.hashes(data, starts, ends)
+    low = spans.lower(data)
+    starts, ends, first = spans.words(low, offsets, spans.ALNUM)
+    h, count = spans.hashes(low, starts, ends), np.diff(first)
+    # Texts of the same words are searched once.
+    has, place = np.flatnonzero(count), np.arange(len(h)) - np.repeat(first[:-1], count)
+    whole = np.zeros(n, np.uint64)
+    whole[has] = np.add.reduceat(spans.mix(h + spans.mix(place.astype(np.uint64) + np.uint64(1))), first[:-1][has]) if len(has) else 0
+    _, lead, of = np.unique(np.stack([whole, count.astype(np.uint64)]), axis=1, return_index=True, return_inverse=True)
+    of = of.reshape(-1)
+    own = np.concatenate([[0], np.cumsum(count[lead])])
+    words = np.repeat(first[:-1][lead] - own[:-1], count[lead]) + np.arange(int(own[-1]))
+    hit_once, items_once = search(h[words], own, blocks, settings)
+    hit = hit_once[np.repeat(own[:-1][of] - first[:-1], count) + np.arange(len(h))] if len(h) else np.zeros(0, bool)
     owner = spans.owner(first)
-    vocabulary = passages.vocabulary
-    if len(vocabulary):
-        near = np.minimum(np.searchsorted(vocabulary, h), len(vocabulary) - 1)
-        symbol = np.where(vocabulary[near] == h, near + 1, 0)
-    else:
-        symbol = np.zeros(len(h), np.int64)
-    hit, doc, item = _search(passages, symbol, owner)
     at = np.flatnonzero(hit)
     new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (owner[at[1:]] != owner[at[:-1]])]) if len(at) else np.zeros(0, bool)
     begin = at[new]
     stop = at[np.append(np.flatnonzero(new)[1:], len(at)) - 1] if len(at) else at
-    of = owner[begin]
-    span = pa.StructArray.from_arrays(
-        [pa.array(begin - first[of]), pa.array(stop + 1 - first[of]), pa.array(starts[begin] - offsets[of]), pa.array(ends[stop] - offsets[of])],
-        ["first", "stop", "byte_first", "byte_stop"],
-    )
-    span_at = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=n))])
-    item_at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
-    ids = pa.array([passages.ids[k] for k in item.tolist()], pa.int64())
+    doc = owner[begin]
+    byte_first, byte_stop = starts[begin] - offsets[doc], ends[stop] - offsets[doc]
+    span = pa.StructArray.from_arrays([pa.array(x) for x in (begin - first[doc], stop + 1 - first[doc], byte_first, byte_stop)], ["first", "stop", "byte_first", "byte_stop"])
+    span_at = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n))])
+    cut: list[str | None] = [None] * n
+    for k in np.unique(doc).tolist():
+        raw, a, kept = data[offsets[k] : offsets[k + 1]].tobytes(), 0, []
+        for x, y in zip(byte_first[span_at[k] : span_at[k + 1]].tolist(), byte_stop[span_at[k] : span_at[k + 1]].tolist(), strict=True):
+            kept.append(raw[a:x])
+            a = y
+        cut[k] = b"".join([*kept, raw[a:]]).decode("utf-8", "replace")
     return [
-        pa.array(np.diff(first)),
+        pa.array(count),
         pa.ListArray.from_arrays(pa.array(span_at.astype(np.int32)), span),
-        pa.ListArray.from_arrays(pa.array(item_at.astype(np.int32)), ids),
+        pa.array([items_once[k] for k in of.tolist()], pa.list_(pa.int64())),
+        pa.array(cut, pa.string()),
     ]
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, settings: Settings) -> Iterator[list[tuple]]:
-    """Blocks of items; the driver holds one at a time."""
-    items = benchmark.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    size = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    n = -(-size // settings.block_bytes) or 1
-    for k in range(n):
-        part = items if n == 1 else items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == k)
-        yield [(r[0], r[1]) for r in part.collect()]
-
-
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
-    """A struct ``row`` of the document's columns, its text's words, the merged hit spans and the items found."""
-    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    for k, block in enumerate(_blocks(benchmark, item_id_col, item_text_col, settings)):
-        found = _pass(out, text_col, Passages(block, settings.window), settings)
-        out = found if k == 0 else found.select("row", "n_words", _merged("spans", "old_spans").alias("spans"), F.array_union("items", "old_items").alias("items"))
-    return out
-
-
-def _pass(df: DataFrame, text_col: str, passages: Passages, settings: Settings) -> DataFrame:
-    """Scans the texts for one block; columns of an earlier pass stay as old_*."""
-    earlier = [F.col(c).alias(f"old_{c}") for c in df.columns if c != "row"]
-    packed = df.select("row", *earlier)
-    kept = packed.columns
-    shared = df.sparkSession.sparkContext.broadcast(passages)
-    most = settings.shard_bytes
+    """A struct ``row`` of the document's columns, its text's words, the merged hit spans, the items found (each row of the
+    benchmark) and, where there is a hit, the text without the spans."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    paths = write_blocks(benchmark, item_id_col, item_text_col, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, data, offsets in spans.pieces(spans.field(batch.column("row"), text_col), most):
-                own = [batch.column(c).slice(i, len(offsets) - 1) for c in kept]
-                yield pa.RecordBatch.from_arrays(own + find_in_piece(data, offsets, shared.value), [*kept, "n_words", "spans", "items"])
-
-    schema = ", ".join(f"`{c}` {packed.schema[c].dataType.simpleString()}" for c in kept)
-    return packed.mapInArrow(run, f"{schema}, {FOUND}")
-
+            for i, data, offsets in spans.pieces(spans.field(batch.column("row"), text_col), settings.shard_bytes):
+                made = find_in_piece(data, offsets, (_block(p) for p in paths), settings)
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(i, len(offsets) - 1), *made], ["row", "n_words", "spans", "items", "cut"])
 
-def _merged(a: str, b: str):
-    """The union of two sorted span lists."""
-    span = "named_struct('first', {0}, 'stop', {1}, 'byte_first', {2}, 'byte_stop', {3})"
-    last = "element_at(acc, -1)"
-    wider = span.format(f"{last}.first", f"greatest({last}.stop, x.stop)", f"{last}.byte_first", f"greatest({last}.byte_stop, x.byte_stop)")
-    return F.expr(
-        f"aggregate(array_sort(concat({a}, {b})), filter({a}, x -> false), (acc, x) -> "
-        f"if(size(acc) > 0 and {last}.stop >= x.first, concat(slice(acc, 1, size(acc) - 1), array({wider})), concat(acc, array(x))))"
-    )
+    return packed.mapInArrow(run, f"row {packed.schema['row'].dataType.simpleString()}, {FOUND}")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -197,24 +213,17 @@ def report(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_c
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length_col: str = "n_chars", settings: Settings = Settings()) -> DataFrame:
-    """The documents with all hit spans cut out; those of which no word is left go.  Keeps the columns."""
+    """The documents with all hit spans cut out; those of which no word is left go.  Keeps the columns; repeated rows stay."""
     found = find(docs, benchmark, text_col, settings=settings)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["stop"] - x["first"])
-    left = found.filter((F.size("spans") == 0) | (n_hit < F.col("n_words"))).withColumn("cut", F.size("spans") > 0)
-    # Spans count bytes, so a text with hits is cut as binary; bytes between spans are whole characters.
-    raw = f"encode(row.`{text_col}`, 'utf-8')"
-    cut = (
-        f"decode(aggregate(spans, named_struct('out', cast('' as binary), 'at', 0L), (acc, x) -> named_struct("
-        f"'out', concat(acc.out, substring({raw}, cast(acc.at + 1 as int), cast(x.byte_first - acc.at as int))), 'at', x.byte_stop), "
-        f"acc -> concat(acc.out, substring({raw}, cast(acc.at + 1 as int)))), 'utf-8')"
-    )
-    text = F.when(F.col("cut"), F.expr(cut)).otherwise(F.expr(f"row.`{text_col}`")).alias(text_col)
+    left = found.filter((F.size("spans") == 0) | (n_hit < F.col("n_words")))
+    has = F.col("cut").isNotNull()
     out = []
     for c in docs.columns:
+        own = F.expr(f"row.`{c}`")
         if c == text_col:
-            out.append(text)
+            own = F.when(has, F.col("cut")).otherwise(own)
         elif c == length_col:
-            out.append(F.when(F.col("cut"), F.length(F.expr(cut))).otherwise(F.expr(f"row.`{c}`")).cast(docs.schema[c].dataType).alias(c))
-        else:
-            out.append(F.expr(f"row.`{c}`").alias(c))
+            own = F.when(has, F.length("cut")).otherwise(own).cast(docs.schema[c].dataType)
+        out.append(own.alias(c))
     return left.select(*out)

@@ -6,36 +6,48 @@ import numpy as np
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
-    """Suffix order by prefix doubling.  Zeros end runs; each sorts by its place, so no comparison crosses one."""
+    """Suffix order by prefix doubling.  Zeros end runs; each sorts by its place, so no comparison crosses one.
+
+    A suffix has the first place of its group of equals as its rank; each round sorts only what is still in a group.
+    """
     n = len(text)
     zeros = np.flatnonzero(text == 0)
     key = text + len(zeros)
     key[zeros] = np.arange(len(zeros))
     order = np.argsort(key, kind="stable")
-    rank = np.empty(n, np.int64)
+    rank, slots, step = np.empty(n, np.int64), np.arange(n), 0
     ordered = key[order]
-    rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-    step = 1
-    while n and rank[order[-1]] < n - 1 and step < n:
-        later = np.zeros(n, np.int64)
-        later[: n - step] = rank[step:] + 1
-        key = rank * (n + 1) + later
-        order = np.argsort(key, kind="stable")
-        ordered = key[order]
-        rank[order] = np.concatenate([[0], np.cumsum(ordered[1:] != ordered[:-1])])
-        step *= 2
-    return order
+    while True:
+        # ``ordered`` has the sorted keys of the suffixes in ``slots``.
+        new = np.ones(len(slots), bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        start = np.flatnonzero(new)
+        rank[order[slots]] = np.repeat(slots[start], np.diff(np.append(start, len(slots))))
+        alone = new & np.append(new[1:], True)
+        slots = slots[~alone]
+        step = max(1, 2 * step)
+        if not len(slots) or step >= n:
+            return order
+        own = order[slots]
+        later = np.where(own + step < n, rank[np.minimum(own + step, n - 1)] + 1, 0)
+        key = rank[own] * (n + 1) + later
+        by = np.argsort(key, kind="stable")
+        order[slots] = own[by]
+        ordered = key[by]
 
 
 class WaveletMatrix:
     def __init__(self, symbols: np.ndarray, bits: int):
         self.bits, self.zeros, self.ones = bits, [], []
-        left = symbols
+        left = symbols.astype(np.int32)
         for b in reversed(range(bits)):
             bit = (left >> b) & 1
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]).astype(np.int32))
-            self.zeros.append(int(len(bit) - bit.sum()))
-            left = np.concatenate([left[bit == 0], left[bit == 1]])
+            ones = np.zeros(len(bit) + 1, np.int32)
+            np.cumsum(bit, out=ones[1:])
+            self.ones.append(ones)
+            self.zeros.append(int(len(bit) - ones[-1]))
+            high = bit.astype(bool)
+            left = np.concatenate([left[~high], left[high]])
 
     def rank(self, symbol: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Occurrences of ``symbol`` before position ``i``, elementwise."""
