@@ -62,7 +62,7 @@ def backoff_by_hand(texts, order=2, least=2, penalty=0.4):
     return [(len(x), sum(count[(w,)] < least for w in x), sum(one(x, i, order) for i in range(len(x))) if x else None) for x in tokens]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_backoff(spark, corpus, order):
     texts = [r["text"] for r in corpus.collect()]
     expected = Counter((n, oov, None if s is None else round(s, 5)) for n, oov, s in backoff_by_hand(texts, order))
