@@ -178,15 +178,48 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return least_labels(len(label), pair[0], pair[1])[label]
 
 
+PAIRS = 1 << 20
+
+
 def _near(a: list[np.ndarray], b: list[np.ndarray], mask: np.uint64, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows (of the words that are checked) that are near in the group of bits and then in all bits."""
-    own, other = a[0] & mask, b[0] & mask
-    for i in range(0, len(own), 256):
-        x, y = np.nonzero(np.bitwise_count(own[i : i + 256, None] ^ other[None, :]) <= settings.near)
-        x += i
+    """Pairs of rows (of the words that are checked) that are near in the group of bits and then in all bits.
+
+    The group is cut into one part more than bits may differ: a near pair agrees in one part, so only rows that agree
+    in some bits of a part are held against each other.  A pair may come several times.
+    """
+    if not len(a[0]) or not len(b[0]):
+        return
+    bits = np.flatnonzero((int(mask) >> np.arange(64, dtype=object)) & 1)
+    shift = np.uint64(bits[0])
+    narrow = np.uint32 if bits[-1] - bits[0] < 32 else np.uint64
+    own, other = ((v[0] & mask) >> shift for v in (a, b))
+    used = int(np.clip(np.log2(max(1, len(other) / 32)), 0, 7))
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def checked() -> tuple[np.ndarray, np.ndarray]:
+        x, y = (np.concatenate(v) for v in zip(*held, strict=True))
         far = sum(np.bitwise_count(p[x] ^ q[y]).astype(np.int64) for p, q in zip(a, b, strict=True))
         good = far <= settings.distance
-        yield x[good], y[good]
+        return x[good], y[good]
+
+    for part in np.array_split(bits - bits[0], settings.near + 1):
+        places = part[:used].tolist()
+        key = [sum((((v >> np.uint64(at)) & np.uint64(1)) << np.uint64(k) for k, at in enumerate(places)), np.zeros(len(v), np.uint64)) for v in (own, other)]
+        order = [np.argsort(k, kind="stable") for k in key]
+        cuts = [np.searchsorted(k[o], np.arange(2 ** len(places) + 1, dtype=np.uint64)).tolist() for k, o in zip(key, order, strict=True)]
+        left, right = own[order[0]].astype(narrow), other[order[1]].astype(narrow)
+        for v in range(2 ** len(places)):
+            (i, i_stop), (j, j_stop) = cuts[0][v : v + 2], cuts[1][v : v + 2]
+            rows = max(1, PAIRS // max(1, j_stop - j))
+            for k in range(i, i_stop if j < j_stop else i, rows):
+                x, y = np.nonzero(np.bitwise_count(left[k : min(k + rows, i_stop), None] ^ right[None, j:j_stop]) <= settings.near)
+                if len(x):
+                    held.append((order[0][x + k], order[1][y + j]))
+                    if sum(len(h[0]) for h in held) >= PAIRS:
+                        yield checked()
+                        held = []
+    if held:
+        yield checked()
 
 
 def _columns(settings: Settings) -> list[str]:
