@@ -64,7 +64,7 @@ def test_mutations_upkeep_and_refinement_against_a_dictionary(spark, root):
         for pos, i in enumerate(rng.permutation(300)[:80].tolist()):
             op = "delete" if i % 4 == 0 else "upsert" if i % 4 < 3 else "insert" if i not in model else "upsert"
             batch.append((pos, op, i, rng.normal(size=8).astype(np.float32).tolist(), i % 4, None))
-        said = index.batch_mutate(spark.createDataFrame(batch, schema))
+        said = index.batch_mutate(spark.createDataFrame(batch, schema)).select("pos", "outcome").collect()
         for (pos, outcome), row in zip(said, batch, strict=True):
             expected = {"insert": "Inserted", "upsert": "Replaced" if row[2] in model else "Created", "delete": "Deleted" if row[2] in model else "Missing"}[row[1]]
             assert (pos, outcome) == (row[0], expected)
@@ -81,7 +81,7 @@ def test_mutations_upkeep_and_refinement_against_a_dictionary(spark, root):
     assert e.value.kind == "RecordAlreadyExists" and e.value.position == 0
     with pytest.raises(IndexError_):
         index.batch_mutate(spark.createDataFrame([(0, "upsert", 1, [0.0] * 8, 1, None), (1, "delete", 1, None, None, None)], schema))
-    assert index.batch_mutate(spark.createDataFrame([], schema)) == []
+    assert index.batch_mutate(spark.createDataFrame([], schema)).isEmpty()
 
 
 def test_lifecycle(spark, root):

@@ -62,6 +62,8 @@ class IndexConfig:
     write_beam: int = 4
     key_ranges: int = 1024
     sample_items: int = 1024
+    shard_rows: int = 200_000
+    """Rows per shard of the tables at the build: what a search reads and a mutation rewrites at least."""
     seed: int = 7
     hnsw: tuple[int, int, int] | None = (16, 200, 7)
     """M, efConstruction and seed of partition-local graphs, which the ``hnsw`` routing uses."""
@@ -82,6 +84,7 @@ class IndexConfig:
         require(1 <= self.internal_min <= 128 and 2 * self.internal_min <= self.internal_max <= 16384, "internal capacity")
         require(1 <= self.write_beam <= MAX_BEAM, "write beam")
         require(self.sample_items >= 2, "sample")
+        require(self.shard_rows >= 1, "shard size")
         if self.hnsw is not None:
             m, ef, _ = self.hnsw
             require(2 <= m <= 16 and ef >= m, "graph")

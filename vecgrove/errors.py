@@ -2,30 +2,30 @@
 
 from __future__ import annotations
 
-# The kinds and their messages.
+# The kinds.  What is said of each is our own.
 MESSAGES = {
-    "IndexBuilding": "index is being built",
-    "BulkBuildSuperseded": "bulk build worker was superseded",
-    "BulkBuildBusy": "bulk build is busy",
+    "IndexBuilding": "the index has no committed version yet",
+    "BulkBuildSuperseded": "another runner, or an abort, has ended this bulk job",
+    "BulkBuildBusy": "the bulk job is in the wrong stage, or another runner holds it",
     "InvalidArgument": "invalid argument",
-    "IndexAlreadyExists": "index already exists",
-    "IndexNotFound": "index not found",
-    "IndexDropping": "index is being dropped",
-    "RecordAlreadyExists": "record already exists",
-    "UnsupportedFormat": "unsupported format",
-    "Unsupported": "backend does not support operation",
-    "TransactionTooLarge": "transaction too large",
-    "LimitExceeded": "limit exceeded",
-    "ContentionExhausted": "contention retries exhausted",
-    "RetryableAbort": "transaction aborted, retry",
-    "CommitOutcomeUnknown": "commit outcome unknown",
-    "IdExhausted": "identifier space exhausted",
-    "DeadlineExceeded": "deadline exceeded",
-    "Cancelled": "operation cancelled",
-    "RuntimeClosed": "runtime closed",
-    "Backend": "backend error",
-    "Other": "unclassified backend error",
-    "Corruption": "corruption detected",
+    "IndexAlreadyExists": "an index of this name has another configuration",
+    "IndexNotFound": "no index of this name",
+    "IndexDropping": "this index is going away",
+    "RecordAlreadyExists": "a record of this id is there already",
+    "UnsupportedFormat": "written in a format that this version doesn't read",
+    "Unsupported": "not possible here",
+    "TransactionTooLarge": "too much for one commit",
+    "LimitExceeded": "a stated limit doesn't allow this",
+    "ContentionExhausted": "other writers were first every time",
+    "RetryableAbort": "given up before the commit; may be tried again",
+    "CommitOutcomeUnknown": "can't tell whether the commit took place",
+    "IdExhausted": "no free partition numbers",
+    "DeadlineExceeded": "out of time",
+    "Cancelled": "stopped by its caller",
+    "RuntimeClosed": "the runtime is shut down",
+    "Backend": "storage failed",
+    "Other": "failed for an unknown reason",
+    "Corruption": "stored tables contradict each other",
 }
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vecgrove.config import IndexConfig, RefineOptions, SearchOptions, VerifyOptions
 from vecgrove.functions.predicate import Predicate
 from vecgrove.operators import build, maintain, mutate, refine, search, verify
+from vecgrove.sources.scratch import keep
 from vecgrove.sources.store import Snapshot, Store
 
 
@@ -21,7 +22,8 @@ class Runtime:
         self.store.create(name, config)
         index = Index(self, name, config)
         if records is not None and not self.store.versions(name):
-            self.store.commit(name, lambda old: build.build(records, config))
+            shards = build.shards_for(records, config)
+            self.store.commit(name, lambda old: build.build(records, config, shards=shards), shards)
         return index
 
     def open_index(self, name: str) -> Index:
@@ -51,20 +53,25 @@ class Index:
     def get(self, ids: DataFrame, payload: bool = False) -> DataFrame:
         return search.get(self.snapshot(), ids, payload)
 
-    def batch_mutate(self, batch: DataFrame) -> list[tuple]:
-        """Applies all or nothing; returns (pos, outcome) in order."""
-        if not batch.limit(1).count():
-            return []
-        said = mutate.outcomes(batch, self.snapshot().table("records")).select("pos", "outcome").orderBy("pos").collect()
-        self.runtime.store.commit(self.name, lambda old: mutate.apply(old, batch, self.config))
-        return [tuple(r) for r in said]
+    def batch_mutate(self, batch: DataFrame) -> DataFrame:
+        """Applies all or nothing; pos, id and outcome of each, as they were in the commit that counts."""
+        said: list[DataFrame] = []
+
+        def make(old: Snapshot) -> dict:
+            said[:] = [keep(mutate.outcomes(batch, old.table("records")), "outcomes")]
+            return mutate.apply(old, batch, self.config)
+
+        if batch.isEmpty():
+            return mutate.outcomes(batch, self.snapshot().table("records"))
+        self.runtime.store.commit(self.name, make)
+        return said[0].orderBy("pos")
 
     def _single(self, op: str, row: dict) -> str:
         fields = ", ".join(f"`{f.name}` {f.sql_type}" for f in self.config.fields)
         id_type = self.snapshot().table("records").schema["id"].dataType.simpleString()
         schema = f"pos long, op string, id {id_type}, vector array<float>" + (f", {fields}" if fields else "") + ", payload binary"
         values = [0, op, row["id"], row.get("vector"), *[row.get(f.name) for f in self.config.fields], row.get("payload")]
-        return self.batch_mutate(self.runtime.spark.createDataFrame([tuple(values)], schema))[0][1]
+        return self.batch_mutate(self.runtime.spark.createDataFrame([tuple(values)], schema)).first()["outcome"]
 
     def insert(self, **row) -> str:
         return self._single("insert", row)
@@ -75,19 +82,23 @@ class Index:
     def delete(self, id) -> bool:
         return self._single("delete", {"id": id}) == "Deleted"
 
-    def maintain(self, waves: int = 8) -> int:
-        """Splits and merges until nothing is actionable; returns the waves run."""
+    def maintain(self, waves: int = 64) -> int:
+        """Splits and merges on every level until nothing is actionable; returns the waves run."""
         for wave in range(waves):
-            pending = {r["action"] for r in maintain.actionable(self.snapshot().table("partitions"), self.config).filter("level = 1").select("action").distinct().collect()}
-            if not pending:
+            before = self.snapshot()
+            step = maintain.next_wave(before, self.config)
+            if step is None:
                 return wave
-            step = maintain.split_leaves if "split" in pending else maintain.merge_leaves
-            before = self.snapshot().table("partitions").count()
-            self.runtime.store.commit(self.name, lambda old, step=step: step(old, self.config))
-            if step is maintain.merge_leaves and self.snapshot().table("partitions").count() == before:
+            state = before.table("partitions").agg(F.count("*"), F.sum("entry_count")).first()
+            after = self.runtime.store.commit(self.name, lambda old, step=step: step(old, self.config))
+            if step in (maintain.merge_leaves, maintain.merge_inner) and after.table("partitions").agg(F.count("*"), F.sum("entry_count")).first() == state:
                 return wave + 1
         return waves
 
+    def expire(self, keep: int = 2) -> list[int]:
+        """Forgets old versions and what only they hold."""
+        return self.runtime.store.expire(self.name, keep)
+
     def refine(self, options: RefineOptions = RefineOptions()) -> None:
         self.runtime.store.commit(self.name, lambda old: refine.refine(old, self.config, options))
 

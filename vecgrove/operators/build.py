@@ -1,6 +1,6 @@
 """Offline construction of the forest: records in, snapshot tables out.
 
-Records are grouped by tree key and each tree is built bottom-up where its rows meet.  A tree of more rows than
+The clustering is written once, and all tables are derived from that.  Records are grouped by tree key and each tree is built bottom-up where its rows meet.  A tree of more rows than
 ``resident`` is first dealt out to coarse centres, trained on a bounded sample, so that no group is held by one
 task that doesn't fit; the leaves of its parts are then joined under common parents in a second, small pass.
 """
@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecgrove.config import MAX_ID_BYTES, MAX_PAYLOAD_BYTES, IndexConfig
+from vecgrove.errors import IndexError_, invalid
 from vecgrove.functions.distance import Kernel
 from vecgrove.functions.predicate import BLOOM_HASHES, bloom_bit
 from vecgrove.functions.rabitq import encode
 from vecgrove.operators import training
+from vecgrove.sources.scratch import keep
 
 PARTITION_SCHEMA = (
     "tree_id long, part_id long, parent_id long, level int, entry_count long, epoch long, state string, "
@@ -116,32 +118,44 @@ def construct_tree(points: np.ndarray, keys: np.ndarray, config: IndexConfig, ke
     return leaf_of, frame
 
 
-def build(records: DataFrame, config: IndexConfig, resident: int = 500_000) -> dict[str, DataFrame]:
+NEIGHBOURS = 64
+"""Leaves of consecutive numbers, which are neighbours when built, that share a shard."""
+
+
+def shard_of(shards: int) -> Column:
+    """The shard of a leaf that has none yet."""
+    return F.pmod(F.xxhash64("tree_id", F.floor(F.col("leaf_id") / NEIGHBOURS).cast("long")), F.lit(shards)).cast("int")
+
+
+def shards_for(records: DataFrame, config: IndexConfig) -> int:
+    return max(1, -(-records.count() // config.shard_rows))
+
+
+def build(records: DataFrame, config: IndexConfig, resident: int = 500_000, shards: int = 1) -> dict[str, DataFrame]:
     """All tables of a snapshot from a frame of records (id, vector, fields and perhaps payload)."""
     rows = checked(records, config).withColumn("tree_id", tree_id_of(config))
     if rows.groupBy("id").count().filter("count > 1").limit(1).count():
-        from vecgrove.errors import invalid
-
         raise invalid("duplicate ids")
-    built = _constructed(rows, config, resident)
+    keys = [f"`{k}`" for k in config.tree_key]
+    if keys and rows.select("tree_id", *keys).distinct().groupBy("tree_id").count().filter("count > 1").limit(1).count():
+        raise IndexError_("Corruption", None, "two tree keys with one number")
+    built = keep(_constructed(rows, config, resident), "clustering")
     assigned = built.filter("part_id is null").select("id", "leaf_id")
     partitions = built.filter("part_id is not null").select(*[c.strip().split()[0] for c in PARTITION_SCHEMA.replace("array<float>", "array").split(",")])
-    return tables_from(rows.join(assigned, "id"), partitions, config)
+    return tables_from(keep(rows.join(assigned, "id").withColumn("shard", shard_of(shards)), "assigned"), partitions, config)
 
 
 def tables_from(rows: DataFrame, partitions: DataFrame, config: IndexConfig) -> dict[str, DataFrame]:
-    """Snapshot tables from records with tree_id and leaf_id, and the partitions."""
+    """Snapshot tables from records with tree_id, leaf_id and shard, and the partitions."""
     names = [f.name for f in config.fields]
-    entries = coded(rows.select("tree_id", "leaf_id", "id", *[f"`{n}`" for n in names], "vector"), config)
-    entries = entries.repartitionByRange("tree_id", "leaf_id").sortWithinPartitions("tree_id", "leaf_id", "id")
     keys = [F.first(f"`{k}`").alias(k) for k in config.tree_key]
     trees = rows.groupBy("tree_id").agg(F.count("*").alias("records"), *keys)
     high = partitions.groupBy("tree_id").agg(F.max("part_id").alias("key_high_water"))
     out = {
-        "records": rows.select("id", "vector", *[f"`{n}`" for n in names], "tree_id", "leaf_id"),
+        "records": rows.select("id", "vector", *[f"`{n}`" for n in names], "tree_id", "leaf_id", "shard"),
         "trees": trees.join(high, "tree_id").withColumn("root", F.lit(1).cast("long")).drop("records"),
         "partitions": partitions,
-        "leaf_entries": entries,
+        "leaf_entries": coded(rows.select("shard", "tree_id", "leaf_id", "id", *[f"`{n}`" for n in names], "vector"), config),
         "synopses": synopses(rows, config),
     }
     if "payload" in rows.columns:
@@ -151,7 +165,7 @@ def tables_from(rows: DataFrame, partitions: DataFrame, config: IndexConfig) ->
 
 def synopses(rows: DataFrame, config: IndexConfig, by: tuple[str, ...] = ("tree_id", "leaf_id")) -> DataFrame:
     """Per leaf: has_null, min, max of each field, and the set bits of its Bloom filter if it has one."""
-    aggregates = [F.count("*").alias("entries")]
+    aggregates = [F.count("*").alias("entries"), *([F.min("shard").alias("shard")] if "shard" in rows.columns else [])]
     for f in config.fields:
         c = F.col(f"`{f.name}`")
         aggregates += [F.max(c.isNull()).alias(f"{f.name}_has_null"), F.min(c).alias(f"{f.name}_min"), F.max(c).alias(f"{f.name}_max")]

@@ -7,6 +7,7 @@ another left it.  Nothing is visible to readers until ``publish``.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from vecgrove.config import IndexConfig
 from vecgrove.errors import IndexError_, require
 from vecgrove.operators import build, verify
-from vecgrove.sources.store import TABLES, Files, Snapshot, Store
+from vecgrove.sources.store import Files, Snapshot, Store
 
 STAGES = ("captured", "constructed", "checked", "published")
 
@@ -65,17 +66,18 @@ class BulkBuildJob:
         if not self.done("constructed"):
             if json.loads(self.files.read("captured"))["digest"] != digest(self._input()):
                 raise IndexError_("Corruption")
-            self.files.delete("v1")
-            for table, df in build.build(self._input(), config).items():
-                df.write.parquet(f"{self.files.root}/v1/{table}")
-            self._mark("constructed", {t: digest(self.hidden().table(t)) for t in self.files.names("v1") if t in TABLES})
+            # Under a name of its own: another runner may be at the same stage.
+            shards, folder = build.shards_for(self._input(), config), f"built-{uuid.uuid4().hex}"
+            manifest = self.store.write(self.files.root, folder, build.build(self._input(), config, shards=shards), None, shards)
+            made = Snapshot(self.store.spark, self.files.root, 1, manifest)
+            self._mark("constructed", {"manifest": manifest, "digests": {t: digest(made.table(t)) for t in manifest["tables"]}})
         if not self.done("checked"):
             if verify.issues(self.hidden(), config).limit(1).count():
                 raise IndexError_("Corruption")
             self._mark("checked")
 
     def hidden(self) -> Snapshot:
-        return Snapshot(self.store.spark, self.files.root, 1)
+        return Snapshot(self.store.spark, self.files.root, 1, json.loads(self.files.read("constructed"))["manifest"])
 
     def publish(self) -> None:
         """Commits the tables as the index's next version and holds them against what was constructed."""
@@ -83,8 +85,8 @@ class BulkBuildJob:
             return
         if not self.done("checked"):
             raise IndexError_("BulkBuildBusy")
-        wanted = json.loads(self.files.read("constructed"))
-        new = self.store.commit(self.name, lambda old: {t: self.hidden().table(t) for t in wanted})
+        wanted, hidden = json.loads(self.files.read("constructed"))["digests"], self.hidden()
+        new = self.store.commit(self.name, lambda old: {t: hidden.table(t) for t in wanted}, hidden.shards)
         if any(digest(new.table(t)) != d for t, d in wanted.items()):
             raise IndexError_("Corruption")
         self._mark("published")
@@ -102,8 +104,9 @@ class BulkBuildJob:
         """Removes what a published or aborted job no longer needs."""
         if self.status() not in ("published", "aborted"):
             raise IndexError_("BulkBuildBusy")
-        for part in ("input", "v1"):
-            self.files.delete(part)
+        for part in self.files.names():
+            if part == "input" or part.startswith("built-"):
+                self.files.delete(part)
 
 
 def schedule(store: Store, name: str) -> list[str]:

@@ -1,8 +1,8 @@
 """Atomic batches of mutations: routing to leaves, conflicts, outcomes, and the next snapshot's tables.
 
-A batch is a frame (pos, op, id, vector, fields, payload); op is insert, upsert or delete.  Trees that the batch
-doesn't touch are taken over as they are; in touched trees, entries are replaced by anti-joins and unions, counts
-follow by aggregation, and synopses grow but never shrink.
+A batch is a frame (pos, op, id, vector, fields, payload); op is insert, upsert or delete.  The ids of all records are
+read to find where the batch's are; then only the shards that lose or get a record are rewritten, by anti-joins and unions.
+Counts follow by aggregation, and synopses grow but never shrink.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 
 from vecgrove.config import IndexConfig
 from vecgrove.errors import IndexError_, invalid
-from vecgrove.operators.build import checked, coded, kernel_of, synopses, tree_id_of
+from vecgrove.operators.build import checked, coded, kernel_of, shard_of, synopses, tree_id_of
 from vecgrove.plans.traverse import ROOT, Topology, beam_width
-from vecgrove.sources.store import Snapshot
+from vecgrove.sources.scratch import keep
+from vecgrove.sources.store import Shards, Snapshot
 
 OPS = ("insert", "upsert", "delete")
 
@@ -77,7 +78,7 @@ def route(rows: DataFrame, partitions: DataFrame, config: IndexConfig, ceiling:
     return rows.mapInPandas(run, f"{fields}, leaf_id long")
 
 
-def apply(snapshot: Snapshot, batch: DataFrame, config: IndexConfig) -> dict[str, DataFrame]:
+def apply(snapshot: Snapshot, batch: DataFrame, config: IndexConfig) -> dict[str, DataFrame | Shards]:
     """The tables after the batch.  Raises on an insert of an existing id; the batch is then applied not at all."""
     check_batch(batch)
     records = snapshot.table("records")
@@ -86,19 +87,23 @@ def apply(snapshot: Snapshot, batch: DataFrame, config: IndexConfig) -> dict[str
         raise IndexError_("RecordAlreadyExists", clash)
     names = [f.name for f in config.fields]
     fresh = checked(batch.filter("op <> 'delete'").drop("pos", "op"), config).withColumn("tree_id", tree_id_of(config))
-    routed = route(fresh, snapshot.table("partitions"), config)
+    known = snapshot.table("synopses").select("tree_id", "leaf_id", "shard")
+    routed = route(fresh, snapshot.table("partitions"), config).join(known, ["tree_id", "leaf_id"], "left")
+    routed = keep(routed.withColumn("shard", F.coalesce("shard", shard_of(snapshot.shards))), "routed")
     touched = batch.select("id")
-    columns = ["id", "vector", *[f"`{n}`" for n in names], "tree_id", "leaf_id"]
-    new_records = records.join(touched, "id", "left_anti").unionByName(routed.select(*columns))
-    entries = snapshot.table("leaf_entries")
-    fresh_entries = coded(routed.select("tree_id", "leaf_id", "id", *[f"`{n}`" for n in names], "vector"), config)
-    new_entries = entries.join(touched, "id", "left_anti").unionByName(fresh_entries)
-    gone = records.join(touched, "id", "left_semi").groupBy("tree_id", "leaf_id").agg((-F.count("*")).alias("change"))
-    come = routed.groupBy("tree_id", "leaf_id").agg(F.count("*").alias("change"))
-    change = gone.unionByName(come).groupBy("tree_id", "leaf_id").agg(F.sum("change").alias("change"))
-    tables = {
-        "records": new_records,
-        "leaf_entries": new_entries.repartitionByRange("tree_id", "leaf_id").sortWithinPartitions("tree_id", "leaf_id", "id"),
+    found = keep(records.select("id", "tree_id", "leaf_id", "shard").join(touched, "id", "left_semi"), "found")
+    shards = sorted({r["shard"] for r in found.select("shard").union(routed.select("shard")).distinct().collect()})
+    columns = ["id", "vector", *[f"`{n}`" for n in names], "tree_id", "leaf_id", "shard"]
+    new_records = snapshot.table("records", shards).select(*columns).join(touched, "id", "left_anti").unionByName(routed.select(*columns))
+    entries = snapshot.table("leaf_entries", shards)
+    fresh_entries = coded(routed.select("shard", "tree_id", "leaf_id", "id", *[f"`{n}`" for n in names], "vector"), config)
+    new_entries = entries.join(touched, "id", "left_anti").select(*fresh_entries.columns).unionByName(fresh_entries)
+    gone = found.groupBy("tree_id", "leaf_id").agg((-F.count("*")).alias("change"), F.min("shard").alias("shard"))
+    come = routed.groupBy("tree_id", "leaf_id").agg(F.count("*").alias("change"), F.min("shard").alias("shard"))
+    change = keep(gone.unionByName(come).groupBy("tree_id", "leaf_id").agg(F.sum("change").alias("change"), F.min("shard").alias("shard")), "change")
+    tables: dict[str, DataFrame | Shards] = {
+        "records": Shards(new_records, shards),
+        "leaf_entries": Shards(new_entries, shards),
         "partitions": _counted(snapshot.table("partitions"), change, config),
         "synopses": widened(snapshot.table("synopses"), routed, change, config),
     }
@@ -109,7 +114,7 @@ def apply(snapshot: Snapshot, batch: DataFrame, config: IndexConfig) -> dict[str
 
 def _counted(partitions: DataFrame, change: DataFrame, config: IndexConfig) -> DataFrame:
     """Counts and epochs of changed leaves, and root leaves of new trees."""
-    c = change.withColumnRenamed("leaf_id", "part_id")
+    c = change.select("tree_id", F.col("leaf_id").alias("part_id"), "change")
     joined = partitions.join(c, ["tree_id", "part_id"], "full_outer")
     zero = F.array_repeat(F.lit(0.0).cast("float"), config.dimension)
     return joined.select(
@@ -123,12 +128,12 @@ def _counted(partitions: DataFrame, change: DataFrame, config: IndexConfig) -> D
 def widened(old: DataFrame, fresh: DataFrame, change: DataFrame, config: IndexConfig) -> DataFrame:
     """Bounds of the old synopses and the new rows together; only the entry count may go down."""
     both = old.drop("entries").unionByName(synopses(fresh, config).drop("entries"))
-    aggregates = []
+    aggregates = [F.min("shard").alias("shard")]
     for f in config.fields:
         aggregates += [F.max(f"{f.name}_has_null").alias(f"{f.name}_has_null"), F.min(f"{f.name}_min").alias(f"{f.name}_min"), F.max(f"{f.name}_max").alias(f"{f.name}_max")]
         if f.bloom_bits:
             aggregates.append(F.array_sort(F.array_distinct(F.flatten(F.collect_list(f"{f.name}_bloom")))).alias(f"{f.name}_bloom"))
-    grown = both.groupBy("tree_id", "leaf_id").agg(*aggregates) if aggregates else both.distinct()
+    grown = both.groupBy("tree_id", "leaf_id").agg(*aggregates)
     counts = old.select("tree_id", "leaf_id", "entries").unionByName(change.select("tree_id", "leaf_id", F.col("change").alias("entries"))).groupBy("tree_id", "leaf_id").agg(F.sum("entries").alias("entries"))
     return grown.join(counts, ["tree_id", "leaf_id"]).select(*old.columns)
 
@@ -139,15 +144,9 @@ def _trees(trees: DataFrame, fresh: DataFrame, config: IndexConfig) -> DataFrame
 
 
 def _payloads(snapshot: Snapshot, batch: DataFrame) -> DataFrame | None:
-    try:
-        old = snapshot.table("payloads")
-        old.schema  # noqa: B018
-    except Exception:
-        old = None
+    """None: as they were."""
     new = batch.filter("op <> 'delete' and payload is not null").select("id", "payload") if "payload" in batch.columns else None
-    if old is None:
+    if not snapshot.has("payloads"):
         return new
-    kept = old.join(batch.select("id"), "id", "left_anti")
-    return kept.unionByName(new) if new is not None else kept
-
-
+    left = snapshot.table("payloads").join(batch.select("id"), "id", "left_anti")
+    return left.unionByName(new) if new is not None else left

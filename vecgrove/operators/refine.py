@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from vecgrove.config import IndexConfig, RefineOptions
 from vecgrove.functions import distance
 from vecgrove.operators.build import kernel_of, synopses
+from vecgrove.sources.scratch import keep
 from vecgrove.sources.store import Snapshot
 
 
@@ -55,8 +56,8 @@ def accepted(wanted: DataFrame, counts: DataFrame, config: IndexConfig) -> DataF
     return wanted.groupBy("tree_id").cogroup(counts.groupBy("tree_id")).applyInPandas(one, f"tree_id long, id {id_type}, target long")
 
 
-def refine(snapshot: Snapshot, config: IndexConfig, options: RefineOptions = RefineOptions(), keep=lambda df: df) -> dict[str, DataFrame]:
-    """Tables after the rounds; ``keep`` may persist each round's state."""
+def refine(snapshot: Snapshot, config: IndexConfig, options: RefineOptions = RefineOptions()) -> dict[str, DataFrame]:
+    """Tables after the rounds; each round's state is written."""
     kernel = kernel_of(config)
     records = snapshot.table("records")
 
@@ -65,13 +66,13 @@ def refine(snapshot: Snapshot, config: IndexConfig, options: RefineOptions = Ref
             yield pdf.assign(vector=list(kernel.prepare(np.stack(pdf["vector"].to_numpy())))) if len(pdf) else pdf
 
     rows = keep(records.select("tree_id", "leaf_id", "id", "vector").mapInPandas(prepare, records.select("tree_id", "leaf_id", "id", "vector").schema))
-    leaves = _centres(rows, config)
+    leaves = keep(_centres(rows, config))
     for _ in range(options.rounds):
         moves = keep(accepted(proposals(rows, leaves, config.metric, options.neighbours), leaves.select("tree_id", "leaf_id", "entry_count"), config))
         if not moves.limit(1).count():
             break
         rows = keep(rows.join(moves.select("id", "target"), "id", "left").withColumn("leaf_id", F.coalesce("target", "leaf_id")).drop("target"))
-        leaves = _centres(rows, config)
+        leaves = keep(_centres(rows, config))
     return _tables(snapshot, config, rows.select("id", "leaf_id"), leaves)
 
 
@@ -91,7 +92,8 @@ def _centres(rows: DataFrame, config: IndexConfig) -> DataFrame:
 
 def _tables(snapshot: Snapshot, config: IndexConfig, places: DataFrame, leaves: DataFrame) -> dict[str, DataFrame]:
     partitions = snapshot.table("partitions")
-    move = lambda df: df.drop("leaf_id").join(places, "id").select(*df.columns)
+    shard = snapshot.table("synopses").select("tree_id", "leaf_id", "shard")
+    move = lambda df: df.drop("leaf_id", "shard").join(places, "id").join(shard, ["tree_id", "leaf_id"]).select(*df.columns)
     records = move(snapshot.table("records"))
     new = leaves.select("tree_id", F.col("leaf_id").alias("part_id"), F.col("centroid").alias("c"), F.col("dispersion").alias("d"), F.col("entry_count").alias("n"))
     joined = partitions.join(new, ["tree_id", "part_id"], "left")
@@ -101,7 +103,7 @@ def _tables(snapshot: Snapshot, config: IndexConfig, places: DataFrame, leaves:
     )
     return {
         "records": records,
-        "leaf_entries": move(snapshot.table("leaf_entries")).repartitionByRange("tree_id", "leaf_id").sortWithinPartitions("tree_id", "leaf_id", "id"),
+        "leaf_entries": move(snapshot.table("leaf_entries")),
         "partitions": parents_refreshed(refreshed, config),
         "synopses": synopses(records, config),
     }

@@ -1,7 +1,9 @@
 """Batched approximate search: prune trees and leaves, rank codes, rerank exactly, report the work.
 
 One plan serves a frame of queries (qid, vector).  The routing tables (one row per partition, checked against
-a ceiling) travel to the tasks that route queries; entries and records are read by joins.
+a ceiling) travel to the tasks that route queries.  Routing and the candidate pool are written once, as several answers
+come from them.  Of ``leaf_entries`` only the shards of visited leaves are read, and within these, where leaves are few,
+only the row groups that may hold them; of ``records`` only the shards of the candidates left for reranking.
 """
 
 from __future__ import annotations
@@ -15,13 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecgrove.config import IndexConfig, SearchOptions
-from vecgrove.errors import require
+from vecgrove.errors import IndexError_, require
 from vecgrove.functions import distance
 from vecgrove.functions.predicate import Predicate, classify, to_column, validate
 from vecgrove.functions.rabitq import Codes, Query
 from vecgrove.operators.build import CODE_FIELDS, kernel_of
 from vecgrove.plans import treekeys
 from vecgrove.plans.traverse import Topology, traverse
+from vecgrove.sources.scratch import keep
 from vecgrove.sources.store import Snapshot
 
 
@@ -34,13 +37,13 @@ class Outcome:
     visited: DataFrame
     """qid, tree_id, leaf_id, leaf_class."""
     pool: DataFrame
-    """qid, id, rough, lower, upper of the kept candidates, survivor."""
+    """qid, id, its leaf, rough, lower, upper of the kept candidates, survivor."""
 
 
 def leaf_classes(snapshot: Snapshot, config: IndexConfig, predicate: Predicate | None) -> DataFrame:
     """What each leaf's synopsis says of the predicate."""
     kind = F.lit("AllMatch") if predicate is None else classify(predicate, config, F.col("entries"))
-    return snapshot.table("synopses").select("tree_id", "leaf_id", kind.alias("leaf_class"))
+    return snapshot.table("synopses").select("tree_id", "leaf_id", "shard", "entries", kind.alias("leaf_class"))
 
 
 def eligible(entries: DataFrame, config: IndexConfig, predicate: Predicate | None) -> DataFrame:
@@ -50,6 +53,35 @@ def eligible(entries: DataFrame, config: IndexConfig, predicate: Predicate | Non
     return entries.filter((F.col("leaf_class") == "AllMatch") | ((F.col("leaf_class") == "MayMatch") & F.coalesce(to_column(predicate, config), F.lit(False))))
 
 
+FEW_LEAVES = 4096
+
+
+def shards_in(rows: DataFrame) -> list[int]:
+    """The shards that rows lie in: a number per shard_rows of the index at most."""
+    return [r["shard"] for r in rows.select("shard").distinct().collect()]
+
+
+def _in_leaves(snapshot: Snapshot, leaves: DataFrame) -> DataFrame:
+    """The entries of leaves (written rows with tree_id, leaf_id, shard), read from their shards alone."""
+    entries = snapshot.table("leaf_entries", shards_in(leaves)).drop("shard")
+    few = leaves.select("tree_id", "leaf_id").distinct().limit(FEW_LEAVES + 1).collect()
+    if 0 < len(few) <= FEW_LEAVES:  # bounds that Parquet's row groups and pages are skipped by
+        for c in ("tree_id", "leaf_id"):
+            own = sorted({r[c] for r in few})
+            entries = entries.filter(F.col(c).isin(own) if len(own) <= 64 else F.col(c).between(own[0], own[-1]))
+    return entries
+
+
+def _matches(snapshot: Snapshot, config: IndexConfig, classes: DataFrame, predicate: Predicate, trees: DataFrame, working_bytes: int) -> dict[tuple[int, int], int]:
+    """Entries per leaf of the planned trees that pass.  Only leaves whose synopsis leaves it open are read."""
+    own = keep(classes.join(F.broadcast(trees.select("tree_id")), "tree_id").filter("leaf_class <> 'NoMatch'"), "classes")
+    require(own.count() * 32 <= working_bytes, "matches", "LimitExceeded")
+    some = own.filter("leaf_class = 'MayMatch'")
+    passing = eligible(_in_leaves(snapshot, some).join(some, ["tree_id", "leaf_id"]), config, predicate).groupBy("tree_id", "leaf_id").count()
+    counted = own.filter("leaf_class = 'AllMatch'").select("tree_id", "leaf_id", F.col("entries").alias("count")).unionByName(passing)
+    return {(r["tree_id"], r["leaf_id"]): r["count"] for r in counted.collect()}
+
+
 def search(snapshot: Snapshot, config: IndexConfig, queries: DataFrame, predicate: Predicate | None = None, options: SearchOptions = SearchOptions()) -> Outcome:
     predicate = validate(predicate, config) if predicate is not None else None
     kernel = kernel_of(config)
@@ -62,11 +94,7 @@ def search(snapshot: Snapshot, config: IndexConfig, queries: DataFrame, predicat
         topology.build_graphs(kernel, *config.hnsw)
         ef = options.ef
     classes = leaf_classes(snapshot, config, predicate)
-    entries = snapshot.table("leaf_entries")
-    matches = None
-    if predicate is not None and options.routing == "exact":
-        passing = eligible(entries.join(classes, ["tree_id", "leaf_id"]), config, predicate)
-        matches = {(r["tree_id"], r["leaf_id"]): r["count"] for r in passing.groupBy("tree_id", "leaf_id").count().collect()}
+    matches = _matches(snapshot, config, classes, predicate, trees, options.working_bytes) if predicate is not None and options.routing == "exact" else None
     spark = queries.sparkSession
     shared = spark.sparkContext.broadcast((topology, matches, order))
     id_type = queries.schema["qid"].dataType.simpleString()
@@ -79,39 +107,44 @@ def search(snapshot: Snapshot, config: IndexConfig, queries: DataFrame, predicat
             vectors = kernel.prepare(np.stack(pdf["vector"].to_numpy())) if len(pdf) else []
             for qid, q in zip(pdf["qid"], vectors, strict=True):
                 v = traverse(topology, kernel, q, trees, options.leaf_beam, options.partitions, matches, order, ef)
-                rows.append((qid, q.tolist(), [x[0] for x in v.leaves], [x[1] for x in v.leaves], v.partitions, v.exhausted))
-            yield pd.DataFrame(rows, columns=["qid", "prepared", "trees", "leaves", "visited_partitions", "partitions_exhausted"])
-
-    routed = queries.select("qid", "vector").mapInPandas(route, f"qid {id_type}, prepared array<float>, trees array<long>, leaves array<long>, visited_partitions long, partitions_exhausted boolean")
-    pairs = routed.select("qid", "prepared", F.explode(F.arrays_zip("trees", "leaves")).alias("l"))
-    visited = pairs.select("qid", "prepared", F.col("l.trees").alias("tree_id"), F.col("l.leaves").alias("leaf_id")).join(classes, ["tree_id", "leaf_id"])
-    scanned_entries = visited.filter("leaf_class <> 'NoMatch'").join(entries, ["tree_id", "leaf_id"])
-    counted = scanned_entries.groupBy("qid").agg(F.count("*").alias("visited_leaf_entries"))
-    candidates = eligible(scanned_entries, config, predicate).select("qid", "prepared", "id", *CODE_FIELDS)
+                rows.append((qid, q.tolist(), [x[0] for x in v.leaves], [x[1] for x in v.leaves], v.partitions, v.exhausted, v.walks))
+            yield pd.DataFrame(rows, columns=["qid", "prepared", "trees", "leaves", "visited_partitions", "partitions_exhausted", "graph_walks"])
+
+    routed = queries.select("qid", "vector").mapInPandas(route, f"qid {id_type}, prepared array<float>, trees array<long>, leaves array<long>, visited_partitions long, partitions_exhausted boolean, graph_walks long")
+    routed = keep(routed, "routed")
+    pairs = routed.select("qid", F.explode(F.arrays_zip("trees", "leaves")).alias("l"))
+    visited = keep(pairs.select("qid", F.col("l.trees").alias("tree_id"), F.col("l.leaves").alias("leaf_id")).join(classes, ["tree_id", "leaf_id"]), "visited")
+    open_leaves = visited.filter("leaf_class <> 'NoMatch'")
+    counted = open_leaves.groupBy("qid").agg(F.sum("entries").alias("visited_leaf_entries"))
+    scanned_entries = open_leaves.drop("entries").join(_in_leaves(snapshot, open_leaves), ["tree_id", "leaf_id"]).join(routed.select("qid", "prepared"), "qid")
+    candidates = eligible(scanned_entries, config, predicate).select("qid", "prepared", "id", "tree_id", "leaf_id", "shard", *CODE_FIELDS)
     rough = scored(candidates, config, id_type)
-    best = Window.partitionBy("qid").orderBy("rough", "id")
-    kept = rough.withColumn("rough_rank", F.row_number().over(best)).filter(F.col("rough_rank") <= options.pool)
-    bound = Window.partitionBy("qid").orderBy("upper", "id")
-    ranked = kept.withColumn("upper_rank", F.row_number().over(bound))
-    cut = F.max(F.when(F.col("upper_rank") == options.k, F.col("upper"))).over(Window.partitionBy("qid"))
-    pool = ranked.withColumn("cut", cut).withColumn("survivor", F.col("cut").isNull() | (F.col("lower") <= F.col("cut"))).select("qid", "id", "rough", "lower", "upper", "survivor")
-    hits = rerank(pool.filter("survivor"), queries, snapshot.table("records"), config, options.k)
-    passing = rough.groupBy("qid").agg(F.count("*").alias("eligible"))
-    survivors = pool.groupBy("qid").agg(F.sum(F.col("survivor").cast("long")).alias("exact_rerank_candidates"))
-    usage = routed.select("qid", "visited_partitions", "partitions_exhausted").join(counted, "qid", "left").join(passing, "qid", "left").join(survivors, "qid", "left")
+    all_of = Window.partitionBy("qid")
+    best = all_of.orderBy("rough", "id")
+    kept = rough.withColumn("rough_rank", F.row_number().over(best)).withColumn("eligible", F.count("*").over(all_of)).filter(F.col("rough_rank") <= options.pool)
+    ranked = kept.withColumn("upper_rank", F.row_number().over(all_of.orderBy("upper", "id")))
+    cut = F.max(F.when(F.col("upper_rank") == options.k, F.col("upper"))).over(all_of)
+    pool = keep(ranked.withColumn("cut", cut).withColumn("survivor", F.col("cut").isNull() | (F.col("lower") <= F.col("cut"))).select("qid", "id", "tree_id", "leaf_id", "shard", "rough", "lower", "upper", "survivor", "eligible"), "pool")
+    if not pool.groupBy("qid", "id").count().filter("count > 1").isEmpty():
+        raise IndexError_("Corruption", None, "an id in two visited leaves")
+    survivors = pool.filter("survivor")
+    hits = rerank(survivors, queries, snapshot.table("records", shards_in(survivors)), config, options.k)
+    left = pool.groupBy("qid").agg(F.sum(F.col("survivor").cast("long")).alias("exact_rerank_candidates"), F.max("eligible").alias("eligible"))
+    usage = routed.select("qid", "visited_partitions", "partitions_exhausted", "graph_walks").join(counted, "qid", "left").join(left, "qid", "left")
     usage = usage.withColumn("one", F.lit(1)).join(scanned.withColumn("one", F.lit(1)), "one")
     none = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
     report = usage.select(
-        "qid", none("scanned_tree_keys"), none("visited_partitions"), none("visited_leaf_entries"), none("exact_rerank_candidates"),
+        "qid", none("scanned_tree_keys"), none("visited_partitions"), none("visited_leaf_entries"), none("exact_rerank_candidates"), "graph_walks",
         "tree_keys_exhausted", "partitions_exhausted", (F.coalesce("eligible", F.lit(0)) > options.pool).alias("rerank_exhausted"),
     )
-    return Outcome(hits, report, visited.drop("prepared"), pool)
+    return Outcome(hits, report, visited.select("qid", "tree_id", "leaf_id", "leaf_class"), pool.drop("eligible"))
 
 
 def scored(candidates: DataFrame, config: IndexConfig, id_type: str) -> DataFrame:
-    """Rough ranks and their intervals, from (qid, prepared, id, codes)."""
+    """Rough ranks and their intervals, from (qid, prepared, id, its leaf, codes)."""
     metric = config.metric
     key = candidates.schema["id"].dataType.simpleString()
+    place = [c for c in ("tree_id", "leaf_id", "shard") if c in candidates.columns]
 
     def run(batches):
         for pdf in batches:
@@ -121,14 +154,18 @@ def scored(candidates: DataFrame, config: IndexConfig, id_type: str) -> DataFram
                 code = np.frombuffer(b"".join(pdf["code"].iloc[rows]), np.int8).reshape(len(rows), -1)
                 c = Codes(code, pdf["scale"].to_numpy()[rows], pdf["norm_sq"].to_numpy()[rows], pdf["err"].to_numpy()[rows])
                 out[rows] = np.stack(q.rough(c), axis=1)
-            yield pdf[["qid", "id"]].assign(rough=out[:, 0], lower=out[:, 1], upper=out[:, 2])
+            yield pdf[["qid", "id", *place]].assign(rough=out[:, 0], lower=out[:, 1], upper=out[:, 2])
 
-    return candidates.mapInPandas(run, f"qid {id_type}, id {key}, rough double, lower double, upper double")
+    fields = "".join(f", {c} {candidates.schema[c].dataType.simpleString()}" for c in place)
+    return candidates.mapInPandas(run, f"qid {id_type}, id {key}{fields}, rough double, lower double, upper double")
 
 
 def rerank(survivors: DataFrame, queries: DataFrame, records: DataFrame, config: IndexConfig, k: int) -> DataFrame:
-    """Exact distances of candidates; ties in distance go to the smaller id."""
-    joined = survivors.select("qid", "id").join(records.select("id", F.col("vector").alias("x")), "id").join(queries.select("qid", F.col("vector").alias("q")), "qid")
+    """Exact distances of candidates; ties in distance go to the smaller id.  A candidate has to have its record in its leaf."""
+    key = ["id", "tree_id", "leaf_id"]
+    found = survivors.select("qid", *key).join(records.select(*key, F.col("vector").alias("x")), key, "left")
+    found = found.withColumn("x", F.when(F.col("x").isNull(), F.raise_error(F.lit("a leaf entry without its record")).cast("array<float>")).otherwise(F.col("x")))
+    joined = found.join(queries.select("qid", F.col("vector").alias("q")), "qid")
     ranked = joined.select("qid", "id", distance.rank(config.metric, F.col("q"), F.col("x")).alias("rank"))
     return top_k(ranked, k).select("qid", "id", distance.exposed(config.metric, F.col("rank")).alias("distance"), "position")
 
@@ -155,8 +192,8 @@ def exact_knn(records: DataFrame, queries: DataFrame, metric: str, k: int, predi
 def get(snapshot: Snapshot, ids: DataFrame, payload: bool = False) -> DataFrame:
     """Records in the order of ``ids`` (pos, id); a missing record has nulls.  payload_status tells not loaded,
     absent and present apart."""
-    found = ids.select("pos", "id").join(snapshot.table("records").drop("tree_id", "leaf_id"), "id", "left")
+    found = ids.select("pos", "id").join(snapshot.table("records").drop("tree_id", "leaf_id", "shard"), "id", "left")
     if not payload:
         return found.withColumn("payload_status", F.lit("NotLoaded")).orderBy("pos")
-    with_payload = found.join(snapshot.table("payloads"), "id", "left")
+    with_payload = found.join(snapshot.table("payloads"), "id", "left") if snapshot.has("payloads") else found.withColumn("payload", F.lit(None).cast("binary"))
     return with_payload.withColumn("payload_status", F.when(F.col("payload").isNull(), "Absent").otherwise("Present")).orderBy("pos")

@@ -54,6 +54,8 @@ class Visits:
     partitions: int = 0
     exhausted: bool = False
     distances: int = 0
+    walks: int = 0
+    """Partitions whose children a graph found."""
 
 
 def traverse(topology: Topology, kernel: Kernel, query: np.ndarray, trees: list[int], beam: int, budget: int, matches: dict[tuple[int, int], int] | None = None, trees_order: dict[int, int] | None = None, ef: int = 0) -> Visits:
@@ -69,6 +71,7 @@ def traverse(topology: Topology, kernel: Kernel, query: np.ndarray, trees: list[
         parts, centroid, dispersion, level = found
         graph = topology.graphs.get((tree, part)) if ef else None
         if graph is not None and beam_width(beam, level) < len(parts):
+            out.walks += 1
             near = graph.search(query, beam_width(beam, level), ef)
             rows = np.array([i for _, i in near])
             score, parts, dispersion = np.array([d for d, _ in near]), parts[rows], dispersion[rows]

@@ -1,14 +1,26 @@
-"""Where intermediate indexes of queries and benchmarks live: the cluster's shared folder, if it names one."""
+"""Where intermediate tables and the indexes of queries and benchmarks live: the cluster's shared folder."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession, kind: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared or "file://" + tempfile.mkdtemp(prefix="vecgrove-")
+    """A new folder's name.  Only a local session without ``spark.checkpoint.dir`` gets a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="vecgrove-")
+        spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def keep(df: DataFrame, kind: str = "kept") -> DataFrame:
+    """Writes a frame that several plans read, so that it is computed once; a lost executor costs no more than a read."""
+    path = folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
