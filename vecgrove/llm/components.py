@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each task first turns what it reads, a bounded number of edges at a time, into stars.  Then every node is linked to the
-least node it knows of; the rounds needed grow with the logarithm of the component size.  Each round is written to the shared folder, so lineage stays short and a lost executor costs one round.  Joins
+Each task first turns what it reads, a bounded number of edges at a time, into stars.  As soon as what is left is no more
+than a task may hold (``EDGES``), one task finishes it.  Before that, every node is linked to the least node it
+knows of; the rounds needed grow with the logarithm of the component size.  Each round is written to the shared folder, so lineage stays short and a lost executor costs one round.  Joins
 on a node that holds many edges (the centre of a star) don't meet in one task (``spread_join``).
 """
 
@@ -68,15 +69,18 @@ def _small_star(edges: DataFrame, n: int) -> DataFrame:
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a > b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, most: int = EDGES) -> DataFrame:
     """(node, root) for each node of ``edges`` (columns a, b; undirected) but the roots themselves."""
     now = materialise(edges.filter("a <> b").mapInArrow(_stars, "a long, b long").distinct(), "edges")
     state = _state(now)
-    while True:
+    while state[0] > most:
         now = materialise(_small_star(materialise(_large_star(now, state[0]), "edges"), state[0]), "edges")
         before, state = state, _state(now)
         if before == state:
-            return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
+            break
+    else:
+        now = materialise(now.coalesce(1).mapInArrow(_stars, "a long, b long"), "edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def _state(edges: DataFrame) -> tuple:

@@ -4,13 +4,14 @@ A text is the set of its runs of ``width`` words (ASCII white space apart, A-Z i
 run).  Equal sets are one node.  A node's fingerprint has ``words`` words of 64 bits, each bit set where over half of the
 set's hashes have it: bits of two sets of similarity s differ with probability arccos(2s / (1 + s)) / pi, 0.15 at 0.8.  A
 pair is a candidate if it is within ``reach`` in one of the 15 groups of 21 or 22 bits, each of which has a vantage-point
-tree, and within ``distance`` in the group's word and the next.  By that formula a pair of similarity 0.8 is a candidate
+tree, and within ``distance`` in all bits.  By that formula a pair of similarity 0.8 is a candidate
 with probability 0.998.  Candidates count only if the similarity of their whole sets, as sorted 64-bit hashes, is at least
 ``similarity``.
 
-Each member of a leaf's cluster is first held against the least node of it, so a large group of copies needs one pair a
-member.  Where members of a cluster are left in different components after that, all candidates across components are
-held against each other: none is left out, and only groups that are near without being similar cost more than a pair each.
+Candidates make clusters, as connected components.  The sets of a cluster come together in blocks of about
+``block_bytes``: every two blocks of a cluster meet in one task, so that all candidates of it are tested, nearest first, and
+those that are connected already need no test.  A task yields the links that connect what it holds, never all pairs; a
+cluster within one block, however many copies it stands for, is read once.
 
 Defined results: rows are told apart by id and text, not by id alone.  Of each component the row of least id stays
 (nulls last, then by a hash of id and text); of rows equal in id and text one stays; null and empty texts are copies
@@ -37,9 +38,11 @@ from vecgrove.llm.components import components
 class Settings:
     width: int = 5
     similarity: float = 0.8
-    prints: simhash_vptree.Settings = field(default_factory=lambda: simhash_vptree.Settings(words=5, reach=2, checked=2, distance=34, leaf=16384))
-    members: int = 256
-    """Members of a cluster that are held against its centre in one task."""
+    prints: simhash_vptree.Settings = field(default_factory=lambda: simhash_vptree.Settings(words=5, reach=2, checked=5, distance=68, leaf=1 << 17))
+    block_bytes: int = 8 << 20
+    """Bytes of sets in a block of a cluster."""
+    block_nodes: int = 4096
+    """Sets in a block at most."""
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -112,30 +115,81 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame, settin
     return own.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs (a, b) whose sets' Jaccard similarity is at least ``similarity``.
-
-    A node b of many pairs is a centre: it is copied once per ``members`` of them, so that no task has them all.
-    """
-    sizes = materialise(pairs.groupBy("b").agg(F.ceil(F.count("*") / settings.members).cast("int").alias("parts")), "centres")
-    dealt = spread_join(pairs, sizes, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")).drop("parts")
-    left = dealt.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-    centres = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")).join(sizes, "b").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    both = left.join(centres, ["b", "part"]).select("a", "b", "x", "y")
+class Block:
+    """Nodes of two blocks of a cluster with their fingerprints and sets."""
+
+    def __init__(self, node: np.ndarray, side: np.ndarray, words: np.ndarray, sets: list[np.ndarray], settings: Settings):
+        self.node, self.side, self.words, self.sets, self.settings = node, side, words, sets, settings
+        self.size = np.array([len(x) for x in sets])
+
+    def similar(self, i: int, j: int) -> bool:
+        x, y = self.sets[i], self.sets[j]
+        same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+        return same >= self.settings.similarity * (len(x) + len(y) - same)
+
+    def links(self) -> pa.RecordBatch:
+        """Pairs of similar nodes whose components are those of all similar candidates; within a side only if there's one."""
+        n, limit = len(self.node), self.settings.prints.distance
+        found: list[np.ndarray] = []
+        for i in range(n):
+            other = np.flatnonzero(self.side[i + 1 :] != self.side[i] if self.side[-1] else np.ones(n - i - 1, bool)) + i + 1
+            least, most = np.minimum(self.size[other], self.size[i]), np.maximum(self.size[other], self.size[i])
+            other = other[least >= self.settings.similarity * most]
+            far = np.bitwise_count(self.words[other] ^ self.words[i]).sum(axis=1)
+            near = np.flatnonzero(far <= limit)
+            found.append(np.stack([far[near], np.full(len(near), i), other[near]]))
+        pairs = np.concatenate(found, axis=1)
+        parent = list(range(n))
+
+        def root(k: int) -> int:
+            while parent[k] != k:
+                parent[k] = parent[parent[k]]
+                k = parent[k]
+            return k
+
+        kept = []
+        for k in np.argsort(pairs[0], kind="stable").tolist():
+            i, j = int(pairs[1, k]), int(pairs[2, k])
+            x, y = root(i), root(j)
+            if x != y and self.similar(i, j):
+                parent[max(x, y)] = min(x, y)
+                kept.append((i, j))
+        at = np.array(kept, np.int64).reshape(-1, 2)
+        return pa.RecordBatch.from_arrays([pa.array(self.node[at[:, 0]]), pa.array(self.node[at[:, 1]])], ["a", "b"])
+
+
+def verified(members: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between similar members (cluster, node, shingles, words) of each cluster."""
+    words = [f"w{k}" for k in range(settings.prints.words)]
+    size = F.octet_length("shingles").cast("long")
+    sizes = materialise(members.groupBy("cluster").agg(F.greatest(F.ceil(F.sum(size) / settings.block_bytes), F.ceil(F.count("*") / settings.block_nodes)).cast("int").alias("blocks")), "blocks")
+    own = spread_join(members, sizes, "cluster").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("cluster", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "node", "shingles", *words)
+    met = met.select(F.xxhash64("cluster", "low", "high").alias("key"), (F.col("own") != F.col("low")).alias("side"), "node", "shingles", *words)
+    ready = met.repartition("key").sortWithinPartitions("key", "side", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def settle() -> pa.RecordBatch:
+            node, side = (np.concatenate([h[c] for h in held]) for c in ("node", "side"))
+            print_ = np.concatenate([np.stack([h[w] for w in words], axis=1) for h in held]).view(np.uint64)
+            return Block(node, side, print_, [np.frombuffer(x.as_buffer(), np.uint64) for h in held for x in h["shingles"]], settings).links()
+
         for batch in batches:
-            good = np.zeros(batch.num_rows, bool)
-            for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if min(len(x), len(y)) < settings.similarity * max(len(x), len(y)):
-                    continue
-                near = np.searchsorted(y, x)
-                same = int((y[np.minimum(near, len(y) - 1)] == x).sum())
-                good[i] = same >= settings.similarity * (len(x) + len(y) - same)
-            yield batch.select(["a", "b"]).filter(pa.array(good))
+            columns = {c: batch.column(c) if c == "shingles" else batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+            at, length = spans.runs(columns["key"])
+            for a, n in zip(at.tolist(), length.tolist(), strict=True):
+                if columns["key"][a] != key:
+                    if held:
+                        yield settle()
+                    key, held = columns["key"][a], []
+                held.append({c: v.slice(a, n) if c == "shingles" else v[a : a + n] for c, v in columns.items()})
+        if held:
+            yield settle()
 
-    return both.mapInArrow(run, "a long, b long")
+    return ready.mapInArrow(run, "a long, b long")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
@@ -143,24 +197,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     signed = materialise(_signed(docs, id_col, text_col, settings), "signed")
     words = [f"w{k}" for k in range(settings.prints.words)]
     nodes = materialise(signed.groupBy("node").agg(F.min("key").alias("key"), *[F.first(w).alias(w) for w in words]), "nodes")
-    stars = simhash_vptree.links(nodes.select("node", *words), settings.prints).filter("a <> b")
-    stars = materialise(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    clusters = components(stars)
-    ends = stars.select(F.col("a").alias("node")).union(stars.select("b")).distinct()
-    sets = materialise(_sets(docs, id_col, text_col, nodes.join(ends, "node").select("key", "node"), settings), "sets")
-    edges = materialise(verified(stars, sets, settings), "similar")
-    roots = components(edges)
-    # Clusters of which not all have come together.
-    of = ends.join(clusters.select("node", F.col("root").alias("cluster")), "node", "left").join(roots, "node", "left")
-    of = materialise(of.select("node", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("root", "node").alias("root")), "clusters")
-    mixed = materialise(of.groupBy("cluster").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").select("cluster"), "mixed")
-    apart = materialise(nodes.join(spread_join(of, mixed, "cluster").select("node", "root"), "node").select("node", "root", *words), "apart")
-    if not apart.isEmpty():
-        across = simhash_vptree.links(apart, settings.prints, cross=True)
-        across = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-        more = materialise(verified(materialise(across, "across"), sets, settings), "similar")
-        if not more.isEmpty():
-            roots = components(edges.unionByName(more))
+    clusters = components(simhash_vptree.links(nodes.select("node", *words), settings.prints))
+    ends = materialise(clusters.select("node", F.col("root").alias("cluster")).union(clusters.select(F.col("root").alias("node"), "root").distinct()), "ends")
+    wanted = nodes.join(ends, "node")
+    sets = materialise(_sets(docs, id_col, text_col, wanted.select("key", "node"), settings).join(wanted.drop("key"), "node"), "sets")
+    roots = components(verified(sets, settings))
     whole = materialise(nodes.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "roots")
     return spread_join(signed.select("key", "id", "node"), whole, "node").select("key", "id", "root")
 

@@ -228,12 +228,11 @@ def _columns(settings: Settings) -> list[str]:
 
 
 def _layout(settings: Settings) -> str:
-    return f"node long, root long, {', '.join(f'{c} long' for c in _columns(settings))}, tree int, leaf long, home boolean"
+    return f"node long, {', '.join(f'{c} long' for c in _columns(settings))}, tree int, leaf long, home boolean"
 
 
-def _link_block(batches: Iterator[pa.RecordBatch], settings: Settings, cross: bool) -> Iterator[pa.RecordBatch]:
-    """Rows come sorted by shard, homes first.  Yields stars that connect all that is linked within a shard or, with
-    ``cross``, each near pair of different roots."""
+def _link_block(batches: Iterator[pa.RecordBatch], settings: Settings) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by shard, homes first.  Yields stars that connect all that is linked within a shard."""
     kinds = settings.kinds
     shard, label, gathered = None, None, []
     homes: dict[str, np.ndarray] = {}
@@ -241,22 +240,14 @@ def _link_block(batches: Iterator[pa.RecordBatch], settings: Settings, cross: bo
     def words_of(part: dict[str, np.ndarray]) -> list[np.ndarray]:
         return [part[c] for c in _columns(settings)]
 
-    def pairs(a: dict, b: dict, x: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
-        differ = a["root"][x] != b["root"][y]
-        return _edges(a["node"][x[differ]], b["node"][y[differ]])
-
-    def settle() -> Iterator[pa.RecordBatch]:
+    def settle() -> pa.RecordBatch:
         nonlocal homes, label
         homes = {c: np.concatenate([g[c] for g in gathered]) for c in gathered[0]}
         label, own = np.arange(len(homes["node"])), words_of(homes)
         for x, y in _near(own, own, kinds[int(homes["tree"][0])][1], settings):
-            if cross:
-                yield pairs(homes, homes, x[x < y], y[x < y])
-            else:
-                label = _merge(label, x, y)
-        if not cross:
-            linked = np.flatnonzero(label != np.arange(len(label)))
-            yield _edges(homes["node"][linked], homes["node"][label[linked]])
+            label = _merge(label, x, y)
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return _edges(homes["node"][linked], homes["node"][label[linked]])
 
     for batch in batches:
         rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
@@ -267,7 +258,7 @@ def _link_block(batches: Iterator[pa.RecordBatch], settings: Settings, cross: bo
         for s, stop in zip(at.tolist(), np.append(at[1:], len(new)).tolist(), strict=True):
             if rows["shard"][s] != shard:
                 if label is None and gathered:
-                    yield from settle()
+                    yield settle()
                 shard, gathered, label = rows["shard"][s], [], None
             part = {c: v[s:stop] for c, v in rows.items()}
             if part["home"][0]:
@@ -276,15 +267,12 @@ def _link_block(batches: Iterator[pa.RecordBatch], settings: Settings, cross: bo
             if not gathered:
                 continue  # nobody lives here
             if label is None:
-                yield from settle()
+                yield settle()
             for x, y in _near(words_of(part), words_of(homes), kinds[int(part["tree"][0])][1], settings):
-                if cross:
-                    yield pairs(part, homes, x, y)
-                else:
-                    pair = np.unique(np.stack([x, label[y]]), axis=1)
-                    yield _edges(part["node"][pair[0]], homes["node"][pair[1]])
+                pair = np.unique(np.stack([x, label[y]]), axis=1)
+                yield _edges(part["node"][pair[0]], homes["node"][pair[1]])
     if label is None and gathered:
-        yield from settle()
+        yield settle()
 
 
 def _edges(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -299,7 +287,7 @@ def _placed(prints: DataFrame, settings: Settings) -> DataFrame:
     depth = max(0, int(np.ceil(np.log2(max(1, n / settings.leaf)))))
     depth = min(depth, max(0, int(np.log2(max(1, len(points) / 8)))))
     trees = [(w, Tree.fit(np.sort(points[:, w]), depth, m)) for w, m in settings.kinds]
-    names = ["node", "root", *_columns(settings), "tree", "leaf", "home"]
+    names = ["node", *_columns(settings), "tree", "leaf", "home"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -308,10 +296,10 @@ def _placed(prints: DataFrame, settings: Settings) -> DataFrame:
                 value = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
                 for k, (w, tree) in enumerate(trees):
                     row, leaf, home = tree.visits(value[f"w{w}"].view(np.uint64), settings.near)
-                    own = [value[c][row] for c in ("node", "root", *[f"w{(w + j) % settings.words}" for j in range(settings.checked)])]
+                    own = [value[c][row] for c in ("node", *[f"w{(w + j) % settings.words}" for j in range(settings.checked)])]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, np.full(len(row), k, np.int32), leaf + k * 2**depth, home)], names)
 
-    return prints.select("node", "root", *words).mapInArrow(place, _layout(settings))
+    return prints.select("node", *words).mapInArrow(place, _layout(settings))
 
 
 def _refitted(placed: DataFrame, large: DataFrame, settings: Settings) -> DataFrame:
@@ -332,7 +320,7 @@ def _refitted(placed: DataFrame, large: DataFrame, settings: Settings) -> DataFr
         return pa.table({"leaf": batch.column("leaf")[:1], "depth": pa.array([depth], pa.int32()), "point": pa.array([tree.point.tobytes()]), "radius": pa.array([tree.radius.tobytes()])})
 
     trees = materialise(chosen.select("leaf", "tree", "n", *columns).groupBy("leaf").applyInArrow(fit, "leaf long, depth int, point binary, radius binary"), "subtrees")
-    names = ["node", "root", *columns, "tree"]
+    names = ["node", *columns, "tree"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: tuple[int, Tree] | None = None
@@ -360,11 +348,10 @@ def _refitted(placed: DataFrame, large: DataFrame, settings: Settings) -> DataFr
     return moved.select(*placed.columns).unionByName(alone)
 
 
-def links(prints: DataFrame, settings: Settings = Settings(), cross: bool = False) -> DataFrame:
-    """Edges (a, b) between nodes of ``prints`` (node and words w0, w1, ..., written; root, with ``cross``): stars whose components
-    are those of all near pairs or, with ``cross``, all near pairs of different roots."""
-    ready = prints if "root" in prints.columns else prints.withColumn("root", F.lit(0).cast("long"))
-    placed, done = _placed(ready, settings), None
+def links(prints: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Edges (a, b) between nodes of ``prints`` (node and words w0, w1, ..., written): stars whose components are those of all
+    near pairs."""
+    placed, done = _placed(prints, settings), None
     known = 0
     while True:
         sizes = materialise(placed.filter("home").groupBy("leaf").agg(F.count("*").alias("n")), "sizes")
@@ -382,9 +369,9 @@ def links(prints: DataFrame, settings: Settings = Settings(), cross: bool = Fals
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     sized = done.withColumn("blocks", blocks)
     spread = sized.withColumn("own", F.when(F.col("home"), own).otherwise(F.col("blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0), F.least("own", F.col("blocks") - 1))))
-    sharded = spread.select("node", "root", *_columns(settings), "tree", F.xxhash64("leaf", "block").alias("shard"), (F.col("home") & (F.col("block") == F.col("own"))).alias("home"))
+    sharded = spread.select("node", *_columns(settings), "tree", F.xxhash64("leaf", "block").alias("shard"), (F.col("home") & (F.col("block") == F.col("own"))).alias("home"))
     ready = sharded.repartition("shard").sortWithinPartitions("shard", F.desc("home"))
-    return ready.mapInArrow(lambda batches: _link_block(batches, settings, cross), "a long, b long")
+    return ready.mapInArrow(lambda batches: _link_block(batches, settings), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", settings: Settings = Settings()) -> DataFrame:
