@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vecgrove.config import IndexConfig, RefineOptions, SearchOptions, VerifyOptions
+from vecgrove.control import Control
 from vecgrove.functions.predicate import Predicate
 from vecgrove.operators import build, maintain, mutate, refine, search, verify
 from vecgrove.sources.scratch import keep
@@ -33,9 +36,25 @@ class Runtime:
         self.store.drop(name)
 
 
+def _controlled(operation):
+    """Under the index's control, if it has one: jobs end at the deadline or when cancelled."""
+
+    @functools.wraps(operation)
+    def run(self: Index, *args, **named):
+        if self.control is None:
+            return operation(self, *args, **named)
+        return self.control.run(lambda: operation(self, *args, **named))
+
+    return run
+
+
 class Index:
-    def __init__(self, runtime: Runtime, name: str, config: IndexConfig):
-        self.runtime, self.name, self.config = runtime, name, config
+    def __init__(self, runtime: Runtime, name: str, config: IndexConfig, control: Control | None = None):
+        self.runtime, self.name, self.config, self.control = runtime, name, config, control
+
+    def under(self, control: Control) -> Index:
+        """The same index, whose operations obey ``control``."""
+        return Index(self.runtime, self.name, self.config, control)
 
     def __repr__(self) -> str:
         return f"Index(dimension={self.config.dimension}, metric={self.config.metric})"
@@ -43,6 +62,7 @@ class Index:
     def snapshot(self) -> Snapshot:
         return self.runtime.store.snapshot(self.name)
 
+    @_controlled
     def search(self, queries: DataFrame, predicate: Predicate | None = None, options: SearchOptions = SearchOptions()) -> search.Outcome:
         return search.search(self.snapshot(), self.config, queries, predicate, options)
 
@@ -53,6 +73,7 @@ class Index:
     def get(self, ids: DataFrame, payload: bool = False) -> DataFrame:
         return search.get(self.snapshot(), ids, payload)
 
+    @_controlled
     def batch_mutate(self, batch: DataFrame) -> DataFrame:
         """Applies all or nothing; pos, id and outcome of each, as they were in the commit that counts."""
         said: list[DataFrame] = []
@@ -82,6 +103,7 @@ class Index:
     def delete(self, id) -> bool:
         return self._single("delete", {"id": id}) == "Deleted"
 
+    @_controlled
     def maintain(self, waves: int = 64) -> int:
         """Splits and merges on every level until nothing is actionable; returns the waves run."""
         for wave in range(waves):
@@ -99,9 +121,11 @@ class Index:
         """Forgets old versions and what only they hold."""
         return self.runtime.store.expire(self.name, keep)
 
+    @_controlled
     def refine(self, options: RefineOptions = RefineOptions()) -> None:
         self.runtime.store.commit(self.name, lambda old: refine.refine(old, self.config, options))
 
+    @_controlled
     def verify(self, options: VerifyOptions = VerifyOptions()) -> dict:
         return verify.report(self.snapshot(), self.config, options)
 

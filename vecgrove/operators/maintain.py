@@ -166,7 +166,7 @@ def merge_targets(partitions: DataFrame, config: IndexConfig) -> DataFrame:
     return ranked.groupBy("tree_id", "level", "source").agg(F.min(F.struct("d", "target")).alias("best")).select("tree_id", "level", "source", F.col("best.target").alias("target"))
 
 
-def _nearest(rows: DataFrame, targets: DataFrame, config: IndexConfig, prepared: bool, ceiling: int = 256 << 20) -> DataFrame:
+def nearest(rows: DataFrame, targets: DataFrame, config: IndexConfig, prepared: bool, ceiling: int = 256 << 20) -> DataFrame:
     """tree_id, id and new_part, the nearest of ``targets`` (tree_id, part_id, centroid; checked against ``ceiling``) in the tree."""
     require(targets.count() * (4 * config.dimension + 64) <= ceiling, "merge targets", "LimitExceeded")
     kernel, of = kernel_of(config), {}
@@ -206,7 +206,7 @@ def merge_leaves(snapshot: Snapshot, config: IndexConfig) -> dict[str, DataFrame
     sources, stay = _scanty(partitions, config, 1)
     from_shards = shards_in(leaves.join(sources, ["tree_id", "part_id"], "left_semi"))
     rows = snapshot.table("records", from_shards).withColumnRenamed("leaf_id", "part_id").join(sources, ["tree_id", "part_id"], "left_semi")
-    moved = keep(_nearest(rows, stay, config, False).withColumnRenamed("new_part", "new_leaf"), "moves")
+    moved = keep(nearest(rows, stay, config, False).withColumnRenamed("new_part", "new_leaf"), "moves")
     places = leaves.join(moved.select("tree_id", F.col("new_leaf").alias("part_id")).distinct(), ["tree_id", "part_id"]).select("tree_id", F.col("part_id").alias("new_leaf"), F.col("shard").alias("new_shard"))
     places = keep(places, "places")
     shards = sorted({*from_shards, *(r["new_shard"] for r in places.select("new_shard").distinct().collect())})
@@ -222,7 +222,7 @@ def merge_inner(snapshot: Snapshot, config: IndexConfig) -> dict[str, DataFrame]
     level = actionable(partitions, config).filter("action = 'merge' and level > 1").agg(F.min("level")).first()[0]
     sources, stay = _scanty(partitions, config, level)
     children = partitions.join(sources.withColumnRenamed("part_id", "parent_id"), ["tree_id", "parent_id"], "left_semi").select("tree_id", F.col("part_id").alias("id"), F.col("centroid").alias("vector"))
-    to = _nearest(children, stay, config, True).withColumnRenamed("id", "part_id")
+    to = nearest(children, stay, config, True).withColumnRenamed("id", "part_id")
     left = partitions.join(sources, ["tree_id", "part_id"], "left_anti").join(to, ["tree_id", "part_id"], "left")
     return {"partitions": recounted(left.withColumn("parent_id", F.coalesce("new_part", "parent_id")).select(*partitions.columns))}
 

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vecgrove.config import IndexConfig, VerifyOptions
-from vecgrove.operators.build import synopses
+from vecgrove.functions.rabitq import encode
+from vecgrove.operators.build import CODE_FIELDS, kernel_of, synopses
 from vecgrove.operators.maintain import action
 from vecgrove.sources.store import Snapshot
 
@@ -38,6 +40,32 @@ def projection(records: DataFrame, entries: DataFrame, config: IndexConfig) -> D
     return _issue(both.filter(~same), "RecordProjectionMismatch", F.col("a.id"))
 
 
+def codes(records: DataFrame, entries: DataFrame, config: IndexConfig) -> DataFrame:
+    """Entries whose code isn't that of their record's vector.
+
+    A component may be off by one step, as matrix products differ in the last bit between machines and batches.
+    """
+    kernel, key = kernel_of(config), ["id", "tree_id", "leaf_id"]
+    both = records.select(*key, "vector").join(entries.select(*key, *CODE_FIELDS), key)
+    id_type = records.schema["id"].dataType.simpleString()
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            now = encode(kernel.prepare(np.stack(pdf["vector"].to_numpy())))
+            whole = pdf["code"].map(len).to_numpy() == now.code.shape[1]
+            stored = np.zeros_like(now.code)
+            stored[whole] = np.frombuffer(b"".join(pdf["code"][whole]), np.int8).reshape(-1, now.code.shape[1])
+            good = whole & (np.abs(stored.astype(int) - now.code.astype(int)) <= 1).all(axis=1)
+            for c, bound in (("scale", 1e-3), ("err", 1e-2)):
+                good &= np.isclose(pdf[c].to_numpy(float), getattr(now, c).astype(float), rtol=bound, atol=1e-5)
+            good &= np.abs(pdf["norm_sq"].to_numpy(float) - now.norm_sq.astype(float)) <= 1 + 2 * np.abs(now.code.astype(float)).sum(axis=1) * (stored != now.code).any(axis=1)
+            yield pdf.loc[~good, ["id"]]
+
+    return _issue(both.mapInPandas(run, f"id {id_type}"), "RecordProjectionMismatch", F.col("id"))
+
+
 def counts(partitions: DataFrame, entries: DataFrame) -> DataFrame:
     """Leaves and internal partitions whose count isn't that of their entries or children."""
     leaf = entries.groupBy("tree_id", F.col("leaf_id").alias("part_id")).agg(F.count("*").alias("n"))
@@ -85,21 +113,21 @@ def narrow_synopses(stored: DataFrame, entries: DataFrame, config: IndexConfig)
     return _issue(joined.filter(F.coalesce(bad, F.lit(False))), "SynopsisNotConservative", F.concat_ws("/", "tree_id", "leaf_id"))
 
 
-def issues(snapshot: Snapshot, config: IndexConfig, with_payloads: bool = False) -> DataFrame:
+def issues(snapshot: Snapshot, config: IndexConfig) -> DataFrame:
     t = snapshot.table
     records, entries, partitions, trees = t("records"), t("leaf_entries"), t("partitions"), t("trees")
     parts = [
-        membership(records, entries), projection(records, entries, config), counts(partitions, entries), reachability(trees, partitions, entries),
+        membership(records, entries), projection(records, entries, config), codes(records, entries, config), counts(partitions, entries), reachability(trees, partitions, entries),
         edges(partitions), allocators(trees, partitions), narrow_synopses(t("synopses"), entries, config),
     ]
-    if with_payloads:
+    if snapshot.has("payloads"):
         parts.append(payload_membership(records, t("payloads")))
     return reduce(DataFrame.unionByName, parts)
 
 
-def report(snapshot: Snapshot, config: IndexConfig, options: VerifyOptions = VerifyOptions(), with_payloads: bool = False) -> dict:
+def report(snapshot: Snapshot, config: IndexConfig, options: VerifyOptions = VerifyOptions()) -> dict:
     """At most ``issues`` issues in order, whether that is all of them, and the topology."""
-    found = issues(snapshot, config, with_payloads).orderBy("kind", "subject").limit(options.issues + 1).collect()
+    found = issues(snapshot, config).orderBy("kind", "subject").limit(options.issues + 1).collect()
     objects = snapshot.table("records").count() + snapshot.table("partitions").count()
     complete = len(found) <= options.issues and objects <= options.objects
     return {"complete": complete, "issues": [(r["kind"], r["subject"]) for r in found[: options.issues]], "topology": topology(snapshot.table("partitions"), config)}

@@ -392,11 +392,11 @@ def _(spark, d):
 _MEAN_SQL = "e AS (SELECT id, label, unnest(v) AS c, generate_subscripts(v, 1) AS pos FROM r), m AS (SELECT label, pos, sum(c::decimal(20, 12)) / count(*) AS m, count(*) AS n FROM e GROUP BY label, pos)"
 
 
-@add("leaf_centroids", f"WITH {R}, {_MEAN_SQL} SELECT label, pos::bigint AS pos, round(m::double, 6) AS mean, n FROM m")
+@add("leaf_centroids", f"WITH {R}, {_MEAN_SQL} SELECT label, pos::bigint AS pos, round(m::double, 3) + 0.0::double AS mean, n FROM m")
 def _(spark, d):
-    e = records(spark, d).select("label", F.posexplode("vector").alias("pos", "c"))
-    g = e.groupBy("label", "pos").agg((F.sum(F.col("c").cast("decimal(20,12)")).cast("double") / F.count("*")).alias("m"), F.count("*").alias("n"))
-    return g.select("label", (F.col("pos") + 1).cast("long").alias("pos"), F.round("m", 6).alias("mean"), "n")
+    rows = records(spark, d).select(F.lit(0).cast("long").alias("tree_id"), F.col("label").alias("leaf_id"), "id", "vector")
+    made = refine._centres(rows, config_of()).select("leaf_id", "entry_count", F.posexplode("centroid").alias("pos", "m"))
+    return made.select(F.col("leaf_id").alias("label"), (F.col("pos") + 1).cast("long").alias("pos"), (F.round(F.col("m").cast("double"), 3) + 0.0).alias("mean"), F.col("entry_count").alias("n"))
 
 
 @add(
@@ -431,9 +431,9 @@ _SEEDS_SQL = f"WITH {R}, f AS (SELECT label, arg_min(v, id) AS c FROM r GROUP BY
 )
 def _(spark, d):
     rows, leaves = seeds(spark, d)
-    tried = rows.select("id", "vector").join(F.broadcast(leaves.select("leaf_id", "centroid")))
-    best = tried.groupBy("id").agg(F.min(F.struct(distance.squared_l2(F.col("vector"), F.col("centroid")).alias("d"), "leaf_id")).alias("best"))
-    return best.select("id", F.col("best.leaf_id").alias("leaf_id"))
+    targets = leaves.select(F.lit(0).cast("long").alias("tree_id"), F.col("leaf_id").alias("part_id"), "centroid")
+    found = maintain.nearest(rows.select(F.lit(0).cast("long").alias("tree_id"), "id", "vector"), targets, config_of(), True)
+    return found.select("id", F.col("new_part").alias("leaf_id"))
 
 
 _PROPOSE_SQL = (
@@ -460,26 +460,6 @@ def _(spark, d):
     return refine.proposals(rows, leaves, "l2", 3).select("id", "leaf_id", "target", "gain")
 
 
-@add(
-    "balanced_split_round",
-    f"WITH {R}, a AS (SELECT v AS a FROM r WHERE id = 0), b AS (SELECT v AS b FROM r WHERE id = 1), t AS (SELECT id, row_number() OVER (ORDER BY {sql_l2('v', 'a')} - {sql_l2('v', 'b')}, id) AS r, count(*) OVER () AS n FROM r, a, b WHERE label < 4) SELECT id, r <= n // 2 AS is_left FROM t",
-)
-def _(spark, d):
-    r = records(spark, d)
-    a, b = (r.filter(F.col("id") == i).select(F.col("vector").alias(n)) for i, n in ((0, "a"), (1, "b")))
-    return maintain.split_round(r.filter("label < 4").join(F.broadcast(a)).join(F.broadcast(b)), F.col("a"), F.col("b"))
-
-
-@add("group_cut", f"WITH {R}, t AS (SELECT id, row_number() OVER (ORDER BY label, id) AS r FROM r) SELECT id, (CASE WHEN r <= 100 THEN 0 WHEN r <= 250 THEN 1 WHEN r <= 300 THEN 2 ELSE 3 END)::bigint AS part FROM t")
-def _(spark, d):
-    return maintain.group_cut(records(spark, d).select("id", "label"), [100, 150, 50, 1 << 40])
-
-
-@add("sample_smallest_hash", "SELECT vec_id AS id, (vec_id * 2654435761) % 4294967296 AS hash FROM embeddings ORDER BY hash, id LIMIT 64")
-def _(spark, d):
-    return maintain.smallest_hash_sample(records(spark, d).select("id"), 64)
-
-
 _ACTION_SQL = f"WITH {R}, p AS (SELECT label, lang, count(*) AS n FROM r GROUP BY label, lang)"
 
 
@@ -543,10 +523,18 @@ def _(spark, d):
     return index(spark, d).search(stated(records(spark, d)), None, SearchOptions(k=10, leaf_beam=1)).hits
 
 
-@add("ann_search_graph_routing", sql_knn("cosine", 10))
+@add("ann_search_graph_routing", "SELECT count(*) AS queries, TRUE AS walked, TRUE AS recall_reached FROM embeddings WHERE vec_id % 100 = 0")
 def _(spark, d):
-    """Routing by local graphs with a beam over all leaves, which is exhaustive."""
-    return index(spark, d, "cosine").search(stated(records(spark, d)), None, SearchOptions(k=10, leaf_beam=16384, partitions=16384, routing="hnsw")).hits
+    """One tree of small leaves under a root with over 64 children, which a graph routes among; a beam of a quarter of the leaves."""
+    key = (spark.sparkContext.applicationId, d, "graph")
+    if key not in _built:
+        config = config_of("cosine", ()).with_(leaf_min=2, leaf_max=4, internal_min=2, internal_max=16384)
+        _built[key] = Runtime(spark, folder(spark, "index")).create_index("fixture", config, records(spark, d))
+    leaves = _built[key].snapshot().table("partitions").filter("level = 1").count()
+    out = _built[key].search(stated(records(spark, d)), None, SearchOptions(k=10, leaf_beam=leaves // 4, partitions=16384, routing="hnsw", ef=leaves // 2))
+    found = recall.summary(recall.per_query(search.exact_knn(records(spark, d), stated(records(spark, d)), "cosine", 10), out.hits))
+    walked = out.usage.agg((F.min("graph_walks") > 0).alias("walked"))
+    return found.join(walked).select("queries", "walked", (F.col("mean_recall") >= 0.9).alias("recall_reached"))
 
 
 @add("ann_usage_report")
@@ -575,19 +563,35 @@ def _(spark, d):
     return recall.coverage(search.exact_knn(r, stated(r), "l2", 10), i.snapshot().table("leaf_entries"), out.visited, out.pool)
 
 
-@add("topology_by_level", f"WITH {R} SELECT count(*) AS entries FROM r")
+_PER_TREE = f"WITH {R} SELECT label, count(*) AS records FROM r GROUP BY label"
+
+
+def per_tree(partitions: DataFrame, trees: DataFrame) -> DataFrame:
+    """Entries of all leaves of each tree, by its key."""
+    held = partitions.filter("level = 1").groupBy("tree_id").agg(F.sum("entry_count").alias("records"))
+    return trees.select("tree_id", "label").join(held, "tree_id").select("label", "records")
+
+
+@add("topology_entries_by_tree", _PER_TREE)
 def _(spark, d):
-    return verify.by_level(index(spark, d).snapshot().table("partitions")).filter("level = 1").select("entries")
+    now = index(spark, d).snapshot()
+    return per_tree(now.table("partitions"), now.table("trees"))
 
 
-@add("topology_levels")
+@add("split_wave_keeps_entries", _PER_TREE)
 def _(spark, d):
-    return verify.by_level(index(spark, d).snapshot().table("partitions"))
+    """A wave that splits every leaf over eight."""
+    i = index(spark, d)
+    made = maintain.split_leaves(i.snapshot(), i.config.with_(leaf_min=2, leaf_max=8))
+    return per_tree(made["partitions"], made["trees"])
 
 
-@add("topology_by_state", "SELECT 'Ready' AS state, TRUE AS some")
+@add("merge_wave_keeps_entries", _PER_TREE)
 def _(spark, d):
-    return verify.by_state(index(spark, d).snapshot().table("partitions")).select("state", (F.col("partitions") > 0).alias("some"))
+    """A wave that merges every leaf under sixteen into its nearest neighbour that stays."""
+    i = index(spark, d)
+    made = maintain.merge_leaves(i.snapshot(), i.config.with_(leaf_min=16))
+    return per_tree(made["partitions"], i.snapshot().table("trees"))
 
 
 @add("verify_clean", "SELECT 'x' AS kind, 'x' AS subject WHERE FALSE")
@@ -663,9 +667,10 @@ def _(spark, d):
 def _(spark, d):
     raw = table(spark, d, "benchmark")
     b = raw.select(F.col("item_id").alias("id"), F.when(F.col("item_id") % 3 == 1, F.lit(b"")).when(F.col("item_id") % 3 == 2, F.encode("text", "utf-8")).alias("payload"))
-    found = b.select("id").join(b.filter("payload is not null"), "id", "left")
-    status = F.when(F.col("payload").isNull(), "Absent").otherwise("Present")
-    return found.select("id", status.alias("payload_status"), F.octet_length("payload").cast("long").alias("bytes"))
+    made = b.select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("vector"), "payload")
+    i = Runtime(spark, folder(spark, "index")).create_index("payloads", IndexConfig(2), made)
+    got = i.get(b.select(F.col("id").alias("pos"), "id"), payload=True)
+    return got.select("id", "payload_status", F.octet_length("payload").cast("long").alias("bytes"))
 
 
 def batch(rows: DataFrame) -> DataFrame:
@@ -701,7 +706,10 @@ _AFTER_SQL = _BATCH_SQL + ", a AS (SELECT id, label, v FROM r WHERE id NOT IN (S
 def _(spark, d):
     """The records after the batch."""
     i = index(spark, d)
-    return mutate.apply(i.snapshot(), batch(records(spark, d)), i.config)["records"].select("id", "label", F.col("vector")[0].alias("first"))
+    now = i.snapshot()
+    new = mutate.apply(now, batch(records(spark, d)), i.config)["records"]
+    whole = now.table("records").filter(~F.col("shard").isin(new.shards)).unionByName(new.rows)
+    return whole.select("id", "label", F.col("vector")[0].alias("first"))
 
 
 _mutated: dict[tuple, Index] = {}
