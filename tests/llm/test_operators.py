@@ -128,6 +128,60 @@ def test_quality_of_rare_languages(spark):
     assert kept == {i for i, _, _ in main + rare + sizes}
 
 
+def kept_by_hand(rows, b):
+    """The bands, restated over measures: ``rows`` have a lang, and the columns of quality()."""
+    names = ("chars_per_token", "second_chars_per_token", "entropy", "byte_share", "evenness", "n_tokens")
+    for r in rows:
+        r["evenness"] = r["entropy"] / np.log2(max(r["n_tokens"], 2))
+        r["group"] = ("lang", r["lang"]) if r["lang"] is not None else ("script", r["script"])
+        r["class"] = (r["group"], int(np.log2(max(r["n_tokens"], 1))))
+
+    def centres(key):
+        found = defaultdict(list)
+        for r in rows:
+            if not r["base_failed"]:
+                found[r[key]].append(r)
+        out = {}
+        for k, own in found.items():
+            q = {c: [sorted(r[c] for r in own)[max(0, int(np.ceil(p * len(own))) - 1)] for p in (0.25, 0.5, 0.75)] for c in names}
+            out[k] = len(own), {c: v[1] for c, v in q.items()}, {c: (v[2] - v[0]) / 1.349 for c, v in q.items()}
+        return out
+
+    classes, groups, out = centres("class"), centres("group"), []
+    for r in rows:
+        n, m, s = classes.get(r["class"], (0, dict.fromkeys(names, 0), dict.fromkeys(names, 0)))
+        if r["base_failed"] or r["group"] not in groups:
+            out.append(False)
+            continue
+        of, mg, sg = groups[r["group"]]
+        lean, wide, size = b.prior / (n + b.prior), 1 + (b.prior / of) ** 0.5, max(r["n_tokens"], 1)
+        mid, spread = ({c: x[c] * lean + y[c] * (1 - lean) for c in names} for x, y in ((mg, m), (sg, s)))
+        stray = wide * (1 + lean * (max(1, (mg["n_tokens"] / size) ** 0.5) - 1))
+        away = wide * (1 + lean * abs(np.log2(size / mg["n_tokens"])))
+        half = {c: stray * max(b.spread * spread[c], b.least_ratio * mid[c]) for c in names}
+        least_even = mg["evenness"] * b.least_bits / mg["entropy"]
+        even = mg["evenness"] - r["evenness"] <= lean * wide * max(b.spread * sg["evenness"], least_even) - (1 - lean)
+        bits = mid["entropy"] - r["entropy"] <= away * max(b.spread * spread["entropy"], b.least_bits)
+        near = abs(r["chars_per_token"] - mid["chars_per_token"]) <= half["chars_per_token"] and mid["second_chars_per_token"] - r["second_chars_per_token"] <= half["second_chars_per_token"]
+        out.append(bool(near and (even or bits) and r["byte_share"] <= mid["byte_share"] + wide * b.most_bytes and r["entropy"] >= b.floor_bits))
+    return out
+
+
+def test_quality_bands_restated(spark):
+    rng, rows = np.random.default_rng(9), []
+    for i in range(400):
+        lang = ("en", "en", "en", "de", None)[i % 5]
+        text = words(int(rng.integers(15, 400)), i, int(rng.integers(40, 900)))
+        if i % 17 == 0:
+            text = "".join(f"{w}{'*$#'[i % 3] * int(rng.integers(1, 4))} " for w in text.split())
+        if i % 23 == 0:
+            text = " ".join(chr(int(x)) for x in rng.integers(0x400, 0x3000, 120))
+        rows.append((i, text, lang, "s", len(text), "clash", True))
+    got = [r.asDict() | {"lang": rows[r["doc_id"]][2]} for r in quality_fertility.quality(spark.createDataFrame(rows, DOCS)).collect()]
+    want = kept_by_hand(got, quality_fertility.Bands())
+    assert [r["kept"] for r in got] == want and 200 < sum(want) < 390
+
+
 # 3
 
 

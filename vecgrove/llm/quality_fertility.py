@@ -1,17 +1,20 @@
 """Quality rules from tokeniser fertility.
 
-Every whole text is split into words at ASCII white space and each word is encoded with a public
-byte-fallback vocabulary.  Three measures judge a text: characters per token, the share of byte-fallback
-tokens, and the entropy of its tokens.  Bands for them come from all the documents of a language (and, as
-entropy grows with length, of a power of two of tokens): the median, plus or minus a multiple of the spread
-between the quartiles, never narrower than a share of the median.  A language and size class with few documents
-takes the bands of its language over all sizes; there the entropy has to be low both in bits and as a share of
-the most that so many tokens can have, as the one grows and the other falls with length.  A language with few
-documents is held to absolute limits only, never to another language's bands.
-
-Defined results: a null or empty text has no words and fails the base rules; a null language is a language of
-its own; rows are judged one by one, so repeated rows and ids get the same answer each; other columns of the
-input are not looked at; an empty table gives an empty table.
+Every whole text is split into words at ASCII white space and each word is encoded with two public vocabularies: one
+with byte fallback and one of bytes for many languages.  Four measures judge a text: characters per token under either,
+the share of byte-fallback tokens, and the entropy of its tokens.  Bands for them come from all the documents of a
+language (a null language's by script) and, as entropy grows with length, of a power of two of tokens: the median, plus or
+minus a multiple of the spread between the quartiles, never narrower than a share of the median.
+
+A class's band leans on its language's over all sizes as ``prior`` documents would, and every band is the wider the
+fewer documents it comes from, so no number of documents switches a rule on or off, and no language is ever held to
+another's bands.  Where the language's band weighs, a text's entropy may be low in bits or as a share of the most that
+so many tokens can have, not both, as the one grows and the other falls with length.  Besides, ``floor_bits`` holds for all.
+
+Defined results: a null or empty text has no words and fails the base rules; texts of a null language make a class per
+script; rows are judged one by one, so repeated rows and ids get the same answer each, as do ties; a very long text is
+measured whole, by one task; other columns of the input, whatever their names, are not looked at; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecgrove.llm import spans
@@ -29,10 +32,11 @@ from vecgrove.llm.common import materialise
 from vecgrove.llm.wordtokens import WordTokens, listed
 
 VOCABULARY = "piece_bpe_32k.model"
+SECOND = "byte_bpe_multi_50k.tiktoken"
 
 MEASURES = (
     "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-    "n_tokens long, chars_per_token double, byte_share double, entropy double"
+    "n_tokens long, chars_per_token double, second_chars_per_token double, byte_share double, entropy double, script string"
 )
 
 
@@ -47,10 +51,10 @@ class Bands:
     """For the entropy, in bits."""
     most_bytes: float = 0.10
     """Byte-fallback share that any language may have above its median."""
-    few: int = 50
-    """A language and size class with fewer documents takes the bands of its language, a language with fewer none."""
+    prior: float = 50.0
+    """Documents that a language's band counts as in that of each of its sizes."""
     floor_bits: float = 3.0
-    """The least entropy of a text whose language has no bands."""
+    """The least entropy of any text that is kept."""
     window: int = 8
     few_words: int = 20
     most_repeat_percent: int = 30
@@ -60,16 +64,46 @@ _encoders: dict[str, tuple[WordTokens, np.ndarray]] = {}
 
 
 def _encoder(vocabulary: str) -> tuple[WordTokens, np.ndarray]:
+    """Ids of words, and which ids stand for a byte that the vocabulary has no piece for."""
     if vocabulary not in _encoders:
         import public_tokenizers
-        import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary))
-        is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
-        _encoders[vocabulary] = WordTokens(lambda words: listed(model.encode(words, num_threads=1)), most=1_000_000), is_byte
+        path = public_tokenizers.path(vocabulary)
+        if vocabulary.endswith(".model"):
+            import sentencepiece
+
+            model = sentencepiece.SentencePieceProcessor(model_file=path)
+            is_byte = np.array([model.is_byte(i) for i in range(model.vocab_size())])
+            encode = lambda words: model.encode(words, num_threads=1)
+        else:
+            import base64
+
+            import tiktoken
+
+            with open(path) as file:
+                ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in file)}
+            known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            is_byte = np.zeros(max(ranks.values()) + 1, bool)
+            encode = lambda words: [known.encode_ordinary(w) for w in words]
+        _encoders[vocabulary] = WordTokens(lambda words: listed(encode(words)), most=1_000_000), is_byte
     return _encoders[vocabulary]
 
 
+# The first bytes of UTF-8 characters of some scripts.
+SCRIPTS = {"latin": (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)), "greek": (0xCD, 0xCE, 0xCF), "cyrillic": (*range(0xD0, 0xD4),), "hebrew": (0xD6, 0xD7), "arabic": (*range(0xD8, 0xDC),), "indic": (0xE0,), "asian": (*range(0xE3, 0xEE),)}
+_SCRIPT = np.zeros(256, np.int64)
+for _k, _bytes in enumerate(SCRIPTS.values(), 1):
+    _SCRIPT[list(_bytes)] = _k
+
+
+def scripts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The script that most letters of each text are of; none: other."""
+    n, names = len(offsets) - 1, np.array(["other", *SCRIPTS])
+    owner = np.repeat(np.arange(n), np.diff(offsets))
+    counts = np.bincount(owner * len(names) + _SCRIPT[data], minlength=n * len(names)).reshape(n, len(names))[:, 1:]
+    return np.where(counts.sum(axis=1) > 0, names[1:][counts.argmax(axis=1)], "other")
+
+
 def _sum_by(owner: np.ndarray, n: int, weights: np.ndarray | None = None) -> np.ndarray:
     return np.bincount(owner, weights, n) if weights is not None else np.bincount(owner, minlength=n)
 
@@ -135,9 +169,10 @@ def measure_piece(data: np.ndarray, offsets: np.ndarray, vocabulary: str, width:
     at, count = spans.runs(keys)
     spread = _sum_by((keys[at] >> 32).astype(np.int64), n, count * np.log2(count)) if len(at) else np.zeros(n)
     total = np.maximum(n_tokens, 1)
+    second = np.maximum(_sum_by(owner, n, _encoder(SECOND)[0](data, starts, ends, h)[1].astype(float)), 1)
     return [
         n_words, chars, symbols, _duplicate_lines(data, offsets, starts), _repeated(h, first, n, width),
-        n_tokens, chars / total, n_bytes / total, np.log2(total) - spread / total,
+        n_tokens, chars / total, chars / second, n_bytes / total, np.log2(total) - spread / total, scripts(data, offsets),
     ]
 
 
@@ -153,52 +188,66 @@ def measures(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
             for i, data, offsets in spans.pieces(spans.field(batch.column("row"), text_col) if whole else batch.column("text")):
                 columns = measure_piece(data, offsets, vocabulary, width)
                 arrays = [batch.column("row").slice(i, len(offsets) - 1)]
-                arrays += [pa.array(c.astype(np.int64 if k < 6 else np.float64)) for k, c in enumerate(columns)]
+                kinds = {"long": np.int64, "double": np.float64, "string": object}
+                arrays += [pa.array(c.astype(kinds[m.split()[1]])) for c, m in zip(columns, MEASURES.split(", "), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", *(x.split()[0] for x in MEASURES.split(", "))])
 
     row = packed.schema["row"].dataType.simpleString()
     return packed.mapInArrow(run, f"row {row}, {MEASURES}")
 
 
+BANDS = {"chars_per_token": "cpt", "second_chars_per_token": "two", "entropy": "ent", "byte_share": "byte", "evenness": "even", "n_tokens": "size"}
+
+
 def judge(measured: DataFrame, lang: str, bands: Bands = Bands()) -> DataFrame:
     """Adds ``base_failed`` and ``kept``; ``lang`` is an expression over ``measured``, which is read twice."""
-    has = measured.withColumn("band_lang", F.expr(lang)).withColumn("size_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
+    class_of = F.coalesce(F.concat(F.lit("language "), F.expr(lang).cast("string")), F.concat(F.lit("script "), F.col("script")))
+    has = measured.withColumn("band_lang", class_of).withColumn("size_class", F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int"))
     base = (F.col("n_words") < bands.few_words) | (100 * F.col("n_repeat_words") > bands.most_repeat_percent * F.col("n_words"))
     has = has.withColumn("base_failed", base).withColumn("evenness", F.col("entropy") / F.log2(F.greatest("n_tokens", F.lit(2))))
     sound = has.filter(~F.col("base_failed"))
 
     def centre(by: list[str], suffix: str) -> DataFrame:
-        quartiles = lambda c: F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(c)
-        found = sound.groupBy(*[F.col(c).alias(f"{c}{suffix}") for c in by]).agg(*[quartiles(c) for c in ("chars_per_token", "entropy", "byte_share", "evenness", "n_tokens")], F.count("*").alias(f"n{suffix}"))
-        return found.select(
-            *[f"{c}{suffix}" for c in by],
-            f"n{suffix}",
-            *[F.col(c)[1].alias(f"m_{short}{suffix}") for c, short in (("chars_per_token", "cpt"), ("entropy", "ent"), ("byte_share", "byte"), ("evenness", "even"), ("n_tokens", "size"))],
-            *[((F.col(c)[2] - F.col(c)[0]) / 1.349).alias(f"s_{short}{suffix}") for c, short in (("chars_per_token", "cpt"), ("entropy", "ent"), ("evenness", "even"))],
-        )
+        quartiles = [F.percentile_approx(c, [0.25, 0.5, 0.75], 10000).alias(c) for c in BANDS]
+        found = sound.groupBy(*[F.col(c).alias(f"{c}{suffix}") for c in by]).agg(*quartiles, F.count("*").alias(f"n{suffix}"))
+        middle = [F.col(c)[1].cast("double").alias(f"m_{short}{suffix}") for c, short in BANDS.items()]
+        return found.select(*[f"{c}{suffix}" for c in by], f"n{suffix}", *middle, *[((F.col(c)[2] - F.col(c)[0]) / 1.349).alias(f"s_{short}{suffix}") for c, short in BANDS.items()])
 
     # Written first, so that Spark knows their size when it chooses how to join them: small ones leave the texts in place.
     own = materialise(centre(["band_lang", "size_class"], "_own"), "bands")
     whole = materialise(centre(["band_lang"], "_lang"), "bands")
-    joined = has.join(own, F.col("band_lang").eqNullSafe(F.col("band_lang_own")) & (F.col("size_class") == F.col("size_class_own")), "left")
-    joined = joined.join(whole, F.col("band_lang").eqNullSafe(F.col("band_lang_lang")), "left")
-    enough = F.coalesce(F.col("n_own") >= bands.few, F.lit(False))
-    known = F.coalesce(F.col("n_lang") >= bands.few, F.lit(False))
-    pick = lambda c: F.when(enough, F.col(f"{c}_own")).otherwise(F.col(f"{c}_lang"))
-    mad = bands.spread
+    joined = has.join(own, (F.col("band_lang") == F.col("band_lang_own")) & (F.col("size_class") == F.col("size_class_own")), "left")
+    joined = joined.join(whole, F.col("band_lang") == F.col("band_lang_lang"), "left")
+    n_own = F.coalesce("n_own", F.lit(0))
+    # The language's weight in a class's band, and how much wider a band is for the few documents that it comes from.
+    lean = F.lit(bands.prior) / (n_own + F.lit(bands.prior))
+    wide = 1 + F.sqrt(F.lit(bands.prior) / F.greatest(F.col("n_lang"), F.lit(1)))
+
+    def pick(c: str) -> Column:
+        return F.col(f"{c}_lang") * lean + F.coalesce(F.col(f"{c}_own"), F.lit(0.0)) * (1 - lean)
+
+    size = F.greatest("n_tokens", F.lit(1))
+    # The shorter a text, the more its mean strays from the language's; bits may fall by the same again for each doubling
+    # between its size and the language's median size.
+    stray = wide * (1 + lean * (F.greatest(F.lit(1.0), F.sqrt(F.col("m_size_lang") / size)) - 1))
+    away = wide * (1 + lean * F.abs(F.log2(size / F.greatest("m_size_lang", F.lit(1.0)))))
     # The least share is to the median share as the least bits are to the median bits.
-    least_even = F.col("m_even_lang") * bands.least_bits / F.col("m_ent_lang")
-    even = ~enough & (F.col("m_even_lang") - F.col("evenness") <= F.greatest(mad * F.col("s_even_lang"), least_even))
-    # The shorter a text, the more its mean strays from the language's.
-    stray = F.when(enough, 1.0).otherwise(F.greatest(F.lit(1.0), F.sqrt(F.col("m_size_lang") / F.greatest("n_tokens", F.lit(1)))))
-    # Bits may fall by the same again for each doubling between its size and the language's median size.
-    away = F.when(enough, 1.0).otherwise(1 + F.abs(F.log2(F.greatest("n_tokens", F.lit(1)) / F.col("m_size_lang"))))
+    least_even = F.col("m_even_lang") * bands.least_bits / F.greatest("m_ent_lang", F.lit(1e-9))
+    even = F.col("m_even_lang") - F.col("evenness") <= lean * wide * F.greatest(bands.spread * F.col("s_even_lang"), least_even) - (1 - lean)
+
+    def below(c: str, short: str) -> Column:
+        """By how much a measure is under the middle, in half widths of its band."""
+        return (pick(f"m_{short}") - F.col(c)) / (stray * F.greatest(bands.spread * pick(f"s_{short}"), bands.least_ratio * pick(f"m_{short}")))
+
     fits = (
-        (F.abs(F.col("chars_per_token") - pick("m_cpt")) <= stray * F.greatest(mad * pick("s_cpt"), bands.least_ratio * pick("m_cpt")))
-        & (even | (pick("m_ent") - F.col("entropy") <= away * F.greatest(mad * pick("s_ent"), F.lit(bands.least_bits))))
-        & (F.col("byte_share") <= pick("m_byte") + bands.most_bytes)
+        (F.abs(below("chars_per_token", "cpt")) <= 1)
+        # A vocabulary of many languages that knows a text better than most says nothing against it.
+        & (below("second_chars_per_token", "two") <= 1)
+        & (even | (pick("m_ent") - F.col("entropy") <= away * F.greatest(bands.spread * pick("s_ent"), F.lit(bands.least_bits))))
+        & (F.col("byte_share") <= pick("m_byte") + wide * bands.most_bytes)
+        & (F.col("entropy") >= bands.floor_bits)
     )
-    return joined.withColumn("kept", ~F.col("base_failed") & F.when(enough | known, fits).otherwise(F.col("entropy") >= bands.floor_bits)).select(*measured.columns, "base_failed", "kept")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False))).select(*measured.columns, "base_failed", "kept")
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", vocabulary: str = VOCABULARY, bands: Bands = Bands()) -> DataFrame:
