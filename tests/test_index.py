@@ -1,11 +1,17 @@
+import re
+
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from vecgrove.config import Field, IndexConfig, SearchOptions
+from vecgrove.control import Control
 from vecgrove.errors import IndexError_
 from vecgrove.functions.predicate import Compare, IsNull
 from vecgrove.index import Runtime
 from vecgrove.operators import build, recall, search
+from vecgrove.sources.store import Snapshot
 from vecgrove.streaming.ingest import ingest
 
 FIELDS = (Field("bucket", "i64"), Field("score", "f64", True))
@@ -138,3 +144,127 @@ def test_streaming_ingest(spark, root, tmp_path):
     ingest(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda b: index.batch_mutate(b), str(tmp_path / "checkpoint")).awaitTermination(120)
     got = {r["id"]: r["vector"][0] for r in index.snapshot().table("records").filter("id >= 35").collect()}
     assert got == {i: 2.0 for i in range(35, 45) if i != 36}
+
+
+def asked_for(monkeypatch):
+    """The shards that each read of a sharded table names."""
+    seen = []
+    real = Snapshot.table
+
+    def table(self, name, shards=None):
+        if name in ("records", "leaf_entries"):
+            seen.append((name, None if shards is None else sorted(set(shards))))
+        return real(self, name, shards)
+
+    monkeypatch.setattr(Snapshot, "table", table)
+    return seen
+
+
+def test_search_and_mutations_touch_their_shards_only(spark, root, monkeypatch):
+    data = rows(spark, 600, d=8).selectExpr("id", "vector", "0L as bucket", "score")
+    config = CONFIG.with_(shard_rows=60, leaf_max=8, internal_max=64)
+    monkeypatch.setattr(build, "NEIGHBOURS", 4)
+    index = Runtime(spark, root).create_index("sharded", config, data)
+    before = index.snapshot()
+    every = {r["shard"] for r in before.table("records").select("shard").distinct().collect()}
+    assert before.shards == 10 and len(every) > 5 and index.verify()["issues"] == []
+    q = data.filter("id = 7").selectExpr("id as qid", "vector")
+    seen = asked_for(monkeypatch)
+    out = index.search(q, None, SearchOptions(k=5, leaf_beam=2))
+    assert len(out.hits.collect()) == 5 and all(s is not None and len(s) <= 2 for _, s in seen)
+    scans = [x for x in out.hits._jdf.queryExecution().executedPlan().toString().split("\n") if "/data/1-" in x]
+    assert scans and all(re.search(r"PartitionFilters: \[[^]]*shard", x) for x in scans)
+    # A filter counts matches in open leaves alone, and gives what brute force gives.
+    p = IsNull("score")
+    wide = SearchOptions(k=5, leaf_beam=1000, partitions=16384)
+    assert same(index.search(q, p, wide).hits, truth(index, q, 5, p))
+    seen.clear()
+    index.upsert(id=7, vector=[0.5] * 8, bucket=0, score=None)
+    now = index.snapshot()
+    parts = now.manifest["tables"]["records"]["parts"]
+    assert len(parts) == 2 and 1 <= len(parts[0]["without"]) <= 2 and parts[1]["without"] == []
+    written = spark.read.parquet(f"{now.root}/{parts[1]['path']}").count()
+    assert written < 200 and now.table("records").count() == 600 and before.table("records").count() == 600
+    assert now.manifest["tables"]["payloads" if now.has("payloads") else "trees"] and index.verify()["issues"] == []
+    assert same(index.search(q, None, wide).hits, truth(index, q, 5))
+    index.delete(7)
+    assert index.expire(keep=1) == [1, 2] and index.snapshot().table("records").count() == 599
+    with pytest.raises(Exception):  # noqa: B017
+        before.table("trees").count()
+
+
+def test_inner_partitions_split_merge_and_collapse(spark, root):
+    config = CONFIG.with_(tree_key=(), leaf_min=2, leaf_max=4, internal_min=2, internal_max=4)
+    index = Runtime(spark, root).create_index("levels", config, rows(spark, 8))
+    schema = "pos long, op string, id long, vector array<float>, bucket long, score double"
+    x = np.random.default_rng(3).normal(size=(90, 8)).astype(np.float32)
+    index.batch_mutate(spark.createDataFrame([(i, "upsert", 100 + i, x[i].tolist(), 1, None) for i in range(90)], schema))
+    assert index.maintain() > 0
+    tall = index.snapshot().table("partitions")
+    assert index.actionable().count() == 0 and tall.agg({"level": "max"}).first()[0] >= 4 and index.verify()["issues"] == []
+    q = rows(spark, 8).selectExpr("id as qid", "vector")
+    assert same(index.search(q, None, SearchOptions(k=10, leaf_beam=1000, partitions=16384)).hits, truth(index, q))
+    index.batch_mutate(spark.createDataFrame([(i, "delete", 100 + i, None, None, None) for i in range(88)], schema))
+    index.maintain()
+    assert index.actionable().count() == 0 and index.verify()["issues"] == [] and index.snapshot().table("records").count() == 10
+    assert same(index.search(q, None, WIDE).hits, truth(index, q))
+    index.batch_mutate(spark.createDataFrame([(i, "delete", i, None, None, None) for i in range(8)], schema))
+    index.maintain()
+    assert index.actionable().count() == 0 and index.verify()["issues"] == []
+
+
+def test_graph_routing_walks_and_finds(spark, root):
+    config = IndexConfig(8, "l2", FIELDS, (), leaf_min=2, leaf_max=4, internal_min=2, internal_max=16384)
+    index = Runtime(spark, root).create_index("graph", config, rows(spark, 400))
+    q = rows(spark, 20).selectExpr("id as qid", "vector")
+    out = index.search(q, None, SearchOptions(k=5, leaf_beam=40, routing="hnsw", ef=80))
+    assert all(r["graph_walks"] == 1 for r in out.usage.collect())
+    assert recall.summary(recall.per_query(truth(index, q, 5), out.hits)).first()["mean_recall"] >= 0.9
+
+
+def test_verification_finds_damage(spark, root):
+    index = Runtime(spark, root).create_index("damage", CONFIG, rows(spark, 60).selectExpr("*", "cast('p' as binary) as payload"))
+    store, sound = index.runtime.store, index.snapshot()
+    assert index.verify()["issues"] == []
+    broken = sound.table("leaf_entries").withColumn("code", F.when(F.col("id") == 5, F.lit(bytes(8))).when(F.col("id") == 6, F.lit(b"short")).otherwise(F.col("code")))
+    broken = broken.withColumn("scale", F.when(F.col("id") == 8, F.col("scale") * 2).otherwise(F.col("scale")))
+    store.commit("damage", lambda old: {"leaf_entries": broken, "payloads": old.table("payloads").unionByName(old.table("payloads").limit(1).withColumn("id", F.lit(999).cast("long")))})
+    assert sorted(index.verify()["issues"]) == [("Membership", "999"), *(("RecordProjectionMismatch", str(i)) for i in (5, 6, 8))]
+    # An entry whose record is elsewhere, and an id in two leaves, stop a search.
+    moved = sound.table("leaf_entries").withColumn("id", F.when(F.col("id") == 5, F.lit(777)).otherwise(F.col("id")).cast("long"))
+    store.commit("damage", lambda old: {"leaf_entries": moved})
+    q = rows(spark, 6).selectExpr("id as qid", "vector")
+    with pytest.raises(Exception, match="without its record"):
+        index.search(q, None, WIDE).hits.collect()
+    twice = sound.table("leaf_entries").unionByName(sound.table("leaf_entries").filter("id = 5"))
+    store.commit("damage", lambda old: {"leaf_entries": twice})
+    with pytest.raises(IndexError_) as e:
+        index.search(q, None, WIDE)
+    assert e.value.kind == "Corruption"
+
+
+def test_get_without_payloads_and_operations_under_a_control(spark, root):
+    index = Runtime(spark, root).create_index("plain", CONFIG, rows(spark, 30))
+    assert [r["payload_status"] for r in index.get(spark.createDataFrame([(0, 3), (1, 99)], "pos long, id long"), payload=True).collect()] == ["Absent", "Absent"]
+    control = Control(spark)
+    assert index.under(control).verify()["issues"] == []
+    control.cancel()
+    with pytest.raises(IndexError_) as e:
+        index.under(control).maintain()
+    assert e.value.kind == "Cancelled"
+
+
+def test_a_commit_that_comes_second_is_derived_anew(spark, root):
+    index = Runtime(spark, root).create_index("race", CONFIG, rows(spark, 30))
+    other, schema = Runtime(spark, root).open_index("race"), "pos long, op string, id long, vector array<float>, bucket long, score double"
+    real, first = index.runtime.store.write, []
+
+    def write(*args):
+        if not first:
+            first.append(other.upsert(id=500, vector=[1.0] * 8, bucket=0, score=None))
+        return real(*args)
+
+    index.runtime.store.write = write
+    said = index.batch_mutate(spark.createDataFrame([(0, "upsert", 500, [2.0] * 8, 0, None)], schema)).collect()
+    assert first == ["Created"] and [r["outcome"] for r in said] == ["Replaced"] and index.snapshot().version == 3
+    assert index.snapshot().table("records").filter("id = 500").first()["vector"] == [2.0] * 8

@@ -1,3 +1,5 @@
+import itertools
+
 import numpy as np
 import pytest
 
@@ -44,6 +46,11 @@ def test_balanced_split_and_cut_sizes():
     left, two = training.balanced_split(x, Kernel("l2", 2, 1))
     assert left.sum() == 5 and len(two) == 2
     assert training.cut_sizes([5, 5], 2) == [5, 5]
+    for counts, least in (([9, 1, 0], 2), ([0, 0, 12], 3), ([5, 1, 1, 1], 1), ([3, 0, 9, 4], 2), ([20, 1], 4), ([1, 1, 1, 30], 5)):
+        n, k = sum(counts), len(counts)
+        may = [s for s in itertools.product(range(least, n * 3 // 4 + 1), repeat=k) if sum(s) == n]
+        got = training.cut_sizes(counts, least)
+        assert tuple(got) in may and (tuple(counts) not in may or got == counts)
     assert sum(training.cut_sizes([10, 0, 0], 2)) == 10 and min(training.cut_sizes([10, 0, 0], 2)) >= 2
 
 
