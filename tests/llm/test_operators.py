@@ -695,3 +695,33 @@ def test_pipeline(spark, tmp_path):
     rows = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in final.collect())
     assert len(rows) == n and all(a + b == c for (a, b, _), (c, _, _) in zip(rows, rows[1:], strict=False))
     assert Counter(r[2] for r in rows) == Counter(r["doc_id"] for r in mixed.collect())
+
+
+def test_pipeline_stages_take_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    # Names that the stages use themselves, nulls in every column, repeated rows, odd and long texts, nothing at all.
+    names = ["row", "kept", "key", "node", "cut", "spans", "items", "mix_copies", "rate", "source_", "band_lang", "at", "leaf"]
+    texts = [(i, words(60, i)) for i in range(40)] + [(100 + i, t) for i, t in enumerate(ODD)] + [(3, words(60, 3))] * 2 + [(None, words(60, 70)), (None, None), (7, None)]
+    rows = [(i, t, None if k % 5 == 0 else "en", None if k % 7 == 0 else f"s{k % 3}", None if t is None else len(t), *[f"c{k}"] * len(names)) for k, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    df = spark.createDataFrame(rows, schema)
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, words(12, 5)), (None, None), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/none/benchmark.parquet")
+    d, known = f"file://{tmp_path}", {(r[0], r[1], r[5]) for r in rows}
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, df, d)
+        kept[name] = [(r["doc_id"], r["text"], r["row"]) for r in got.collect()]
+        assert got.columns == df.columns and got.schema == df.schema
+        assert name == "decontamination" or set(kept[name]) <= known
+        assert stage(spark, df.limit(0), d).count() == 0
+    assert {t for _, t, _ in kept["quality_rules"]} >= {words(60, i) for i in range(40)} and None not in {t for _, t, _ in kept["quality_rules"]}
+    single = Counter(t for _, t, _ in kept["near_duplicates"])
+    assert all(single[words(60, i)] == 1 for i in range(40)) and sum(single[t] for t in (None, "", " \n\t ")) == 1
+    clean = [t for i, t, _ in kept["decontamination"] if i == 5]
+    assert len(kept["decontamination"]) == len(rows) and words(12, 5) not in clean[0] and corpus_pipeline.decontamination(spark, df, f"{d}/none").count() == len(rows)
+    tokens = corpus_pipeline.token_ids(spark, df, d)
+    assert tokens.count() == len(rows) and corpus_pipeline.token_ids(spark, df.limit(0), d).count() == 0
+    assert corpus_pipeline.run(spark, d).count() > 0
