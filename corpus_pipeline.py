@@ -1,11 +1,17 @@
-"""A training-corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame."""
+"""A training-corpus pipeline of five stages; each takes (spark, docs, sf_dir) and returns a DataFrame.
+
+All but the last return the columns of their input, extra ones and clashing names included.  Defined results: null and empty
+texts go in the first stage (too few words), and so in run(); each stage by itself takes them, null ids and sources and
+repeated rows as its operator says; an empty table, or an empty benchmark, goes through; ties are settled by the
+operators (the least id stays of a group of copies).  ``run`` removes what a stage has written once the next one is written.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from vecgrove.llm import decontaminate_fm, mix_poisson, near_copies, quality_fertility, token_output
-from vecgrove.llm.common import materialise, table
+from vecgrove.llm.common import new_folder, remove, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,9 +49,15 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), "pipeline")
+    docs, before = table(spark, sf_dir, "documents"), None
+    for name, stage in STAGES[:-1]:
+        path = new_folder(spark, f"pipeline-{name}")
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
+        if before is not None:
+            remove(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
