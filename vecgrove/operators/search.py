@@ -178,13 +178,17 @@ def top_k(ranked: DataFrame, k: int, by: tuple[str, ...] = ("qid",)) -> DataFram
 QUERY_BLOCK = 4096
 
 
+def with_queries(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Each row with each of the stated queries (with a ``qid``), which are sent to the rows in blocks of QUERY_BLOCK."""
+    blocks = -(-queries.count() // QUERY_BLOCK) or 1
+    own = [queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [queries]
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(block)) for block in own])
+
+
 def exact_knn(records: DataFrame, queries: DataFrame, metric: str, k: int, predicate: Predicate | None = None, config: IndexConfig | None = None) -> DataFrame:
     """Brute force over all records: the stated queries are sent to the records in blocks of QUERY_BLOCK."""
     rows = records.filter(to_column(validate(predicate, config), config)) if predicate is not None else records
-    few = queries.select("qid", F.col("vector").alias("q"))
-    blocks = -(-few.count() // QUERY_BLOCK) or 1
-    own = [few.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b) for b in range(blocks)] if blocks > 1 else [few]
-    joined = reduce(DataFrame.unionByName, [rows.select("id", F.col("vector").alias("x")).join(F.broadcast(block)) for block in own])
+    joined = with_queries(rows.select("id", F.col("vector").alias("x")), queries.select("qid", F.col("vector").alias("q")))
     ranked = joined.select("qid", "id", distance.rank(metric, F.col("q"), F.col("x")).alias("rank"))
     return top_k(ranked, k).select("qid", "id", distance.exposed(metric, F.col("rank")).alias("distance"), "position")
 

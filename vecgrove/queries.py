@@ -90,10 +90,6 @@ def stated(rows: DataFrame) -> DataFrame:
     return rows.filter("id % 100 = 0").select(F.col("id").alias("qid"), "vector")
 
 
-def one(rows: DataFrame) -> DataFrame:
-    return rows.filter("id = 7").select(F.col("id").alias("qid"), "vector")
-
-
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -113,26 +109,17 @@ def add(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 for _metric in ("l2", "cosine", "inner_product"):
     _short = {"inner_product": "ip"}.get(_metric, _metric)
 
-    @add(f"knn_{_short}", sql_knn(_metric, 10, queries="id = 7"))
-    def _(spark, d, metric=_metric):
-        r = records(spark, d)
-        return search.exact_knn(r, one(r), metric, 10)
-
     @add(f"knn_batch_{_short}", sql_knn(_metric, 10))
     def _(spark, d, metric=_metric):
         r = records(spark, d)
         return search.exact_knn(r, stated(r), metric, 10)
 
 
-@add(
-    "knn_ties_by_id",
-    "WITH r AS (SELECT vec_id AS id, list_transform(embedding[1:3], lambda x: round(x * 2)::float) AS v FROM embeddings), q AS (SELECT id AS qid, v AS qv FROM r WHERE id = 7), "
-    f"d AS (SELECT qid, id, {sql_l2('qv', 'v')} AS rank FROM q, r), t AS (SELECT qid, id, rank, row_number() OVER (ORDER BY rank, id) AS position FROM d) "
-    "SELECT qid, id, sqrt(rank) AS distance, position FROM t WHERE position <= 20",
-)
+@add("knn_ties_by_id", sql_knn("l2", 20, relation="r AS (SELECT vec_id AS id, list_transform(embedding, lambda x: (x > 0)::float) AS v FROM embeddings)"))
 def _(spark, d):
-    r = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(F.slice("embedding", 1, 3), lambda x: F.round(x * 2).cast("float")).alias("vector"))
-    return search.exact_knn(r, one(r), "l2", 20)
+    """Of vectors of zeros and ones, among which ties abound."""
+    r = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: (x > 0).cast("float")).alias("vector"))
+    return search.exact_knn(r, stated(r), "l2", 20)
 
 
 PREDICATES: dict[str, tuple[Predicate, str]] = {
@@ -328,19 +315,19 @@ def _(spark, d):
 
 def rough_pairs(spark: SparkSession, d: str) -> DataFrame:
     """qid, id, rough, lower, upper and exact squared L2 of the stated queries and all rows."""
-    q = [(r["qid"], r["vector"]) for r in stated(records(spark, d)).orderBy("qid").collect()]
-    shared = spark.sparkContext.broadcast(q)
+    rows = search.with_queries(codes(spark, d), stated(records(spark, d)).withColumnRenamed("vector", "qv"))
 
     def run(batches):
         from vecgrove.functions.rabitq import Codes
 
         for pdf in batches:
-            c = Codes(np.stack(pdf["code"].to_numpy()).astype(np.int8), pdf["scale"].to_numpy(), pdf["norm_sq"].to_numpy(), pdf["err"].to_numpy())
-            for qid, v in shared.value:
-                rough, low, high = CodeQuery(np.asarray(v, np.float32), "l2").rough(c)
-                yield pd.DataFrame({"qid": qid, "id": pdf["id"], "rough": rough, "lower": low, "upper": high, "qv": [v] * len(pdf), "vector": pdf["vector"]})
+            for qid, at in pdf.groupby("qid").indices.items():
+                own = pdf.iloc[at]
+                c = Codes(np.stack(own["code"].to_numpy()).astype(np.int8), own["scale"].to_numpy(), own["norm_sq"].to_numpy(), own["err"].to_numpy())
+                rough, low, high = CodeQuery(np.asarray(own["qv"].iloc[0], np.float32), "l2").rough(c)
+                yield pd.DataFrame({"qid": qid, "id": own["id"], "rough": rough, "lower": low, "upper": high, "qv": own["qv"], "vector": own["vector"]})
 
-    out = codes(spark, d).mapInPandas(run, "qid long, id long, rough double, lower double, upper double, qv array<float>, vector array<float>")
+    out = rows.mapInPandas(run, "qid long, id long, rough double, lower double, upper double, qv array<float>, vector array<float>")
     return out.select("qid", "id", "rough", "lower", "upper", distance.squared_l2(F.col("qv"), F.col("vector")).alias("exact"))
 
 
