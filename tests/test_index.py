@@ -59,6 +59,29 @@ def test_wide_search_is_exact_and_reports_its_work(spark, root, metric):
     assert found["issues"] == [] and found["complete"]
 
 
+def test_narrow_search_is_exact_within_what_it_visits(spark, root):
+    data = rows(spark, 240)
+    index = Runtime(spark, root).create_index("narrow", CONFIG, data)
+    q = data.filter("id < 12").selectExpr("id as qid", "vector")
+    for predicate, where in ((None, "true"), (Compare("score", "gt", 60.0), "score > 60")):
+        out = index.search(q, predicate, SearchOptions(k=4, leaf_beam=1, rerank=500))
+        seen = index.snapshot().table("records").join(out.visited.select("qid", "tree_id", "leaf_id"), ["tree_id", "leaf_id"]).join(q.selectExpr("qid", "vector as q"), "qid").collect()
+        wanted, passed = {}, {}
+        for r in seen:
+            passed[r["qid"]] = passed.get(r["qid"], 0) + 1
+            if where == "true" or (r["score"] or 0) > 60:
+                d = float(np.linalg.norm(np.array(r["vector"], np.float64) - np.array(r["q"], np.float64)))
+                wanted.setdefault(r["qid"], []).append((round(d, 6), r["id"]))
+        got = {}
+        for r in out.hits.orderBy("qid", "position").collect():
+            got.setdefault(r["qid"], []).append((round(r["distance"], 6), r["id"]))
+        assert got == {k: sorted(v)[:4] for k, v in wanted.items()}
+        usage = {r["qid"]: r for r in out.usage.collect()}
+        assert all(u["scanned_tree_keys"] == 3 and 0 < u["visited_partitions"] <= 240 for u in usage.values())
+        if predicate is None:
+            assert {k: u["visited_leaf_entries"] for k, u in usage.items()} == passed
+
+
 def test_mutations_upkeep_and_refinement_against_a_dictionary(spark, root):
     data = rows(spark, 120)
     index = Runtime(spark, root).create_index("model", CONFIG, data)
