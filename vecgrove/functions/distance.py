@@ -71,7 +71,7 @@ class Kernel:
     """Preprocessing and routing distances of one index."""
 
     def __init__(self, metric: str, dimension: int, seed: int):
-        self.metric, self.rotation = metric, Rotation(dimension, seed)
+        self.metric, self.dimension, self.rotation = metric, dimension, Rotation(dimension, seed)
 
     def prepare(self, vectors: np.ndarray) -> np.ndarray:
         """Checks, normalises under cosine, and rotates rows."""

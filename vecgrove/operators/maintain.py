@@ -6,6 +6,8 @@ within a wave here: a snapshot shows a partition before or after.  What moves is
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -152,18 +154,16 @@ def _rewritten(snapshot: Snapshot, config: IndexConfig, to: DataFrame, shards: l
 
 
 def merge_targets(partitions: DataFrame, config: IndexConfig) -> DataFrame:
-    """For each partition to merge, the nearest Ready partition of its tree and level; ties go to the smaller key.
-
-    Only partitions below their least occupancy are sources, so the join is per (tree, level) of the few.
-    """
-    from vecgrove.functions import distance
-
-    marked = partitions.withColumn("action", action(config))
-    source = marked.filter("action = 'merge'").select("tree_id", "level", F.col("part_id").alias("source"), F.col("centroid").alias("a"))
-    target = marked.filter("state = 'Ready'").select("tree_id", "level", F.col("part_id").alias("target"), F.col("centroid").alias("b"))
-    pairs = source.join(target, ["tree_id", "level"]).filter("source <> target")
-    ranked = pairs.withColumn("d", distance.squared_l2(F.col("a"), F.col("b")) if config.metric == "l2" else -distance.dot(F.col("a"), F.col("b")))
-    return ranked.groupBy("tree_id", "level", "source").agg(F.min(F.struct("d", "target")).alias("best")).select("tree_id", "level", "source", F.col("best.target").alias("target"))
+    """For each partition to merge, the nearest Ready partition of its tree and level; ties go to the smaller key."""
+    from vecgrove.operators.refine import nearest_parts
+
+    marked = keep(partitions.withColumn("action", action(config)).select("tree_id", "part_id", "level", "state", "action", "centroid"), "marked")
+    out = []
+    for level in sorted(r["level"] for r in marked.filter("action = 'merge'").select("level").distinct().collect()):
+        own = marked.filter(F.col("level") == level)
+        found = nearest_parts(own.filter("action = 'merge'"), own.filter("state = 'Ready'"), kernel_of(config), 1)
+        out.append(found.select("tree_id", F.lit(level).alias("level"), F.col("part_id").alias("source"), "target"))
+    return reduce(DataFrame.unionByName, out) if out else marked.limit(0).select("tree_id", "level", F.col("part_id").alias("source"), F.col("part_id").alias("target"))
 
 
 def nearest(rows: DataFrame, targets: DataFrame, config: IndexConfig, prepared: bool, ceiling: int = 256 << 20) -> DataFrame:

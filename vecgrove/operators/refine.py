@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecgrove.config import IndexConfig, RefineOptions
+from vecgrove.errors import require
 from vecgrove.functions import distance
+from vecgrove.functions.distance import Kernel
 from vecgrove.operators.build import kernel_of, synopses
 from vecgrove.sources.scratch import keep
 from vecgrove.sources.store import Snapshot
@@ -18,20 +20,47 @@ def routing(metric: str, a, b):
     return distance.squared_l2(a, b) if metric == "l2" else -distance.dot(a, b)
 
 
-def neighbour_leaves(leaves: DataFrame, metric: str, neighbours: int) -> DataFrame:
-    """Of each leaf (tree_id, leaf_id, centroid) its nearest other leaves in the tree.
+def nearest_parts(sources: DataFrame, targets: DataFrame, config_kernel: Kernel, wanted: int, ceiling: int = 256 << 20) -> DataFrame:
+    """Of each source (tree_id, part_id, centroid) the ``wanted`` nearest other targets of its tree: target, target_centroid.
 
-    Pairs of leaves, not of rows: a leaf stands for leaf_max records, and trees are apart.
+    The targets' centres, whose size is checked, travel to the tasks that have the sources; no pairs are emitted but the
+    nearest.  Ties go to the smaller number.
     """
-    other = leaves.select("tree_id", F.col("leaf_id").alias("target"), F.col("centroid").alias("target_centroid"))
-    pairs = leaves.join(other, "tree_id").filter("leaf_id <> target").withColumn("d", routing(metric, F.col("centroid"), F.col("target_centroid")))
-    nearest = Window.partitionBy("tree_id", "leaf_id").orderBy("d", "target")
-    return pairs.withColumn("n", F.row_number().over(nearest)).filter(F.col("n") <= neighbours).select("tree_id", "leaf_id", "target", "target_centroid")
+    require(targets.count() * (4 * config_kernel.dimension + 64) <= ceiling, "partition centres", "LimitExceeded")
+    of: dict[int, tuple[list, list]] = {}
+    for r in targets.select("tree_id", "part_id", "centroid").orderBy("tree_id", "part_id").toLocalIterator():
+        parts, centres = of.setdefault(r["tree_id"], ([], []))
+        parts.append(r["part_id"])
+        centres.append(np.asarray(r["centroid"], np.float32))
+    shared = sources.sparkSession.sparkContext.broadcast({t: (np.array(p, np.int64), np.stack(c)) for t, (p, c) in of.items()})
+
+    def run(batches):
+        for pdf in batches:
+            for tree, at in pdf.groupby("tree_id").indices.items():
+                parts, centres = shared.value.get(tree, (np.zeros(0, np.int64), np.zeros((0, 1), np.float32)))
+                for k in range(0, len(at) if len(parts) else 0, 256):
+                    own = pdf.iloc[at[k : k + 256]]
+                    far = config_kernel.routing(np.stack(own["centroid"].to_numpy()).astype(np.float32), centres).astype(float)
+                    far[parts[None, :] == own["part_id"].to_numpy()[:, None]] = np.inf
+                    take = min(wanted, len(parts))
+                    best = np.argsort(far, axis=1, kind="stable")[:, :take]
+                    rows, which = np.repeat(np.arange(len(own)), take), best.reshape(-1)
+                    good = np.isfinite(far[rows, which])
+                    rows, which = rows[good], which[good]
+                    yield pd.DataFrame({"tree_id": tree, "part_id": own["part_id"].to_numpy()[rows], "target": parts[which], "target_centroid": list(centres[which])})
+
+    return sources.select("tree_id", "part_id", "centroid").mapInPandas(run, "tree_id long, part_id long, target long, target_centroid array<float>")
 
 
-def proposals(rows: DataFrame, leaves: DataFrame, metric: str, neighbours: int = 32) -> DataFrame:
+def neighbour_leaves(leaves: DataFrame, kernel: Kernel, neighbours: int) -> DataFrame:
+    """Of each leaf (tree_id, leaf_id, centroid) its nearest other leaves in the tree."""
+    parts = leaves.select("tree_id", F.col("leaf_id").alias("part_id"), "centroid")
+    return nearest_parts(parts, parts, kernel, neighbours).withColumnRenamed("part_id", "leaf_id")
+
+
+def proposals(rows: DataFrame, leaves: DataFrame, kernel: Kernel, neighbours: int = 32) -> DataFrame:
     """(tree_id, leaf_id, id, target, gain) of rows (prepared vectors) with a strictly nearer neighbour leaf."""
-    near = neighbour_leaves(leaves, metric, neighbours)
+    metric, near = kernel.metric, keep(neighbour_leaves(leaves, kernel, neighbours))
     own = rows.join(leaves.select("tree_id", "leaf_id", "centroid"), ["tree_id", "leaf_id"]).withColumn("now", routing(metric, F.col("vector"), F.col("centroid")))
     tried = own.join(near, ["tree_id", "leaf_id"]).withColumn("d", routing(metric, F.col("vector"), F.col("target_centroid")))
     best = tried.groupBy("tree_id", "leaf_id", "id").agg(F.first("now").alias("now"), F.min(F.struct("d", "target")).alias("best"))
@@ -39,21 +68,16 @@ def proposals(rows: DataFrame, leaves: DataFrame, metric: str, neighbours: int =
 
 
 def accepted(wanted: DataFrame, counts: DataFrame, config: IndexConfig) -> DataFrame:
-    """Proposals in order of gain, while the source stays above its least and the target below its most."""
-    id_type = wanted.schema["id"].dataType.simpleString()
+    """Proposals in order of gain, as many as leave their source its least and their target within its most, whatever else moves.
 
-    def one(moves: pd.DataFrame, sizes: pd.DataFrame) -> pd.DataFrame:
-        count = dict(zip(sizes["leaf_id"], sizes["entry_count"], strict=True))
-        moves = moves.sort_values(["gain", "id"], ascending=[False, True])
-        taken = []
-        for k, (source, target) in enumerate(zip(moves["leaf_id"], moves["target"], strict=True)):
-            if count[source] > config.leaf_min and count[target] < config.leaf_max:
-                count[source] -= 1
-                count[target] += 1
-                taken.append(k)
-        return moves.iloc[taken][["tree_id", "id", "target"]]
-
-    return wanted.groupBy("tree_id").cogroup(counts.groupBy("tree_id")).applyInPandas(one, f"tree_id long, id {id_type}, target long")
+    Each leaf ranks what would leave it and what would come, so a group is a leaf's and never a tree's.
+    """
+    size = lambda name: counts.select("tree_id", F.col("leaf_id").alias(name), F.col("entry_count").alias(f"{name}_count"))
+    both = wanted.join(size("leaf_id"), ["tree_id", "leaf_id"]).join(size("target"), ["tree_id", "target"])
+    rank = lambda name: F.row_number().over(Window.partitionBy("tree_id", name).orderBy(F.desc("gain"), "id"))
+    leaving = both.withColumn("out", rank("leaf_id")).filter(F.col("out") <= F.col("leaf_id_count") - config.leaf_min)
+    coming = leaving.withColumn("in", rank("target")).filter(F.col("in") <= config.leaf_max - F.col("target_count"))
+    return coming.select("tree_id", "id", "target")
 
 
 def refine(snapshot: Snapshot, config: IndexConfig, options: RefineOptions = RefineOptions()) -> dict[str, DataFrame]:
@@ -68,7 +92,7 @@ def refine(snapshot: Snapshot, config: IndexConfig, options: RefineOptions = Ref
     rows = keep(records.select("tree_id", "leaf_id", "id", "vector").mapInPandas(prepare, records.select("tree_id", "leaf_id", "id", "vector").schema))
     leaves = keep(_centres(rows, config))
     for _ in range(options.rounds):
-        moves = keep(accepted(proposals(rows, leaves, config.metric, options.neighbours), leaves.select("tree_id", "leaf_id", "entry_count"), config))
+        moves = keep(accepted(proposals(rows, leaves, kernel, options.neighbours), leaves.select("tree_id", "leaf_id", "entry_count"), config))
         if not moves.limit(1).count():
             break
         rows = keep(rows.join(moves.select("id", "target"), "id", "left").withColumn("leaf_id", F.coalesce("target", "leaf_id")).drop("target"))

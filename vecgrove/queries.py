@@ -432,7 +432,7 @@ _PROPOSE_SQL = (
 
 @add("refine_candidate_neighbors", _PROPOSE_SQL + " SELECT label AS leaf_id, target FROM n WHERE n <= 3")
 def _(spark, d):
-    return refine.neighbour_leaves(seeds(spark, d)[1], "l2", 3).select("leaf_id", "target")
+    return refine.neighbour_leaves(seeds(spark, d)[1], build.kernel_of(config_of()), 3).select("leaf_id", "target")
 
 
 @add(
@@ -444,7 +444,7 @@ def _(spark, d):
 )
 def _(spark, d):
     rows, leaves = seeds(spark, d)
-    return refine.proposals(rows, leaves, "l2", 3).select("id", "leaf_id", "target", "gain")
+    return refine.proposals(rows, leaves, build.kernel_of(config_of()), 3).select("id", "leaf_id", "target", "gain")
 
 
 _ACTION_SQL = f"WITH {R}, p AS (SELECT label, lang, count(*) AS n FROM r GROUP BY label, lang)"
