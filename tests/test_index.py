@@ -155,8 +155,15 @@ def test_a_large_tree_is_built_in_parts(spark, root):
     runtime.store.commit("large", lambda old: build.build(data, CONFIG, resident=200))
     index = runtime.open_index("large")
     assert index.verify()["issues"] == []
+    # So small that leaves, too, get parents in parts.
+    runtime.store.create("larger", CONFIG)
+    runtime.store.commit("larger", lambda old: build.build(data, CONFIG, resident=30))
+    larger = runtime.open_index("larger")
+    found = larger.verify()
+    assert found["issues"] == [] and found["topology"]["max_level"] >= 3
     q = data.filter("id < 10").selectExpr("id as qid", "vector")
     assert same(index.search(q, None, WIDE).hits, truth(index, q))
+    assert same(larger.search(q, None, WIDE).hits, truth(larger, q))
 
 
 def test_streaming_ingest(spark, root, tmp_path):

@@ -2,7 +2,8 @@
 
 The clustering is written once, and all tables are derived from that.  Records are grouped by tree key and each tree is built bottom-up where its rows meet.  A tree of more rows than
 ``resident`` is first dealt out to coarse centres, trained on a bounded sample, so that no group is held by one
-task that doesn't fit; the leaves of its parts are then joined under common parents in a second, small pass.
+task that doesn't fit; partitions of a level get parents in the same way, until no more than ``resident`` are left for one task
+to join under a root.
 """
 
 from __future__ import annotations
@@ -211,24 +212,30 @@ def _aligned(frame: pd.DataFrame) -> pd.DataFrame:
     return frame
 
 
-def _large_tree(rows: DataFrame, tree: int, config: IndexConfig, kernel: Kernel, resident: int, schema: str) -> DataFrame:
-    """Coarse parts of a tree are built apart; their leaves then get common parents."""
+def _dealt(rows: DataFrame, column: str, kernel: Kernel, resident: int, prepared: bool) -> DataFrame:
+    """Adds ``part`` and ``piece``, which tell apart groups of about ``resident`` rows near a coarse centre.
+
+    ``column`` has the vectors and ``key`` a hash.  Centres are trained on a bounded sample.
+    """
     n = rows.count()
-    wanted = 2 * -(-n // resident)
-    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(65536 / n * (1 << 20)) + 1).select("vector").limit(131072).toPandas()
-    seen = kernel.prepare(np.stack(sample["vector"].to_numpy()))
-    coarse = training.centres(seen, min(wanted, len(seen)), kernel)
+    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(65536 / n * (1 << 20)) + 1).select(column).limit(131072).toPandas()
+    ready = (lambda x: x.astype(np.float32)) if prepared else kernel.prepare
+    seen = ready(np.stack(sample[column].to_numpy()))
+    coarse = training.centres(seen, min(2 * -(-n // resident), len(seen)), kernel)
 
     def label(batches):
         for pdf in batches:
-            x = kernel.prepare(np.stack(pdf["vector"].to_numpy()))
-            yield pdf.assign(part=np.argmin(kernel.routing(x, coarse), axis=1))
+            yield pdf.assign(part=np.argmin(kernel.routing(ready(np.stack(pdf[column].to_numpy())), coarse), axis=1))
 
     fields = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in rows.columns)
-    dealt = rows.mapInPandas(label, f"{fields}, part int")
+    dealt = keep(rows.mapInPandas(label, f"{fields}, part int"), "dealt")
     # A part that is still too large, as of equal vectors, is dealt on by a hash.
     sizes = dealt.groupBy("part").agg(F.ceil(F.count("*") / resident).cast("int").alias("pieces"))
-    dealt = dealt.join(sizes, "part").withColumn("piece", F.pmod(F.col("key"), F.col("pieces")))
+    return dealt.join(F.broadcast(sizes), "part").withColumn("piece", F.pmod(F.col("key"), F.col("pieces"))).drop("pieces")
+
+
+def _large_tree(rows: DataFrame, tree: int, config: IndexConfig, kernel: Kernel, resident: int, schema: str) -> DataFrame:
+    """Coarse parts of a tree are built apart; their leaves then get common parents, level by level."""
 
     def leaves(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id", ignore_index=True)
@@ -243,20 +250,44 @@ def _large_tree(rows: DataFrame, tree: int, config: IndexConfig, kernel: Kernel,
         made = pd.DataFrame(parts, columns=["tree_id", "part_id", "level", "entry_count", "epoch", "state", "centroid", "dispersion"])
         return _aligned(pd.concat([assigned, made], ignore_index=True))
 
-    bottom = dealt.groupBy("part", "piece").applyInPandas(leaves, schema)
-
-    def above(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("part_id", ignore_index=True)
-        up = config.with_(leaf_min=min(config.internal_min, config.internal_max // 2), leaf_max=config.internal_max)
-        points = np.stack(pdf["centroid"].to_numpy()).astype(np.float32)
-        parent_of, parts = construct_tree(points, np.arange(len(points)), up, kernel)
-        # Above all leaves' ids, and below what a double holds exactly, as pandas may pass through doubles.
-        lifted = lambda p: None if pd.isna(p) else 1 if p == 1 else (1 << 52) + int(p)
-        parts["parent_id"] = pd.array([lifted(p) for p in parts["parent_id"]], "Int64")
-        parts["part_id"] = [lifted(p) for p in parts["part_id"]]
-        parts = parts.assign(level=parts["level"] + 1, tree_id=tree, epoch=1, state="Ready", dispersion=0.0)
-        own = pdf.assign(parent_id=[lifted(p) for p in parent_of])
-        return _aligned(pd.concat([own, parts], ignore_index=True))
-
-    joined = bottom.filter("part_id is not null").groupBy("tree_id").applyInPandas(above, schema)
-    return bottom.filter("part_id is null").unionByName(joined)
+    def parents(level: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("part_id", ignore_index=True)
+            points = np.stack(pdf["centroid"].to_numpy()).astype(np.float32)
+            # Numbers below what a double holds exactly, as pandas may pass through doubles.
+            base = (1 << 51) + (level << 46) + (int(pdf["part"].iloc[0]) << 30) + (int(pdf["piece"].iloc[0]) << 20)
+            parent, made = np.zeros(len(pdf), np.int64), []
+            least = min(config.internal_min, max(1, len(pdf) // 2))
+            for k, own in enumerate(training.groups(points, np.arange(len(pdf)), config.internal_max, least, config.sample_items, kernel)):
+                parent[own] = base + k
+                made.append([tree, base + k, level, len(own), 1, "Ready", kernel.centre(_mean(points[own])).tolist(), 0.0])
+            frame = pd.DataFrame(made, columns=["tree_id", "part_id", "level", "entry_count", "epoch", "state", "centroid", "dispersion"])
+            return _aligned(pd.concat([pdf.assign(parent_id=parent), frame], ignore_index=True))
+
+        return run
+
+    def above(level: int):
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("part_id", ignore_index=True)
+            up = config.with_(leaf_min=min(config.internal_min, config.internal_max // 2), leaf_max=config.internal_max)
+            points = np.stack(pdf["centroid"].to_numpy()).astype(np.float32)
+            parent_of, parts = construct_tree(points, np.arange(len(points)), up, kernel)
+            # Above all other numbers but the root's.
+            lifted = lambda p: None if pd.isna(p) else 1 if p == 1 else (1 << 52) + int(p)
+            parts["parent_id"] = pd.array([lifted(p) for p in parts["parent_id"]], "Int64")
+            parts["part_id"] = [lifted(p) for p in parts["part_id"]]
+            parts = parts.assign(level=parts["level"] + level, tree_id=tree, epoch=1, state="Ready", dispersion=0.0)
+            own = pdf.assign(parent_id=[lifted(p) for p in parent_of])
+            return _aligned(pd.concat([own, parts], ignore_index=True))
+
+        return run
+
+    bottom = keep(_dealt(rows, "vector", kernel, resident, False).groupBy("part", "piece").applyInPandas(leaves, schema), "leaves")
+    done, now, level = [bottom.filter("part_id is null")], bottom.filter("part_id is not null"), 1
+    while now.count() > max(resident, 2 * config.internal_max):
+        dealt = _dealt(now.withColumn("key", F.xxhash64("part_id")), "centroid", kernel, resident, True)
+        made = keep(dealt.drop("key").groupBy("part", "piece").applyInPandas(parents(level + 1), schema), "parents")
+        done.append(made.filter(F.col("level") == level))
+        now, level = made.filter(F.col("level") == level + 1), level + 1
+    done.append(now.groupBy("tree_id").applyInPandas(above(level), schema))
+    return reduce(DataFrame.unionByName, done)
