@@ -77,3 +77,12 @@ def test_generators():
     for spec in ("uniform:20", "clustered:20:3:2", "skewed:20", "dups:20:4"):
         x = datasets.generate(spec, 3, seed=9)
         assert x.shape == (20, 3) and x.dtype == np.float32 and np.array_equal(x, datasets.generate(spec, 3, seed=9))
+
+
+def test_recall_fixture_reaches_the_published_floors(spark):
+    """28.5, 87.5 and 100 % with 3, 7 and 13 partitions visited are published for it; floors of 25, 80 and 95 %."""
+    import bench
+
+    found = bench.recall_fixture(spark)
+    assert [found[f"beam_{b}"]["mean_recall"] >= floor for b, floor in ((1, 0.25), (4, 0.8), (8, 0.95))] == [True] * 3
+    assert found["beam_1"]["visited_partitions"] <= 5 and found["beam_8"]["visited_partitions"] <= 20

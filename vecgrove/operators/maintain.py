@@ -70,7 +70,8 @@ def _halves(config: IndexConfig, least: int):
         points = points if prepared else kernel.prepare(points)
         left, two = training.balanced_split(points, kernel)
         side = drain(points, two, least, kernel)
-        means = [points[m].astype(np.float64).mean(axis=0) for m in (left, ~left)]
+        means = [points[side == k].astype(np.float64).mean(axis=0) if (side == k).any() else points[m].astype(np.float64).mean(axis=0) for k, m in ((0, left), (1, ~left))]
+        two = np.stack([kernel.centre(m) for m in means])
         out = pdf[["tree_id", "part_id", "parent_id", "level", "id"]].assign(new_part=pdf["left_id"].iloc[0] + side)
         out["centroid"] = [two[s].tolist() for s in side]
         out["dispersion"] = [0.0 if prepared else kernel.dispersion(means[s]) for s in side]
