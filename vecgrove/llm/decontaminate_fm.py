@@ -1,6 +1,6 @@
 """Benchmark decontamination with an FM-index per shard of training text.
 
-A task cuts its documents into shards of a few megabytes.  A shard's distinct texts, word by word, are indexed whole: the
+A task cuts its documents into shards of about two megabytes, which bounds what a worker holds.  A shard's distinct texts, word by word, are indexed whole: the
 alphabet is the shard's own vocabulary, and a text that the shard holds several times is indexed once.  Every passage
 (a window of ``window`` consecutive words of an item; a shorter item is one passage) is searched backwards through the
 wavelet-tree ranks of the shard's index, found suffixes are located by sampled positions, and the spans are merged.  A very
@@ -37,8 +37,8 @@ FOUND = "n_words long, spans array<struct<first:long,stop:long,byte_first:long,b
 @dataclass(frozen=True)
 class Settings:
     window: int = 10
-    shard_bytes: int = 4 << 20
-    segment_words: int = 1 << 20
+    shard_bytes: int = 2 << 20
+    segment_words: int = 1 << 19
     block_bytes: int = 1 << 20
 
 

@@ -81,7 +81,7 @@ class FMIndex:
         starts_run = np.concatenate([[True], text[:-1] == 0])[order] if self.n else np.zeros(0, bool)
         self.sampled = starts_run | (order % sample == 0)
         self.samples = order[self.sampled]
-        self.slot = np.cumsum(self.sampled) - 1
+        self.slot = np.cumsum(self.sampled, dtype=np.int32) - 1
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """[low, high) of suffixes that begin with each row of ``patterns`` (all of one length)."""

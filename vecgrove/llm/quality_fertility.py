@@ -85,7 +85,7 @@ def _encoder(vocabulary: str) -> tuple[WordTokens, np.ndarray]:
             known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
             is_byte = np.zeros(max(ranks.values()) + 1, bool)
             encode = lambda words: [known.encode_ordinary(w) for w in words]
-        _encoders[vocabulary] = WordTokens(lambda words: listed(encode(words)), most=1_000_000), is_byte
+        _encoders[vocabulary] = WordTokens(lambda words: listed(encode(words)), most=500_000), is_byte
     return _encoders[vocabulary]
 
 
