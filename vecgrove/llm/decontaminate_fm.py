@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from vecgrove.llm import shared_files, spans
 from vecgrove.llm.common import materialise, new_folder, total_bytes
 from vecgrove.llm.fm_index import FMIndex
+from vecgrove.llm.wordtokens import forget
 
 FOUND = "n_words long, spans array<struct<first:long,stop:long,byte_first:long,byte_stop:long>>, items array<long>, cut string"
 
@@ -191,6 +192,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id_
     paths = write_blocks(benchmark, item_id_col, item_text_col, settings)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for i, data, offsets in spans.pieces(spans.field(batch.column("row"), text_col), settings.shard_bytes):
                 made = find_in_piece(data, offsets, (_block(p) for p in paths), settings)

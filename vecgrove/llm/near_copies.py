@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from vecgrove.llm import simhash_vptree, spans
 from vecgrove.llm.common import materialise, spread_join
 from vecgrove.llm.components import components
+from vecgrove.llm.wordtokens import forget
 
 
 @dataclass(frozen=True)
@@ -90,6 +91,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str, settings: Settings) ->
     names = ["key", "id", "node", *[f"w{k}" for k in range(settings.prints.words)]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             for i, data, offsets in spans.pieces(batch.column("text")):
                 node, words = signatures(*shingle_sets(data, offsets, settings.width), settings)

@@ -7,6 +7,7 @@ bounded.
 
 from __future__ import annotations
 
+import weakref
 from collections.abc import Callable
 
 import numpy as np
@@ -14,11 +15,23 @@ import numpy as np
 from vecgrove.llm import spans
 
 
+_alive: weakref.WeakSet[WordTokens] = weakref.WeakSet()
+
+
+def forget() -> None:
+    """Drops the known words of this worker, which lives on from one operator to the next."""
+    for words in list(_alive):
+        if words.used:
+            words.clear()
+            spans.release()
+
+
 class WordTokens:
     def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 2_000_000):
         """``encode`` gives the ids of all the words, one after the other, and how many each has."""
         self.encode, self.most = encode, most
         self.clear()
+        _alive.add(self)
 
     def clear(self) -> None:
         self.known, self.first, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
