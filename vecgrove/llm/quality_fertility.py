@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from vecgrove.llm import spans
 from vecgrove.llm.common import materialise
-from vecgrove.llm.wordtokens import WordTokens, listed
+from vecgrove.llm.wordtokens import WordTokens, forget, listed
 
 VOCABULARY = "piece_bpe_32k.model"
 SECOND = "byte_bpe_multi_50k.tiktoken"
@@ -191,6 +191,7 @@ def measures(docs: DataFrame, text_col: str = "text", keep: list[str] | None = N
                 kinds = {"long": np.int64, "double": np.float64, "string": object}
                 arrays += [pa.array(c.astype(kinds[m.split()[1]])) for c, m in zip(columns, MEASURES.split(", "), strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, ["row", *(x.split()[0] for x in MEASURES.split(", "))])
+        forget()  # an idle worker holds no more than the models
 
     row = packed.schema["row"].dataType.simpleString()
     return packed.mapInArrow(run, f"row {row}, {MEASURES}")

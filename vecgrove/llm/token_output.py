@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from vecgrove.llm import shared_files, spans, sstable
 from vecgrove.llm.common import materialise, new_folder, total_bytes
-from vecgrove.llm.wordtokens import WordTokens, listed
+from vecgrove.llm.wordtokens import WordTokens, forget, listed
 
 
 @dataclass(frozen=True)
@@ -137,6 +137,7 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
                         writer, first = sstable.Writer(file), ids[k]
                     writer.add(sstable.key_of(ids[k]), own.astype(kind).tobytes())
                     docs_n, tokens, last = docs_n + 1, tokens + len(own), ids[k]
+        forget()  # an idle worker holds no more than the model
         if writer is not None:
             writer.close()
             made = (path, TaskContext.get().partitionId(), first, last, docs_n, tokens)
