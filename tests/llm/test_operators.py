@@ -577,6 +577,39 @@ def test_line_templates(spark):
     assert line_templates.dedup(df.limit(0)).count() == 0
 
 
+def test_line_templates_count_every_line(spark):
+    """Not only a document's first line in a leaf makes templates; a document still counts once."""
+    own = lambda i: "error code from " + " ".join(f"{chr(97 + i)}{w}" for w in "the quick brown fox jumps over it".split())
+    user = lambda i, host="alpha": f"error code from host {host} user {chr(97 + i)}x done ok now"
+    rows = [(i, own(i) + "\n" + user(i)) for i in range(20)]
+    kept = lambda rows: {r["doc_id"]: r["kept_text"] for r in line_templates.dedup(docs_of(spark, rows)).select("row.doc_id", "kept_text").collect()}
+    assert kept(rows) == {i: own(i) for i in range(20)}
+    assert kept([(i, user(i) + "\n" + own(i)) for i in range(20)]) == {i: own(i) for i in range(20)}
+    # Lines of ten tokens need ten documents: six with one line of the leaf and four with three, but not nine with many.
+    many = lambda i: "\n".join([own(i), user(i), user(i + 5)])
+    assert kept([(i, user(i)) for i in range(6)] + [(i, many(i)) for i in range(6, 10)]) == {i: own(i) if i > 5 else "" for i in range(10)}
+    nine = [(i, user(i)) for i in range(6)] + [(i, many(i)) for i in range(6, 9)]
+    assert kept(nine + [(8, many(8))]) == dict(nine)
+    # Any mixture of lines, repeated rows and null ids against a count of all lines.
+    rng = np.random.default_rng(8)
+    say = lambda: ["a b c " + " ".join(rng.choice(list("uvw"), n, p=[0.6, 0.3, 0.1])) for n in rng.integers(5, 10, rng.integers(1, 6))]
+    table = [(i, "\n".join(say())) for i in range(60)] + [(None, "\n".join(say())) for _ in range(3)]
+    table += table[5:9] + table[-2:]
+    need = lambda size: min(10, max(2, -(-100 // size)))
+    leaf, just, pair = defaultdict(set), defaultdict(set), defaultdict(set)
+    for i, text in table:
+        for line in text.split("\n"):
+            m, doc = tuple(line.split()), text if i is None else i
+            leaf[len(m)].add(doc)
+            just[m].add(doc)
+            for k in range(3, len(m)):
+                pair[len(m), k, m[k - 1], m[k]].add(doc)
+    goes = lambda m: len(leaf[len(m)]) >= need(len(m)) and (len(just[m]) >= need(len(m)) or sum(len(pair[len(m), k, m[k - 1], m[k]]) >= need(len(m)) for k in range(3, len(m))) >= 0.6 * (len(m) - 3))
+    want = Counter((i, "\n".join(x for x in text.split("\n") if not goes(tuple(x.split())))) for i, text in table)
+    assert 0 < sum(goes(m) for m in just) < len(just)
+    assert Counter((r["doc_id"], r["kept_text"]) for r in line_templates.dedup(docs_of(spark, table)).select("row.doc_id", "kept_text").collect()) == want
+
+
 # 9
 
 

@@ -2,8 +2,8 @@
 
 The tree's levels are a line's number of tokens and its leading tokens; a token with a digit is a variable field
 from the start.  A leaf holds as many templates as its lines have: two neighbouring tokens, in their place, are constant
-if they recur there in ``needed`` documents (a document counts once for a leaf, by its first line there), and what isn't
-constant is a variable field.  A line follows a template of its leaf if at least ``similarity`` of its neighbours after
+if they recur there in ``needed`` documents (a document counts once for a pair, whichever of its lines hold it), and what
+isn't constant is a variable field.  A line follows a template of its leaf if at least ``similarity`` of its neighbours after
 the leading tokens are constant.  Such lines are dropped, and so are lines that occur in ``needed`` documents
 just so, digits masked.  More documents only add constants, so growth and unrelated lines turn no template off.
 
@@ -14,8 +14,8 @@ large corpus common short sentences stay.
 Lines travel as hashes: counts combine before the shuffle, and tokens are exploded only for leaves that occur in enough
 documents and hold lines that the plain count leaves open.  Defined results: a null text has no line and stays null; blank
 lines are no template and stay; repeated rows and ids count as one document; rows with a null id are a document for each
-different text; of ties (lines of a leaf in one document) the first counts; a very long text is split whole; extra columns
-are kept, whatever their names; an empty table gives an empty table.
+different text; of several lines of a leaf in one document all count, in any order; a very long text is split whole; extra
+columns are kept, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecgrove.llm.common import materialise
+from vecgrove.llm.common import materialise, spread_join
 
 
 @dataclass(frozen=True)
@@ -83,25 +83,35 @@ def recurring(lines: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_co
     # From here on only lines in leaves that enough documents have.
     own = materialise(lines.join(leaves, "leaf"), "own")
     kinds = own.select("doc", "leaf", "line", "size").distinct().groupBy("leaf", "line").agg(F.min("size").alias("size"), F.count("*").alias("n"))
-    kinds = materialise(kinds.withColumn("again", F.col("n") >= enough).drop("n"), "kinds")
+    kinds = materialise(kinds.withColumn("again", F.col("n") >= enough), "kinds")
     again = kinds.filter("again").select("leaf", "line")
     unsettled = materialise(kinds.filter(~F.col("again") & (F.col("size") > settings.depth)).select("leaf").distinct(), "unsettled")
-    # A document stands for its first line in a leaf.
-    first = own.join(unsettled, "leaf", "left_semi").groupBy("doc", "leaf").agg(F.min(F.struct("at", "line")).alias("first"))
-    stands = first.groupBy("leaf", F.col("first.line").alias("line")).agg(F.count("*").cast("int").alias("weight"))
-    wanted = kinds.join(unsettled, "leaf", "left_semi").join(stands, ["leaf", "line"], "left").filter("weight is not null or not again")
-    places = own.join(unsettled, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min(F.struct("row_key", "at")).alias("place"))
-    wanted = materialise(wanted.join(places, ["leaf", "line"]).select("leaf", "line", "size", "weight", "again", "place.row_key", "place.at"), "wanted")
+    # Documents with several different lines in a leaf: pair by pair, each counts once.  All others count as numbers of a line.
+    there = own.join(unsettled, "leaf", "left_semi")
+    mixed = there.groupBy("doc", "leaf").agg(F.min("line").alias("low"), F.max("line").alias("high")).filter("low <> high").select("doc", "leaf")
+    several = materialise(there.join(mixed, ["doc", "leaf"], "left_semi").select("doc", "line").distinct(), "several")
+    shared = several.groupBy("line").agg(F.count("*").alias("shared"))
+    wanted = kinds.join(unsettled, "leaf", "left_semi").join(shared, "line", "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+    wanted = wanted.withColumn("weight", (F.col("n") - F.col("shared")).cast("int")).withColumn("shared", F.col("shared") > 0)
+    places = there.groupBy("leaf", "line").agg(F.min(F.struct("row_key", "at")).alias("place"))
+    wanted = materialise(wanted.join(places, ["leaf", "line"]).select("leaf", "line", "size", "weight", "shared", "again", "place.row_key", "place.at"), "wanted")
     # One occurrence of each such line gives its text.
     # Their documents grow with the table, so the plan is the same at every size: a shuffle, never a broadcast.
     keys = wanted.select(F.col("row_key").alias("wanted_key")).distinct().hint("merge")
     source = docs.join(keys, _key(id_col, text_col) == F.col("wanted_key"), "left_semi")
-    texts = _lines(source, id_col, text_col).join(wanted, ["row_key", "at"]).groupBy("leaf", "line", "size", "weight", "again").agg(F.split(F.first("masked"), " ").alias("tokens"))
+    texts = _lines(source, id_col, text_col).join(wanted, ["row_key", "at"]).groupBy("leaf", "line", "size", "weight", "shared", "again").agg(F.split(F.first("masked"), " ").alias("tokens"))
     texts = materialise(texts, "tokens")
     rest = F.col("size") - settings.depth
     neighbours = F.zip_with(F.slice("tokens", F.lit(settings.depth), rest), F.slice("tokens", F.lit(settings.depth + 1), rest), lambda a, b: F.xxhash64(a, b))
-    each = texts.select("leaf", "line", "size", "weight", "again", F.posexplode(neighbours).alias("i", "pair")).withColumn("pair", F.xxhash64("leaf", "i", "pair"))
-    counted = each.filter("weight is not null").groupBy("pair").agg(F.min("size").alias("size"), F.sum("weight").alias("docs"))
+
+    def pairs(of: DataFrame, *columns: str) -> DataFrame:
+        return of.select("leaf", "size", *columns, F.posexplode(neighbours).alias("i", "pair")).withColumn("pair", F.xxhash64("leaf", "i", "pair"))
+
+    each = pairs(texts, "line", "weight", "again")
+    # A line's hash holds its leaf's tokens, so it is a key by itself.
+    spoken = spread_join(several, texts.filter("shared").select("leaf", "line", "size", "tokens"), "line")
+    once = pairs(spoken, "doc").select("doc", "size", "pair").distinct().select("size", "pair", F.lit(1).alias("weight"))
+    counted = each.filter("weight > 0").select("size", "pair", "weight").unionByName(once).groupBy("pair").agg(F.min("size").alias("size"), F.sum("weight").alias("docs"))
     constant = counted.filter(F.col("docs") >= enough).select("pair")
     follows = each.filter(~F.col("again")).select("leaf", "line", "size", "pair").join(constant, "pair", "left_semi").groupBy("leaf", "line").agg(F.min("size").alias("size"), F.count("*").alias("fixed"))
     follows = follows.filter(F.col("fixed") >= settings.similarity * (F.col("size") - settings.depth)).select("leaf", "line")
