@@ -1,6 +1,8 @@
 """Stated queries against all rows: the very rows of a join with all pairs, without such a join."""
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from vecgrove.functions import distance
 from vecgrove.functions.rabitq import Query, encode
@@ -23,6 +25,47 @@ def frame(spark, x, key=lambda i: i, kind="long"):
     return spark.createDataFrame([(key(i), v.tolist()) for i, v in enumerate(x)], f"id {kind}, vector array<float>")
 
 
+def by_pairs(r, q, metric, k):
+    pairs = r.select("id", F.col("vector").alias("x")).crossJoin(q.select("qid", F.col("vector").alias("q")))
+    out = search.top_k(pairs.select("qid", "id", distance.rank(metric, F.col("q"), F.col("x")).alias("rank")), k)
+    return out.select("qid", "id", distance.exposed(metric, F.col("rank")).alias("distance"), "position")
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: (r[0], r[-1]))
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "inner_product"])
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_exact_search_gives_the_rows_of_all_pairs_without_such_a_join(spark, metric, kind, monkeypatch):
+    monkeypatch.setattr(scan, "BEST", 7 * 11)  # four blocks of queries
+    monkeypatch.setattr(scan, "TILE", 200)
+    r = frame(spark, tied(300), (lambda i: f"r{i % 7}{i}") if kind == "string" else lambda i: i, kind)
+    q = frame(spark, np.concatenate([tied(20, seed=9), tied(300)[:5]])).withColumnRenamed("id", "qid")
+    got = search.exact_knn(r, q, metric, 11)
+    assert "Join" not in plan(got)
+    assert rows_of(got) == rows_of(by_pairs(r, q, metric, 11))
+
+
+def test_odd_values_are_ordered_like_all_pairs_with_nulls_last(spark):
+    x = tied(40).tolist()
+    x[3][2], x[5][0], x[7] = float("nan"), float("inf"), None
+    x[9][1] = None
+    r = spark.createDataFrame(list(enumerate(x)), "id long, vector array<float>")
+    q = spark.createDataFrame([(0, x[0]), (1, x[5]), (2, x[3]), (3, None), (4, x[1])], "qid long, vector array<float>")
+    for k in (5, 40):
+        got, want = (rows_of(f(r, q, "l2", k)) for f in (search.exact_knn, by_pairs))
+        assert repr(got) == repr(want) and len(got) == 5 * k
+    assert [r[1] for r in got if r[0] == 0][-2:] == [7, 9]
+
+
+def test_a_task_hands_on_no_more_than_the_best_of_its_share(spark):
+    r = frame(spark, tied(4000))
+    q = r.filter("id < 60").selectExpr("id as qid", "vector")
+    near = scan.nearest(r, q, "l2", 3)
+    assert near.count() <= 60 * 3 * near.rdd.getNumPartitions() < 60 * 4000
+
+
 def test_rough_ranks_and_intervals_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(scan, "TILE", 500)
     monkeypatch.setattr(scan, "HELD", 300)
