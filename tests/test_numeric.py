@@ -135,3 +135,24 @@ def test_traversal_by_graph():
     topology.build_graphs(kernel, 2, 8, 7, least=2)
     q = np.zeros(1, np.float32)
     assert traverse(topology, kernel, q, [0, 1], 2, 100, ef=4).leaves == traverse(topology, kernel, q, [0, 1], 2, 100).leaves
+
+
+def test_a_walk_that_may_hold_all_it_reaches_equals_scoring_these():
+    x = np.random.default_rng(6).normal(size=(300, 6)).astype(np.float32)
+    for metric in ("l2", "cosine"):
+        graph, walks = LocalGraph(x, Plain(metric, 6, 1), 4, 30, 3), []
+        assert 40 < len(graph.reached) and graph.core[graph.entry]
+        real = graph._nearest
+        graph._nearest = lambda q, start, ef, level: walks.append(level) or real(q, start, ef, level)
+        for q in x[:10] + 0.1:
+            at_once = graph.search(q, 40, 300)
+            assert 0 not in walks
+            walked = real(q.astype(float), [graph.entry], 300, 0)[:40]
+            assert [i for _, i in at_once] == [i for _, i in walked] and np.allclose([d for d, _ in at_once], [d for d, _ in walked])
+
+
+def test_graphs_built_by_tasks_are_those_of_the_driver(spark):
+    one, many = two_trees(), two_trees()
+    one.build_graphs(Plain("l2", 1, 1), 2, 8, 7, least=2)
+    many.build_graphs(Plain("l2", 1, 1), 2, 8, 7, least=2, context=spark.sparkContext)
+    assert len(many.graphs) == 2 and {k: repr(g.parts) for k, g in many.graphs.items()} == {k: repr(g.parts) for k, g in one.graphs.items()}
